@@ -16,8 +16,15 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_ngrams(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.bpe import encode
+
+    return encode(_table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op10_bpe": op10_bpe,
 }
 
 SQL: dict[str, str] = {}
