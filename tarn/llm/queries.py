@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.weak_quality import classify
+
+    return classify(_table(spark, sf_dir, "documents")).select("doc_id", "quality_score", "kept")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.jaccard_join import join_ngrams
 
@@ -23,6 +29,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_weak_label_quality": op7_weak_label_quality,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_bpe": op10_bpe,
 }
