@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarn.llm import common
+from tarn.llm.bpe import encode
 from tarn.llm.jaccard_join import keep_one
+from tarn.llm.mixing import repeat
+from tarn.llm.pii import detect
+from tarn.llm.weak_quality import classify
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return classify(docs).where("kept").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +23,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return keep_one(docs)
 
 
-STAGES = [("n-gram Jaccard join", near_duplicates)]
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by the name of its kind; n_chars follows."""
+    found = detect(docs, redact=True)
+    return found.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return repeat(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of each document, a row for each time it is taken."""
+    return encode(docs, columns=("n_tokens", "ids"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", private),
+    ("mixing sources to target weights", mixture),
+    ("BPE encoding and decoding", tokens),
+]
 
-#: The rounding and the models can't be written in SQL; the tests hold the stages against brute force.
+#: The classifier, the field and the rounding can't be written in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -10,6 +10,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.pii import detect
+
+    return detect(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.weak_quality import classify
 
@@ -29,6 +41,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pivotal_mixing": op2_pivotal_mixing,
+    "op4_pii_crf": op4_pii_crf,
     "op7_weak_label_quality": op7_weak_label_quality,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_bpe": op10_bpe,
