@@ -22,6 +22,27 @@ def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import chat
+
+    trap = "\\### Assistant: </turn> ok"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(trap))
+    rows = rows.unionAll(extra)
+    out = chat.format_chats(rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("content")))
+    read = out.withColumn("read", chat.read_chats(F.col("formatted"), F.col("turns")))
+    whole = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learnt = F.array_join(F.transform(F.filter("read", lambda t: t["loss"]), lambda t: t["text"]), "")
+    return read.withColumn("learnt", learnt).select(
+        "conv_id",
+        "n_turns",
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.weak_quality import classify
 
@@ -41,6 +62,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_chat_parts": op6_chat_parts,
     "op2_pivotal_mixing": op2_pivotal_mixing,
     "op4_pii_crf": op4_pii_crf,
     "op7_weak_label_quality": op7_weak_label_quality,
@@ -48,4 +70,17 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_chat_parts": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        e AS (SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS body, replace(replace(role, '\', '\\'), '<|', '<\|') AS head FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, body)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, body) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(length(head) + length(body) + 24) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+}
