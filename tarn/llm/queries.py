@@ -55,6 +55,16 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_ngrams(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import common, warc
+
+    archive, index = common.fresh_path(spark, "archive"), common.fresh_path(spark, "index")
+    warc.write_archive(_table(spark, sf_dir, "pages"), archive)
+    warc.build_index(spark, archive, index)
+    read = warc.read_records(spark, archive, warc.captures(spark, index), payload=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.bpe import encode
 
@@ -62,6 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op9_warc_index": op9_warc_index,
     "op6_chat_parts": op6_chat_parts,
     "op2_pivotal_mixing": op2_pivotal_mixing,
     "op4_pii_crf": op4_pii_crf,
@@ -71,6 +82,14 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op9_warc_index": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+            list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, CAST((i // 4) * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - (i % 4) * 5 AS BIGINT)) & 31) + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM f""",
     "op6_chat_parts": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
