@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.embedding_dedup import join_embeddings
+
+    return join_embeddings(_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.mixing import mix
 
@@ -72,6 +78,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_epsilon_grid": op1_epsilon_grid,
     "op9_warc_index": op9_warc_index,
     "op6_chat_parts": op6_chat_parts,
     "op2_pivotal_mixing": op2_pivotal_mixing,
