@@ -22,12 +22,25 @@ def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.pii import detect
 
     return detect(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op5_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import chroma
+
+    media = chroma.render(_table(spark, sf_dir, "embeddings"))
+    return chroma.align(chroma.fingerprints(media, "vec_id", "audio"), F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
+
+
 def op6_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm import chat
 
@@ -78,6 +91,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
+    "op5_chroma_alignment": op5_chroma_alignment,
     "op1_epsilon_grid": op1_epsilon_grid,
     "op9_warc_index": op9_warc_index,
     "op6_chat_parts": op6_chat_parts,
