@@ -127,7 +127,7 @@ class Dml:
         deleted, touched, n = self._deletion(table, rows, snapshot)
         if not n:
             return 0
-        inserted = self._insertion(table, nodes, out, snapshot, row_ids=True)
+        inserted = self._insertion(table, nodes, out, snapshot, row_ids=True, known=n)
         self._commit([deleted, inserted], [("deleted_from_table" if touched else "inlined_delete", table["table_id"], frozenset(touched)), *self._inserted(table["table_id"], inserted)])
         return n
 
@@ -176,7 +176,7 @@ class Dml:
                 if what != "delete":
                     new = {k.lower(): F.expr(v) for k, v in what.items()}
                     out = own.select(*(new.get(m["name"].lower(), F.col(f"t.`{m['name']}`")).cast(fields.spark_type(m)).cast(fields.spark_type(m, physical=True)).alias(f"c{m['id']}") for m in nodes), "_row_id")
-                    ops.append(self._insertion(table, nodes, out, snapshot, row_ids=True))
+                    ops.append(self._insertion(table, nodes, out, snapshot, row_ids=True, known=n))
                     told += self._inserted(table["table_id"], ops[-1])
             new_rows = None
             for k in range(len(matched), len(matched) + len(not_matched)):
@@ -188,7 +188,7 @@ class Dml:
                 new_rows = part if new_rows is None else new_rows.unionAll(part)
                 done["inserted"] += taken[k]
             if new_rows is not None:
-                ops.append(self._insertion(table, nodes, new_rows, snapshot))
+                ops.append(self._insertion(table, nodes, new_rows, snapshot, known=done["inserted"]))
                 told += self._inserted(table["table_id"], ops[-1])
             if ops:
                 self._commit(ops, told)

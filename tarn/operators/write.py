@@ -17,7 +17,7 @@ from tarn.sources.store import columns_at
 INLINE_LIMIT = 10
 INLINE_BYTES = 64 << 20  # an input estimated larger than this is never tried as an inlined one
 TARGET_FILE_SIZE = 512 << 20
-_NOT_INLINED = ("void", "variant", "interval", "geometry", "geography", "time")
+_NOT_INLINED = ("void", "variant", "interval", "geometry", "geography", "time(")
 _BOUNDED = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "string", "date", "timestamp_ntz", "timestamp")
 _STRING_BOUND = 256  # longer strings are no bounds: a missing bound never prunes
 
@@ -64,13 +64,13 @@ class Write:
         sort = self.store.alive("sort_spec", snapshot, "table_id = ?", table_id)
         return (spec[0]["partition_id"], json.loads(spec[0]["spec"])) if spec else (None, []), json.loads(sort[0]["spec"]) if sort else []
 
-    def _insertion(self, table, nodes: list[dict], rows: DataFrame, snapshot: int, row_ids: bool = False, sort: bool = True, inline: bool = True):
-        """An operation that adds physical rows (c<id>, and _row_id if row_ids) to a table."""
+    def _insertion(self, table, nodes: list[dict], rows: DataFrame, snapshot: int, row_ids: bool = False, known: int | None = None):
+        """An operation that adds physical rows (c<id>, and _row_id if row_ids) to a table. known: their number, if it is."""
         table_id = table["table_id"]
-        limit = int(self.option("data_inlining_row_limit", INLINE_LIMIT, table)) if inline else 0
+        limit = int(self.option("data_inlining_row_limit", INLINE_LIMIT, table))
         layout = json.dumps(nodes)
         plain = not any(k in n["kind"] for n, _, _ in fields.leaves(nodes) for k in _NOT_INLINED) and '"map"' not in layout
-        if limit > 0 and plain and self._estimate(rows) <= INLINE_BYTES:
+        if limit > 0 and plain and (known <= limit if known is not None else self._estimate(rows) <= INLINE_BYTES):
             body = F.to_json(F.struct(*(F.col(f"c{n['id']}") for n in nodes)), {**JSON_FORMAT, "ignoreNullFields": "false"})
             few = rows.select(body.alias("b"), (F.col("_row_id") if row_ids else F.lit(None).cast("long")).alias("r"), *(F.col(f"c{n['id']}").isNull().alias(f"n{n['id']}") for n in nodes if not n["nullable"])).limit(limit + 1).collect()
             if len(few) <= limit:
@@ -85,7 +85,7 @@ class Write:
 
                 inlined.inlined = True
                 return inlined
-        files = self._write_files(table, nodes, rows, snapshot, sort=sort)
+        files = self._write_files(table, nodes, rows, snapshot)
 
         def added(store, at):
             self._add_files(store, table_id, files, at, row_ids=row_ids)
