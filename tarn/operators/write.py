@@ -95,7 +95,9 @@ class Write:
         return added
 
     def _estimate(self, rows: DataFrame) -> int:
-        return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        """Catalyst's estimate in bytes; 0 where it has none (rows that come from Python)."""
+        n = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return 0 if n >= 1 << 60 else n
 
     @staticmethod
     def _take_rows(store, table_id: int, n: int) -> int:
