@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,8 +54,6 @@ def murmur3_32(column: Column, kind: str) -> Column:
         call = F.call_function("reflect", F.lit("org.apache.spark.unsafe.hash.Murmur3_x86_32"), F.lit("hashLong"), F.coalesce(number, F.lit(0).cast("bigint")), F.lit(0))
         return F.when(column.isNotNull(), call.cast("int"))
 
-    import pandas as pd
-
     @F.pandas_udf("int")
     def hashed(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None or v is pd.NA else _signed(murmur3_value(v, kind))).astype("Int32")
@@ -65,8 +64,6 @@ def murmur3_32(column: Column, kind: str) -> Column:
 
 
 def _of_bits(column: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("int")
     def hashed(values: pd.Series, missing: pd.Series) -> pd.Series:
         return pd.Series([None if m else _signed(murmur3_value(v, "double")) for v, m in zip(values, missing, strict=True)], dtype="Int32")
