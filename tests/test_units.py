@@ -80,6 +80,8 @@ def test_predicates_parse(spark):
     n = pruning.parse(spark, "a > 5 AND (b IN ('x', 'y') OR c IS NULL) AND d.e <= date'2020-01-02'")
     assert n.op == "and"
     assert pruning.parse(spark, "5 < a").op == ">"
+    assert [(c.op, c.values) for c in pruning.parse(spark, "a BETWEEN 1 AND 3").children] == [(">=", [1]), ("<=", [3])]
+    assert pruning.parse(spark, "a NOT BETWEEN 1 AND 3").op == "any"
     assert pruning.parse(spark, "length(a) = 3").op == "any"
     assert pruning.parse(spark, "a = -1.5").values == [decimal.Decimal("-1.5")]
     assert pruning.parse(spark, "t >= timestamp_ntz'2020-01-02 03:04:05'").values == [datetime.datetime(2020, 1, 2, 3, 4, 5)]
