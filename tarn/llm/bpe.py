@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tarn.llm import common as C
 
 LEXICON_WORDS = 32_768
-MEMO_WORDS = 600_000
+MEMO_WORDS = 250_000
 _LETTER, _NUMBER, _OTHER, _WHITE = 1, 2, 3, 0
 
 
@@ -351,9 +351,9 @@ class Words:
         self.reset()
 
     def reset(self):
-        self.memo, self.words = Memo((2 * self.limit).bit_length()), []
+        self.memo, self.words, self.size = Memo((2 * self.limit).bit_length()), [], 0
         self.fresh([b"", *self.vocabulary.special])
-        self.memo.add(self._hash(list(self.vocabulary.special)), np.arange(1, len(self.words), dtype=np.int32))
+        self.memo.add(self._hash(list(self.vocabulary.special)), np.arange(1, self.size, dtype=np.int32))
 
     @staticmethod
     def _hash(words: list[bytes]) -> np.ndarray:
@@ -363,6 +363,7 @@ class Words:
     def fresh(self, words: list[bytes]) -> None:
         """Take up new words."""
         self.words += words
+        self.size += len(words)
 
     def numbers(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each word of the texts, and n + 1 bounds of the texts among them."""
@@ -378,7 +379,7 @@ class Words:
         if len(new):
             keys, first, back = np.unique(h[new], return_index=True, return_inverse=True)
             raw = data.tobytes()
-            base = len(self.words)
+            base = self.size
             self.fresh([raw[a:b] for a, b in zip(starts[new[first]].tolist(), ends[new[first]].tolist(), strict=True)])
             if self.memo.n + len(keys) < 2 * self.limit:
                 self.memo.add(keys, np.arange(base, base + len(keys), dtype=np.int32))
@@ -438,7 +439,7 @@ class Encoder(Words):
         super().__init__(vocabulary, limit)
 
     def reset(self):
-        self.ids: list[np.ndarray] = []
+        self.ids: list[bytes] = []
         self.texts: list[bytes] = []
         self.bytes: list[bytes] = []
         super().reset()
@@ -453,15 +454,15 @@ class Encoder(Words):
         for k in np.flatnonzero(at >= 0).tolist():
             ids[k] = self.lexicon.lookup(at[k])
         own = [[self.vocabulary.special[w]] if x is None else x.tolist() for w, x in zip(words, ids, strict=True)]
-        if "ids" in self.keep:
-            self.ids += [np.array(x, np.int32) for x in own]
+        if "ids" in self.keep:  # packed: an array object for each word would take several times the room
+            self.ids += [np.array(x, "<i4").tobytes() for x in own]
         if "texts" in self.keep:
             table = self.decimals
             self.texts += [b"".join([table[i] for i in x]) for x in own]
         if "bytes" in self.keep:
             pieces = self.vocabulary.pieces
             self.bytes += [b"".join([pieces[i] for i in x]) for x in own]
-        super().fresh(words)
+        self.size += len(words)
 
 
 #: One encoder and one set of counted words for all tasks of a worker, as long as the broadcast value is the same.
@@ -513,7 +514,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                         if "ids_sha256" in rows:
                             rows["ids_sha256"].append(hashlib.sha256(text[:-1]).hexdigest())
                     if "ids" in rows:
-                        rows["ids"].append(np.concatenate(_take(encoder.ids, own)) if own else np.zeros(0, np.int32))
+                        rows["ids"].append(np.frombuffer(b"".join(_take(encoder.ids, own)), "<i4"))
                     if "decoded" in rows or "decoded_sha256" in rows:
                         whole = b"".join(_take(encoder.bytes, own)).decode("utf-8", "replace")
                         if "decoded" in rows:

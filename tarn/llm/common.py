@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20  # text that one numpy pass holds
-ARROW_BYTES = 16 << 20  # text that one Arrow batch holds
+SLICE_BYTES = 2 << 20  # text that one numpy pass holds
+ARROW_BYTES = 8 << 20  # text that one Arrow batch holds
 
 
 @functools.cache

@@ -32,7 +32,7 @@ _CLASS[[ord(x) for x in ".?"]] = 6
 _CLASS[[ord(x) for x in ",;:'\"()-"]] = 7
 for _i, _x in enumerate("!|#$%&*<>={"):
     _CLASS[ord(_x)] = 9 + _i
-_CODE = (C.mix(np.arange(1, 8001, dtype=np.uint64)) % np.uint64(DIMS - 2)).astype(np.int64)
+_CODE = (C.mix(np.arange(1, 8001, dtype=np.uint64)) % np.uint64(DIMS - 2)).astype(np.int32)
 
 
 def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,9 +42,9 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not size:
         return votes, features
     kind = _CLASS[data]
-    of = np.repeat(np.arange(n), np.diff(offsets))
+    of = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))  # the arrays of a slice stand side by side: keep them narrow
     count = np.bincount(of * 20 + kind, minlength=20 * n).reshape(n, 20).astype(float)
-    code = kind[:-2].astype(np.int64) * 400 + kind[1:-1] * 20 + kind[2:] if size > 2 else np.zeros(0, np.int64)
+    code = kind[:-2].astype(np.int32) * 400 + kind[1:-1].astype(np.int32) * 20 + kind[2:] if size > 2 else np.zeros(0, np.int32)
     inside = of[:-2] == of[2:] if size > 2 else np.zeros(0, bool)
     features += np.bincount(of[:-2][inside] * DIMS + _CODE[code[inside]], minlength=n * DIMS).reshape(n, DIMS) if size > 2 else 0
     features /= np.maximum(1, features.sum(1))[:, None]
