@@ -24,6 +24,7 @@ DATE = "2024-01-01T00:00:00Z"
 BLOCK_LINES = 2_000
 DIRECTORY_BYTES = 64 << 20  # what a directory may take to be sent to all executors at once
 FILE_RECORDS = 4_000
+RANGE_ROWS = 5_000  # lines whose ranges are sent to the executors
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = b"\r\n\r\n"
 
@@ -85,9 +86,8 @@ def headers(raw: bytes) -> dict[str, str]:
     return {k.decode().lower(): v.decode() for k, _, v in (x.partition(b": ") for x in raw.split(b"\r\n")[1:])}
 
 
-def records(content: bytes):
-    """(offset, length, headers, body) of each record of a file."""
-    at = 0
+def records(content: bytes, at: int = 0):
+    """(offset, length, headers, body) of each record of a file from an offset on."""
     while at < len(content):
         end = content.index(_END, at)
         head = headers(content[at:end])
@@ -97,7 +97,7 @@ def records(content: bytes):
         at += length
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
@@ -215,34 +215,60 @@ def lookup(index: str, urls: DataFrame, url_col: str = "url", directory_bytes: i
 _READ = "url string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
 
 
-def read_records(spark: SparkSession, archive: str, lines: DataFrame, payload: bool = True) -> DataFrame:
+def _number(name: str | None) -> int | None:
+    name = (name or "")[len("<urn:page:") : -1]
+    return int(name) if name else None
+
+
+def _row(head: dict, body: bytes, payload: bool) -> tuple:
+    cut = body.index(_END)
+    http, own = headers(body[:cut]), body[cut + 4 :]
+    if head["warc-type"] == "response":
+        digest, size, text = base64.b32encode(hashlib.sha1(own).digest()).decode(), len(own), own.decode() if payload else None
+        if head["warc-payload-digest"] != "sha1:" + digest:
+            raise ValueError(f"broken record {head['warc-record-id']}")
+    else:
+        digest, size, text = head["warc-payload-digest"][5:], int(http["content-length"]), None
+    return head["warc-target-uri"], _number(head["warc-record-id"]), size, digest, head["warc-type"], _number(head.get("warc-refers-to")), text
+
+
+def read_records(spark: SparkSession, archive: str, lines: DataFrame, payload: bool = True, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The records at the lines' ranges: url, page_id, payload_bytes and payload_digest (of the full payload), record_type,
-    refers_to, payload (null of revisits)."""
-    wanted = lines.groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct("at", "length")).alias("ranges"))
-    joined = _files(spark, archive).join(wanted, "path").select("content", "ranges")
+    refers_to, payload (null of revisits). A range named several times gives a record once.
 
-    def number(x: str | None):
-        x = (x or "")[len("<urn:page:") : -1]
-        return int(x) if x else None
+    Up to range_rows lines are sent to the executors, which read only those ranges of only those files. Of more, all files
+    are read in one pass and the records found there meet the lines; no file's content is shuffled either way.
+    """
+    wanted = lines.select("file", "at").distinct()
+    few = wanted.limit(range_rows + 1).collect()
+    ranges: dict[str, list[int]] | None = None
+    if len(few) <= range_rows:
+        ranges = {}
+        for file, at in few:
+            ranges.setdefault(file, []).append(at)
+    sent = spark.sparkContext.broadcast(ranges)
 
     def read(batches):
+        ranges = sent.value
         for batch in batches:
-            for content, ranges in zip(batch.column(0), batch.column(1), strict=True):
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 content, rows = content.as_py(), []
-                for r in sorted(ranges.as_py(), key=lambda r: r["at"]):
-                    _, _, h, body = next(records(content[r["at"] : r["at"] + r["length"]]))
-                    body = bytes(body)
-                    cut = body.index(_END)
-                    http, own = headers(body[:cut]), body[cut + 4 :]
-                    if h["warc-type"] == "response":
-                        digest, size, text = base64.b32encode(hashlib.sha1(own).digest()).decode(), len(own), own.decode() if payload else None
-                        if h["warc-payload-digest"] != "sha1:" + digest:
-                            raise ValueError(f"broken record {h['warc-record-id']}")
-                    else:
-                        digest, size, text = h["warc-payload-digest"][5:], int(http["content-length"]), None
-                    rows.append((h["warc-target-uri"], number(h["warc-record-id"]), size, digest, h["warc-type"], number(h.get("warc-refers-to")), text))
-                c = list(zip(*rows, strict=True))
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(c, kinds, strict=True)], names=[x.split()[0] for x in _READ.split(", ")])
-
-    return joined.mapInArrow(read, _READ)
+                if ranges is None:
+                    found = records(content)
+                else:
+                    found = (next(records(content, at)) for at in sorted(ranges.get(file, ())))
+                for at, _, head, body in found:
+                    rows.append((file, at, *_row(head, bytes(body), payload)))
+                if rows:
+                    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file", "at", *(x.split()[0] for x in _READ.split(", "))])
+
+    files = _files(spark, archive)
+    if ranges is not None:
+        if not ranges:
+            return spark.createDataFrame([], _READ)
+        files = _files(spark, list(ranges))
+    out = files.mapInArrow(read, "file string, at long, " + _READ)
+    if ranges is None:
+        out = out.join(wanted, ["file", "at"], "left_semi")
+    return out.drop("file", "at")
