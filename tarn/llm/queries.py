@@ -104,6 +104,30 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_epsilon_grid": r"""
+        WITH RECURSIVE v AS MATERIALIZED (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
+            FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        links AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+        reach AS (SELECT vec_id, vec_id AS seen FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.seen)
+        SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, r.component_id, e.vec_id = r.component_id AS kept
+        FROM embeddings e JOIN (SELECT vec_id, min(seen) AS component_id FROM reach GROUP BY vec_id) r USING (vec_id)""",
+    "op8_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS MATERIALIZED (
+            SELECT i.a, i.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) i
+            JOIN n p ON p.doc_id = i.a JOIN n q ON q.doc_id = i.b WHERE 100 * i.c >= 80 * (p.n + q.n - i.c)),
+        reach AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.seen),
+        same AS (SELECT doc_id, string_agg(g, chr(10) ORDER BY g) AS key FROM s GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id, coalesce(min(d.doc_id) FILTER (WHERE same.key IS NOT NULL) OVER (PARTITION BY same.key), d.doc_id) AS class_id
+        FROM documents d JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN same USING (doc_id)""",
     "op9_warc_index": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
