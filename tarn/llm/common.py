@@ -47,8 +47,13 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate (file sizes at the leaves): only sets partition counts."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """About how many bytes df holds: Catalyst's estimate (file sizes at the leaves), or, where that is unknown or past a
+    terabyte (rows from Python, products of joins), the bytes of its texts counted. Only sets partition counts."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if n <= 1 << 40:
+        return n
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return int(df.agg(F.sum(sum(texts, F.lit(8)))).first()[0] or 0)
 
 
 def parts_for(n_bytes: int, each: int, least: int = 8, most: int = 1 << 20) -> int:

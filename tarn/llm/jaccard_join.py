@@ -318,7 +318,8 @@ def _split_regions(members: DataFrame, share: int, block_bytes: int) -> DataFram
 
     def relabel(df, links, name):
         comps = C.connected_components(links, name)
-        return df.join(comps.withColumnRenamed("node", "comp").withColumnRenamed("comp", "to") if False else comps.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
+        to = comps.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        return df.join(to, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
 
     def meet(blocks, pairs, name):
         """blocks: region, block, comp, key, size, marks; pairs: region, i, j."""
