@@ -46,6 +46,14 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a helper column that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def input_bytes(df: DataFrame) -> int:
     """About how many bytes df holds: Catalyst's estimate (file sizes at the leaves), or, where that is unknown or past a
     terabyte (rows from Python, products of joins), the bytes of its texts counted. Only sets partition counts."""

@@ -406,10 +406,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     from pyspark.sql import Window
 
+    kept_name, nth = C.unused(docs, "_kept"), C.unused(docs, "_nth")
     joined = join_ngrams(docs, id_col, text_col, share)
-    kept = joined.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    columns = docs.columns
-    out = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    kept = joined.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(kept_name)).distinct()
+    out = docs.join(kept, F.col(id_col) == F.col(kept_name), "left_semi")
     order = Window.partitionBy(id_col).orderBy(*(F.col(f"`{c}`").asc_nulls_last() for c, k in docs.dtypes if not k.startswith(("map", "variant"))))
-    out = out.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*(f"`{c}`" for c in columns))
+    out = out.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*(f"`{c}`" for c in docs.columns))
     return out.unionAll(docs.where(F.col(id_col).isNull()))

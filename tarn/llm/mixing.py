@@ -135,15 +135,15 @@ def repeat(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
     Repeated rows that share id, source and size are dealt their copies one after the other. Columns and values stay.
     """
+    of, to, copies, rows, n, i, k = (C.unused(docs, x) for x in ("_of", "_to", "_copies", "_rows", "_n", "_i", "_k"))
     mixed = mix(docs, id_col, source_col, text_col, seed)
-    key = [F.col(id_col), F.col(source_col), F.col("size")]
-    took = mixed.groupBy(F.struct(*key).alias("_of")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    key = F.struct(F.col(id_col), F.col(source_col), F.col("size"))
+    took = mixed.groupBy(key.alias(to)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
     source, size = F.col(f"`{source_col}`").cast("string").alias(source_col), words(F.col(f"`{text_col}`")).alias("size")
-    keyed = docs.withColumn("_of", F.struct(F.col(f"`{id_col}`").alias(id_col), source, size))
-    joined = keyed.join(took.withColumnRenamed("_of", "_to"), F.col("_of").eqNullSafe(F.col("_to")))
-    single = joined.where("_rows = 1").withColumn("_n", F.col("_copies"))
-    order = W.partitionBy("_of").orderBy(F.lit(1))
-    several = joined.where("_rows > 1").withColumn("_i", F.row_number().over(order))
-    several = several.withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_i") <= F.pmod("_copies", "_rows"), 1).otherwise(0)).drop("_i")
-    every = single.unionByName(several).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long"))))
+    keyed = docs.withColumn(of, F.struct(F.col(f"`{id_col}`").alias(id_col), source, size))
+    joined = keyed.join(took, F.col(of).eqNullSafe(F.col(to)))
+    single = joined.where(F.col(rows) == 1).withColumn(n, F.col(copies))
+    several = joined.where(F.col(rows) > 1).withColumn(i, F.row_number().over(W.partitionBy(of).orderBy(F.lit(1))))
+    several = several.withColumn(n, F.floor(F.col(copies) / F.col(rows)) + F.when(F.col(i) <= F.pmod(copies, rows), 1).otherwise(0)).drop(i)
+    every = single.unionByName(several).where(F.col(n) > 0).withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))))
     return every.select(*(f"`{c}`" for c in docs.columns))

@@ -398,5 +398,6 @@ def detect(docs: DataFrame, field: Field | None = None, text_col: str = "text",
             yield pd.DataFrame(out, columns=names)
 
     run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    found = docs.withColumn("_pii", F.pandas_udf(run, _FOUND)(F.col(text_col).cast("string")))
-    return found.withColumns({n: F.col(f"_pii.{n}") for n in names if redact or n != "redacted"}).drop("_pii")
+    held = C.unused(docs, "_pii")
+    found = docs.withColumn(held, F.pandas_udf(run, _FOUND)(F.col(text_col).cast("string")))
+    return found.withColumns({n: F.col(f"{held}.{n}") for n in names if redact or n != "redacted"}).drop(held)
