@@ -420,11 +420,22 @@ def _count_words(vocabulary, keep: int):
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """Compile the most frequent words of all of docs (bounded by `words`) with their ids. Ties go to the smaller word."""
+    """Compile the most frequent words of all of docs (at most `words`) with their ids.
+
+    Words are taken by classes of frequency (16 to a factor of two), as many whole classes as fit, so only a histogram and the
+    words themselves come to the driver, however many partitions there are.
+    """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(vocabulary)
     counted = docs.select(F.col(text_col)).mapInArrow(_count_words(sent, 2 * words), "word binary, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    summed = C.materialise(counted.groupBy("word").agg(F.floor(F.log2(F.sum("n")) * 16).alias("level")), "words")
+    cut, total = None, 0
+    for level, n in summed.groupBy("level").count().orderBy(F.desc("level")).collect():
+        total += n
+        if total > words:
+            break
+        cut = level
+    top = [] if cut is None else summed.where(F.col("level") >= cut).select("word").collect()
     top = [bytes(r[0]) for r in top if r[0] and bytes(r[0]) not in vocabulary.special]
     merged = merge_words(top, vocabulary, rank_table(vocabulary))
     return compile_lexicon(dict(zip(top, merged, strict=True)))
