@@ -24,6 +24,7 @@ DATE = "2024-01-01T00:00:00Z"
 BLOCK_LINES = 2_000
 DIRECTORY_BYTES = 64 << 20  # what a directory may take to be sent to all executors at once
 FILE_RECORDS = 4_000
+FILTER_BYTES = 1 << 20  # of the filter that tells payloads that may repeat
 RANGE_ROWS = 5_000  # lines whose ranges are sent to the executors
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = b"\r\n\r\n"
@@ -49,6 +50,45 @@ def surt(url: str) -> str:
     return key + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
+def _places(digests: list[bytes]) -> np.ndarray:
+    """Two places of each digest among the filter's bits."""
+    head = np.frombuffer(b"".join(x[:8] for x in digests), "<u4").reshape(-1, 2)
+    return head % np.uint32(8 * FILTER_BYTES)
+
+
+def _may_repeat(first: DataFrame):
+    """A function of a digest: false only for those not in first. Its filter has FILTER_BYTES whatever first holds; when first
+    outgrows it, more rows are taken for possible repeats and none is missed."""
+    import pandas as pd
+
+    def collect(batches):
+        from pyspark import TaskContext
+
+        bits = np.zeros(8 * FILTER_BYTES, bool)
+        for batch in batches:
+            bits[_places(batch.column(0).to_pylist()).ravel()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 8]), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["g", "bits"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        bits = np.zeros(FILTER_BYTES, np.uint8)
+        for x in table["bits"].to_pylist():
+            bits |= np.frombuffer(x, np.uint8)
+        return pa.table([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+    parts = first.select("digest").mapInArrow(collect, "g long, bits binary").groupBy("g").applyInArrow(merge, "bits binary").collect()
+    bits = np.zeros(FILTER_BYTES, np.uint8)
+    for (x,) in parts:
+        bits |= np.frombuffer(x, np.uint8)
+    sent = first.sparkSession.sparkContext.broadcast(bits)
+
+    def held(digests):
+        at = _places(digests.tolist())
+        return pd.Series(((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1).astype(bool))
+
+    held.__annotations__ = {"digests": pd.Series, "return": pd.Series}
+    return F.pandas_udf(held, "boolean")
+
+
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
     """Write a record for each row of pages under path, as files that hold plain WARC 1.0.
 
@@ -57,10 +97,14 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     characters in URLs are written as blanks; a null URL is an empty one. No rows give no records.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x1F]", " ").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    # Only digests that repeat are carried; the payloads themselves meet them in one shuffle, split where one repeats much.
+    C.bound_batches(pages.sparkSession)
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     first = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first.withColumn("seen", F.lit(True)), "digest", "left")
+    first = C.materialise(first, "repeated")
+    # Most payloads occur once: a filter of fixed size tells them, and only the others are shuffled to meet their first capture.
+    rows = rows.withColumn("maybe", _may_repeat(first)(F.col("digest")))
+    met = rows.where("maybe").join(first.withColumn("seen", F.lit(True)), "digest", "left")
+    rows = rows.where("not maybe").unionByName(met, allowMissingColumns=True)
     revisit = F.coalesce(F.col("seen"), F.lit(False)) & ~F.col("id").eqNullSafe(F.col("first"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n\r\n"))
