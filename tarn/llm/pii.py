@@ -1,8 +1,9 @@
 """Personal data: exact patterns, and a linear-chain conditional random field over word shapes that adds what they miss.
 
-The field is trained by maximum likelihood from a small labelled table and decoded by Viterbi in numpy, many sequences at a
-time. Its sequences are the runs of tokens around *anchors* (tokens with a digit, '@' or '+'): a token further than REACH
-tokens from every anchor is outside by the model's definition, in training as in decoding, so plain prose costs nothing.
+The field is trained by maximum likelihood from a small labelled table and decoded by Viterbi in numpy. A text is one
+sequence of all its tokens. Most tokens of prose are outside on every best path, which their own and the next token's weights
+prove (`surely_outside`); such tokens part the sequence, and Viterbi runs over what lies between, many pieces at a time. The
+tags are those of Viterbi over the whole text.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 from tarn.llm import common as C
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 4
 TAGS = 1 + 2 * len(KINDS)  # outside, then first and inner tag of each kind
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -28,8 +28,9 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMERIC = re.compile(r"[0-9+(][0-9\x20().+-]*")  # every match of the last three lies inside one of these
 _MAILISH = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
-_ANCHOR = re.compile(r"[0-9@+]")
+_AT, _DOT = r"(?:@|(?<![A-Za-z])at(?![A-Za-z]))", r"(?:\.|(?<![A-Za-z])dot(?![A-Za-z]))"
+_SPELLED = re.compile(rf"(?>.*?\w)(?>.*?{_AT})(?>.*?\w)(?>.*?{_DOT}).*?\w", re.I | re.S)  # an added address: a name at a name dot a name
+_BASE = re.compile(r"[0-9@]")  # no base span without one of these
 
 
 def luhn(digits: str) -> bool:
@@ -85,52 +86,50 @@ _MARKS = {x: k for k, x in enumerate("@.-+()[]<>:,/_%#=\"'")}
 SHAPES = 64
 
 
-def shape(token: str) -> int:
-    """A small number for the form of a token: length of digits, case and length of letters, cue words, marks."""
-    x = token[0]
-    if "0" <= x <= "9":
-        return min(len(token), 20)  # 1 to 20
-    if x.isascii() and x.isalpha():
-        cue = _WORDS.get(token.lower())
-        return 20 + cue if cue else 29 + 2 * min(3, len(token) // 3) + (token.isupper() or token[0].isupper())
-    return 37 + _MARKS.get(x, len(_MARKS))
-
-
-def tokens_near_anchors(text: str) -> list[tuple[list[int], list[int], list[int]]]:
-    """Sequences of (starts, ends, shape * 2 + space before) around the anchors of a text."""
-    out, marks = [], [m.start() for m in _ANCHOR.finditer(text)]
-    if not marks:
-        return out
-    # Windows in characters are enough: REACH tokens to either side, found by scanning outward from the anchors.
-    k = 0
-    while k < len(marks):
-        a = _outward(text, marks[k], -1)
-        b = _outward(text, marks[k], 1)
-        k += 1
-        while k < len(marks) and marks[k] < b:
-            b = max(b, _outward(text, marks[k], 1))
-            k += 1
-        if out and a < out[-1][1][-1]:
-            a = out[-1][1][-1]
-        starts, ends, kinds = [], [], []
-        for m in _TOKEN.finditer(text, a, b):
-            starts.append(m.start())
-            ends.append(m.end())
-            kinds.append(shape(m.group()) * 2 + (m.start() > 0 and text[m.start() - 1].isspace()))
-        if starts:
-            out.append((starts, ends, kinds))
-    return out
+#: Classes of code points (blank, letter, digit, any other), places of marks, and the cue words as numbers of base 256.
+_BLANK, _LETTER, _DIGIT, _OTHER = range(4)
+_CLASSES = np.array([_BLANK if chr(c).isspace() else _OTHER for c in range(0x3001)] + [_OTHER], np.uint8)
+_CLASSES[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASSES[48:58] = _DIGIT
+_MARK = np.array([_MARKS.get(chr(c), len(_MARKS)) for c in range(128)] + [len(_MARKS)], np.int16)
+_CUES = sorted((int.from_bytes(w.encode(), "little"), k) for w, k in _WORDS.items())
+_CUE_KEYS, _CUE_KINDS = np.array([k for k, _ in _CUES], np.uint64), np.array([k for _, k in _CUES], np.int16)
+_CUE_CHARS = max(map(len, _WORDS))
+
 
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, shape * 2 + space before, bounds) of the tokens of texts: text i has those from bounds[i] to bounds[i + 1].
 
-def _outward(text: str, at: int, step: int) -> int:
-    """The place REACH blanks or 40 characters of one token away from at; tokens are not cut."""
-    blanks, k, n = 0, at, len(text)
-    while 0 <= k < n and blanks < REACH:
-        if text[k] == "\n" and k != at:
-            break
-        blanks += text[k] == " "
-        k += step
-    return max(0, k + 1) if step < 0 else min(n, k)
+    A token is a run of letters, a run of digits, or any other character but a blank. Its shape is a small number for its
+    form: length of digits, case and length of letters, cue words, marks.
+    """
+    raw = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    cuts = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)))
+    kind = _CLASSES[np.minimum(raw, 0x3001)]
+    new = np.ones(len(raw) + 1, bool)
+    new[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _OTHER)
+    edges = np.flatnonzero(new)
+    starts, ends = edges[:-1], edges[1:]
+    of = kind[starts] if len(starts) else kind
+    told = of != _BLANK
+    starts, ends, of = starts[told], ends[told], of[told]
+    size, first = ends - starts, raw[starts]
+    shapes = 37 + _MARK[np.minimum(first, 128)]
+    shapes[of == _DIGIT] = np.minimum(size[of == _DIGIT], 20)
+    letters = np.flatnonzero(of == _LETTER)
+    shapes[letters] = 29 + 2 * np.minimum(3, size[letters] // 3) + (first[letters] < 97)
+    short = letters[size[letters] <= _CUE_CHARS]
+    key = np.zeros(len(short), np.uint64)
+    for k in range(_CUE_CHARS):
+        more = size[short] > k
+        key[more] |= (raw[starts[short[more]] + k] | 32).astype(np.uint64) << np.uint64(8 * k)
+    at = np.minimum(np.searchsorted(_CUE_KEYS, key), len(_CUE_KEYS) - 1)
+    cue = _CUE_KEYS[at] == key
+    shapes[short[cue]] = 20 + _CUE_KINDS[at[cue]]
+    bounds = np.searchsorted(starts, cuts)
+    moved = np.repeat(cuts[:-1], np.diff(bounds))
+    spaced = (kind[starts - 1] == _BLANK) & (starts > moved)
+    return starts - moved, ends - moved, shapes.astype(np.int64) * 2 + spaced, bounds
 
 
 # --- the field ----------------------------------------------------------------------------------------------------
@@ -170,18 +169,24 @@ def emissions(field: Field, x: np.ndarray) -> np.ndarray:
 
 def viterbi(field: Field, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The best tags of each padded sequence; of equal paths the one with the smaller tags, from the end."""
-    e = emissions(field, x)
+    free = np.zeros((len(x), TAGS))
+    begin = free.copy()
+    begin[:, 2::2] = -np.inf  # a sequence can't begin inside
+    return _best_tags(field.pair, emissions(field, x), lengths, begin, free)
+
+
+def _best_tags(pair: np.ndarray, e: np.ndarray, lengths: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """viterbi() of emissions; begin and end are added at the first and the last step."""
     n, t, _ = e.shape
-    best = e[:, 0].copy()
-    best[:, 2::2] = -np.inf  # a sequence can't begin inside
+    best = e[:, 0] + begin
     back = np.zeros((n, t, TAGS), np.int8)
     for s in range(1, t):
-        way = best[:, :, None] + field.pair
+        way = best[:, :, None] + pair
         back[:, s] = way.argmax(1)
         new = way.max(1) + e[:, s]
         best = np.where((lengths > s)[:, None], new, best)
     tags = np.zeros((n, t), np.int8)
-    now = best.argmax(1)
+    now = (best + end).argmax(1)
     for s in range(t - 1, -1, -1):
         tags[:, s] = np.where(lengths > s, now, 0)
         if s:
@@ -189,6 +194,25 @@ def viterbi(field: Field, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return tags
 
 
+def surely_outside(field: Field, e: np.ndarray) -> np.ndarray:
+    """Whether a token is outside on every best path, for tokens that follow each other, with the emissions of one more.
+
+    A path with tag k there gains by tagging it outside, what precedes in the span staying and what follows becoming a span
+    of its own; the gain is bounded from below over all neighbours that k may have. Tokens that don't pass are undecided.
+    """
+    p, spare = field.pair, 1e-6
+    ends = [0, *range(1, TAGS, 2)]  # tags that may follow any tag
+    out = np.ones(len(e) - 1, bool)
+    for c in range(len(KINDS)):
+        b, i = 1 + 2 * c, 2 + 2 * c
+        again = e[1:, b] - e[1:, i] + min(0.0, (p[b, [*ends, i]] - p[i, [*ends, i]]).min())
+        for k, before in ((b, range(TAGS)), (i, (b, i))):
+            left = min(0.0 if k == b else np.inf, min(p[j, 0] - p[j, k] for j in before))
+            last = min(0.0, (p[0, ends] - p[k, ends]).min())
+            out &= e[:-1, 0] - e[:-1, k] + left + np.minimum(last, p[0, b] - p[k, i] + again) > spare
+    return out
+
+
 def fit_field(sequences: list[tuple[list[int], list[int]]], rounds: int = 150, ridge: float = 0.02) -> Field:
     """Maximum likelihood by forward-backward over all sequences of (shapes, tags) at once, with Adam."""
     n, t = len(sequences), max(len(x) for x, _ in sequences)
@@ -234,7 +258,7 @@ def fit_field(sequences: list[tuple[list[int], list[int]]], rounds: int = 150, r
 
 
 def labelled_table(spark: SparkSession, rows: int = 400) -> DataFrame:
-    """The small labelled table: made-up lines (text, spans) with addresses in many spellings, and lines without any."""
+    """The small labelled table: made-up lines (text, spans) with addresses in many spellings, and prose without any."""
     return spark.createDataFrame(labelled_lines(rows), "text string, spans array<struct<start:int, end:int, kind:string>>")
 
 
@@ -276,19 +300,43 @@ def labelled_lines(rows: int = 400) -> list[tuple[str, list[tuple[int, int, str]
                 spans.append((len(text), len(text) + len(made), kind))
             text += made + pick(" ", ". ", ", ", "### ", "!! ")
         out.append((text + word(), spans))
+    for k, text in enumerate(_prose_lines(rows)):
+        made, kind = pick(email, ip, card, phone)() if k % 2 else ("", None)
+        spans = [(len(text), len(text) + len(made), kind)] if kind else []
+        out.append((text + made + (pick("\n", " ", ". ", ".\n") + out[-1][0] if kind and not out[-1][1] else ""), spans))
+    return out
+
+
+def _prose_lines(rows: int) -> list[str]:
+    """Made-up prose without addresses, but with the words and marks that addresses are spelled with."""
+    rng = np.random.default_rng(11)
+    pick = lambda *x: x[rng.integers(len(x))]
+    word = lambda: "".join(rng.choice(list("aeinorstlumdhwgé"), rng.integers(1, 12)))
+    out = []
+    for _ in range(rows):
+        text = ""
+        for _ in range(rng.integers(1, 6)):
+            words = [pick(word(), word(), word(), word(), "at", "that", "dot", "of", "the", "mail", "call") for _ in range(rng.integers(1, 10))]
+            words[0] = words[0].capitalize()
+            for k in range(1, len(words)):
+                text += words[k - 1] + pick(" ", " ", " ", " ", " ", " ", ", ", "\n", " | ", " (", ") ", "-", ": ", " [")
+            text += words[-1] + pick(". ", ". ", ".\n", "? ", ".", "\n", " | ")
+        out.append(text)
     return out
 
 
 def train(table: DataFrame) -> Field:
     """Fit the field to a labelled table (text, spans): it is small by contract and comes to the driver."""
+    rows = [(text or "", spans or []) for text, spans in table.select("text", "spans").collect()]
+    starts, _, kinds, bounds = tokens([text for text, _ in rows])
     sequences = []
-    for text, spans in table.select("text", "spans").collect():
-        for starts, _, kinds in tokens_near_anchors(text or ""):
-            tags = []
-            for a in starts:
-                own = next((s for s in spans or [] if s[0] <= a < s[1]), None)
-                tags.append(0 if own is None else 1 + 2 * KINDS.index(own[2]) + (bool(tags) and a != own[0] and tags[-1] > 0))
-            sequences.append((kinds, tags))
+    for (_, spans), a, b in zip(rows, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        tags = []
+        for at in starts[a:b].tolist():
+            own = next((s for s in spans if s[0] <= at < s[1]), None)
+            tags.append(0 if own is None else 1 + 2 * KINDS.index(own[2]) + (bool(tags) and at != own[0] and tags[-1] > 0))
+        if tags:
+            sequences.append((kinds[a:b].tolist(), tags))
     return fit_field(sequences)
 
 
@@ -296,7 +344,7 @@ def _plausible(kind: int, text: str) -> bool:
     """What an added span must have, so that a shape alone never convicts clean text."""
     d = _digits(text)
     if kind == 0:
-        return ("@" in text or "at" in text.lower()) and len(text) >= 6 and ("." in text or "dot" in text.lower())
+        return len(text) >= 6 and _SPELLED.match(text) is not None
     if kind == 1:
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -305,45 +353,59 @@ def _plausible(kind: int, text: str) -> bool:
     return 9 <= len(d) <= 15
 
 
+_BLOCK = 1 << 16  # tokens whose emissions are held at once
+
+
+def _undecided(field: Field, x: np.ndarray) -> np.ndarray:
+    """Whether a token is not surely outside; x has the texts' shapes with two _PAD before, between and after them."""
+    out = np.zeros(len(x), bool)
+    for a in range(2, len(x) - 2, _BLOCK):
+        b = min(a + _BLOCK, len(x) - 2)
+        e = sum(field.own[k][x[a + k - 2 : b + k - 1]] for k in range(5)) if b < len(x) - 2 else emissions(field, x[None, a - 2 :])[0, 2:-1]
+        out[a:b] = ~surely_outside(field, e)
+    return out & (x != _PAD)
+
+
 def find_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text; an added span overlaps no base span."""
-    sequences, of = [], []
-    for i, text in enumerate(texts):
-        own = tokens_near_anchors(text)
-        sequences += own
-        of += [i] * len(own)
     added: list[list] = [[] for _ in texts]
-    order = sorted(range(len(sequences)), key=lambda k: len(sequences[k][0]))
+    starts, ends, kinds, bounds = tokens(texts)
+    place = np.arange(len(starts)) + 2 * np.repeat(np.arange(1, len(texts) + 1), np.diff(bounds))
+    x = np.full(len(starts) + 2 * len(texts) + 2, _PAD)
+    x[place] = kinds
+    open_ = np.concatenate(([False], _undecided(field, x), [False]))
+    first, after = np.flatnonzero(open_[1:] & ~open_[:-1]), np.flatnonzero(open_[:-1] & ~open_[1:])
+    size = after - first
+    order = np.argsort(size, kind="stable")
+    free = np.zeros(TAGS)
+    begins = np.where(np.arange(TAGS) % 2 + (np.arange(TAGS) == 0) > 0, 0.0, -np.inf)
     at = 0
     while at < len(order):
-        width = len(sequences[order[at]][0])
-        limit = max(16, width + width // 4)
-        upto = at
-        while upto < len(order) and len(sequences[order[upto]][0]) <= limit and (upto - at) * limit < 40_000:
-            upto += 1
-        upto = max(upto, at + 1)
-        part = order[at:upto]
-        at = upto
-        lengths = np.array([len(sequences[k][0]) for k in part])
-        x = np.full((len(part), int(lengths.max())), _PAD)
-        for r, k in enumerate(part):
-            x[r, : lengths[r]] = sequences[k][2]
-        tags = viterbi(field, x, lengths)
+        limit = int(size[order[at]]) * 5 // 4
+        upto = min(int(np.searchsorted(size[order], limit, "right")), at + max(1, 40_000 // limit))
+        part, at = order[at:upto], upto
+        a, lengths = first[part], size[part]
+        steps = a[:, None] + np.arange(int(lengths.max()))
+        e = sum(field.own[k][x[np.minimum(steps + k - 2, len(x) - 1)]] for k in range(5))
+        begin = np.where((x[a - 1] == _PAD)[:, None], begins, field.pair[0])
+        end = np.where((x[a + lengths] == _PAD)[:, None], free, field.pair[:, 0])
+        tags = _best_tags(field.pair, e, lengths, begin, end)
         for r in np.flatnonzero((tags > 0).any(1)):
-            starts, ends, _ = sequences[part[r]]
             row, s = tags[r], 0
+            token = int(np.searchsorted(place, a[r]))
+            of = int(np.searchsorted(bounds, token, "right")) - 1
             while s < lengths[r]:
                 if row[s] % 2 == 1:
-                    kind, e = int(row[s] // 2), s + 1
-                    while e < lengths[r] and row[e] == row[s] + 1:
-                        e += 1
-                    added[of[part[r]]].append((starts[s], kind, ends[e - 1]))
-                    s = e
+                    kind, stop = int(row[s] // 2), s + 1
+                    while stop < lengths[r] and row[stop] == row[s] + 1:
+                        stop += 1
+                    added[of].append((int(starts[token + s]), kind, int(ends[token + stop - 1])))
+                    s = stop
                 else:
                     s += 1
     out = []
     for text, extra in zip(texts, added, strict=True):
-        base = base_spans(text)
+        base = base_spans(text) if _BASE.search(text) else []
         alone = lambda a, b, text=text: not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum())
         more = [x for x in extra if alone(x[0], x[2]) and all(x[2] <= b[0] or x[0] >= b[2] for b in base) and _plausible(x[1], text[x[0] : x[2]])]
         out.append((base, sorted(base + more)))
@@ -387,10 +449,10 @@ def detect(docs: DataFrame, field: Field | None = None, text_col: str = "text",
         for column in columns:
             out = np.empty((len(column), len(names)), object)
             values = column.tolist()
-            need = [k for k, x in enumerate(values) if x and _ANCHOR.search(x)]
-            spans = dict(zip(need, find_spans([values[k] for k in need], sent.value), strict=True))
-            for k, x in enumerate(values):
-                base, every = spans.get(k, ((), ()))
+            texts = [x or "" for x in values]
+            cuts = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)))
+            spans = [s for i, j in C.slices(cuts) for s in find_spans(texts[i:j], sent.value)]
+            for k, (x, (base, every)) in enumerate(zip(values, spans, strict=True)):
                 counts = [0] * len(KINDS)
                 for s in base:
                     counts[s[1]] += 1

@@ -148,6 +148,28 @@ def test_pii_table(spark, field):
     assert "email:" in by_text[rows[0][1]].spans and by_text[rows[0][1]].n_email == 1
 
 
+def test_addresses_without_digits_or_signs(spark, field):
+    """An address of letters is found by itself, across line ends and far from any digit; prose with its words is not one."""
+    prose = "We met at the station. That is the dot at the end (of the line).\n" * 40
+    texts = ["joe [at] site [dot] com", "write to joe [at] site [dot] com please", "mail\njoe [at]\nsite [dot] com\nthanks", prose, prose + "joe [at] site [dot] com\n" + prose]
+    out = {r.doc_id: r for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field, redact=True).collect()}
+    assert [out[k].redacted for k in range(5)] == ["[EMAIL]", "write to [EMAIL] please", "mail\n[EMAIL]\nthanks", prose, prose + "[EMAIL]\n" + prose]
+    assert all(out[k].n_email == 0 for k in range(5))
+
+
+def test_decoding_is_viterbi_over_whole_texts(field, monkeypatch):
+    monkeypatch.setattr(pii, "_plausible", lambda kind, text: True)
+    monkeypatch.setattr(pii, "base_spans", lambda text: [])
+    monkeypatch.setattr(pii, "_BLOCK", 100)
+    texts = [x for x, _ in pii.labelled_lines(60)] + ["", " ", "a", "1", "\n".join(x for x, _ in pii.labelled_lines(30))]
+    for text, (_, every) in zip(texts, pii.find_spans(texts, field), strict=True):
+        starts, ends, kinds, _ = pii.tokens([text])
+        tags = pii.viterbi(field, kinds[None], np.array([len(kinds)]))[0] if len(kinds) else []
+        firsts = [k for k, t in enumerate(tags) if t % 2]
+        want = [(starts[k], tags[k] // 2, ends[next((j for j in range(k + 1, len(tags)) if tags[j] != tags[k] + 1), len(tags)) - 1]) for k in firsts]
+        assert every == [x for x in want if not (text[x[0] - 1 : x[0]].isalnum() or text[x[2] : x[2] + 1].isalnum())]
+
+
 # --- quality ---
 
 
