@@ -366,6 +366,13 @@ def join_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id stays null and is never a smallest id unless there is no other. Repeated ids keep a row each. An empty table
     gives no rows.
     """
+    rows, labels = _labelled(docs, id_col, text_col, share, words, region_bytes)
+    found = rows.where("size > 0").join(labels.drop("comp"), "key", "left").select("id", F.col("size").alias("n_shingles"), "class_id", "component_id")
+    return found.unionAll(rows.where("size = 0").select("id", "size", "id", "id")).withColumnRenamed("id", id_col)
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, share: int, words: int, region_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(id, key, size) of every row, key standing for its set, and (key, class_id, comp, component_id) of the sets that aren't empty."""
     spark = docs.sparkSession
     C.bound_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -393,23 +400,49 @@ def join_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = least.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     labels = C.materialise(labels, "labels")
     best = labels.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    labels = labels.join(best, "comp").select("key", "class_id", "component_id")
-    return rows.where("size > 0").join(labels, "key", "left").select("id", F.col("size").alias("n_shingles"), "class_id", "component_id").unionAll(
-        rows.where("size = 0").select("id", "size", "id", "id")
-    ).withColumnRenamed("id", id_col)
+    return rows, labels.join(best, "comp").select("key", "class_id", "comp", "component_id")
+
+
+def _set_key(words: int):
+    """The key of a text's set of shingles, as in _deal."""
+    import pandas as pd
+    from collections.abc import Iterator
+
+    def run(texts):
+        for column in texts:
+            data, offsets = C.buffers(pa.array(column, pa.string(), from_pandas=True))
+            parts = [set_keys(shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)) for i, j in C.slices(offsets)]
+            yield pd.Series(np.concatenate(parts or [np.zeros(0, np.int64)]))
+
+    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 80) -> DataFrame:
     """docs with one row of each component: the one with the smallest id. Rows without an id are kept.
 
-    Rows that repeat the smallest id with one text count as copies too: the first of them by text stays.
+    Rows of one component that repeat its smallest id count as copies too: the first of them by its columns stays. Rows that
+    share an id but not a component have nothing to do with each other. A text without shingles links only with itself under
+    the same id.
     """
     from pyspark.sql import Window
 
-    kept_name, nth = C.unused(docs, "_kept"), C.unused(docs, "_nth")
-    joined = join_ngrams(docs, id_col, text_col, share)
-    kept = joined.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(kept_name)).distinct()
-    out = docs.join(kept, F.col(id_col) == F.col(kept_name), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(*(F.col(f"`{c}`").asc_nulls_last() for c, k in docs.dtypes if not k.startswith(("map", "variant"))))
-    out = out.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*(f"`{c}`" for c in docs.columns))
-    return out.unionAll(docs.where(F.col(id_col).isNull()))
+    rows, labels = _labelled(docs, id_col, text_col, share, WORDS, REGION_BYTES)
+    labels = C.materialise(labels, "components-of-sets")
+    joined = rows.where("size > 0").join(labels, "key", "left").select("id", "component_id").unionAll(rows.where("size = 0").select("id", "id"))
+    counted = joined.groupBy("id").agg(F.count("*").alias("n"), F.max(F.col("id") == F.col("component_id")).alias("least")).where("least")
+    kept_name, nth, key = C.unused(docs, "_kept"), C.unused(docs, "_nth"), C.unused(docs, "_key")
+    kept = counted.select(F.col("id").alias(kept_name), "n")
+    of = lambda ids: docs.join(ids.select(kept_name), F.col(id_col) == F.col(kept_name), "left_semi")
+    out = of(kept.where("n = 1")).unionAll(docs.where(F.col(id_col).isNull()))
+    # A row whose id is its alone is told by the id; of the others the component of each row's own text counts.
+    repeated = kept.where("n > 1")
+    if repeated.isEmpty():
+        return out
+    comp, least = C.unused(docs, "_comp"), C.unused(docs, "_least")
+    own = labels.select(F.col("key").alias(key + "_of"), F.col("comp").alias(comp), F.col("component_id").alias(least))
+    met = of(repeated).withColumn(key, _set_key(WORDS)(F.col(text_col))).join(own, F.col(key) == F.col(key + "_of"), "left")
+    met = met.where(F.col(least).isNull() | (F.col(least) == F.col(id_col)))
+    order = Window.partitionBy(id_col, comp, F.when(F.col(least).isNull(), F.col(text_col))).orderBy(*(F.col(f"`{c}`").asc_nulls_last() for c, k in docs.dtypes if not k.startswith(("map", "variant"))))
+    met = met.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+    return out.unionAll(met.select(*(f"`{c}`" for c in docs.columns)))

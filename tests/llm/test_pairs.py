@@ -93,6 +93,15 @@ def test_keep_one(spark):
     assert out.columns == ["doc_id", "text", "_nth"]
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    """Unrelated texts under one id are both kept, copies are not, and a copy of another component's text goes."""
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, "a b c d e f g"), (5, "q r s t u v w"), (5, "Q r s t u v w"), (2, near), (5, near + " end"), (7, near), (7, "x y z"), (7, ""), (7, ""), (7, None), (None, near)]
+    got = sorted(map(tuple, jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    want = [(5, "a b c d e f g"), (5, "Q r s t u v w"), (2, near), (7, "x y z"), (7, ""), (7, None), (None, near)]
+    assert got == sorted(want, key=repr)
+
+
 def test_empty_tables(spark):
     assert jaccard_join.join_ngrams(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert embedding_dedup.join_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
