@@ -134,16 +134,31 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
-    """Estimate the labellers over all of docs and train the scorer on the train_rows documents of smallest id hash."""
+    """Estimate the labellers over all of docs and train the scorer on train_rows documents.
+
+    Those have the smallest hashes of id, text and place among the rows equal in both, so neither null ids nor repeated ones
+    nor copies lead to more rows or favour some votes. Equal rows have equal features, which are kept once.
+    """
     spark = docs.sparkSession
     C.bound_batches(spark)
-    ids = docs.select(F.xxhash64(F.col(id_col)).alias("h")).orderBy("h").limit(train_rows)
-    cut = ids.agg(F.max("h")).first()[0]
+    text, own_hash = F.col(text_col).cast("string"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+    run_of = 4096
+    equal = docs.select(own_hash.alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    runs = equal.select("h", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {run_of}"))).alias("r"))
+    places = runs.select("h", F.explode(F.sequence(F.col("r") * run_of + 1, F.least("n", (F.col("r") + 1) * run_of))).alias("place"))
+    ids = places.select("h", F.xxhash64("h", "place").alias("rank")).orderBy("rank", "h").limit(train_rows)
+    times = {r["h"]: r["n"] for r in ids.groupBy("h").agg(F.count("*").alias("n")).collect()}
+    sent = spark.sparkContext.broadcast(np.array(sorted(times), np.int64))
     base = 3 ** np.arange(len(LABELLERS))
 
     def run(batches):
+        done: set[int] = set()
         for batch in batches:
-            chosen = np.asarray(batch.column(1).to_pylist(), bool)
+            hashes = batch.column(1).to_numpy()
+            _, firsts = np.unique(hashes, return_index=True)
+            chosen = np.zeros(len(hashes), bool)
+            chosen[[k for k in firsts[np.isin(hashes[firsts], sent.value)] if hashes[k] not in done]] = True
+            done.update(hashes[chosen].tolist())
             data, offsets = C.buffers(batch.column(0))
             for i, j in C.slices(offsets):
                 votes, features = measure(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -153,12 +168,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
                     [
                         pa.array(np.concatenate([code, (votes[own].astype(np.int64) + 1) @ base])),
                         pa.array([*count.tolist(), *[0] * len(own)], pa.int64()),
+                        pa.array([*[None] * len(code), *hashes[i + own].tolist()], pa.int64()),
                         pa.array([*[None] * len(code), *[features[k].astype(np.float32).tobytes() for k in own]], pa.binary()),
                     ],
-                    names=["code", "n", "features"],
+                    names=["code", "n", "h", "features"],
                 )
 
-    seen = C.materialise(docs.select(F.col(text_col).cast("string"), F.xxhash64(F.col(id_col)) <= F.lit(cut)).mapInArrow(run, "code long, n long, features binary"), "votes")
+    seen = C.materialise(docs.select(text, own_hash).mapInArrow(run, "code long, n long, h long, features binary"), "votes")
     counted = seen.where("features is null").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
     code = np.array([r[0] for r in counted], np.int64)
     if not len(code):
@@ -166,9 +182,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
     votes = code[:, None] // base % 3 - 1
     good, accuracy, prior = estimate(votes, np.array([r[1] for r in counted], float))
     posterior = dict(zip(code.tolist(), good.tolist(), strict=True))
-    rows = seen.where("features is not null").orderBy("code", "features").limit(train_rows).collect()
-    x = np.stack([np.frombuffer(r[2], np.float32) for r in rows]).astype(float)
-    return Model(fit_linear(x, np.array([posterior[r[0]] for r in rows])), accuracy, prior)
+    rows = seen.where("features is not null").dropDuplicates(["h"]).orderBy("h").select("code", "h", "features").collect()
+    weight = [times[r["h"]] for r in rows]
+    x = np.repeat(np.stack([np.frombuffer(r["features"], np.float32) for r in rows]).astype(float), weight, axis=0)
+    return Model(fit_linear(x, np.repeat([posterior[r["code"]] for r in rows], weight)), accuracy, prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

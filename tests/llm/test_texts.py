@@ -202,6 +202,21 @@ def test_quality_edges(spark):
     assert weak_quality.classify(df.where("false")).count() == 0
 
 
+def test_quality_sample_is_bounded_and_fair_without_ids(spark, monkeypatch):
+    """Null ids, and one row that makes up a third of the table: the sample has train_rows rows with the table's mix of votes."""
+    good = ["The people of the town came to see the old house, and it was a good day for all of them. We walked to the river " + f"with friend number {k} and had a long talk about what they have done in the year." for k in range(200)]
+    junk = ["!!! ### $$$ %%% &&& " * 20 + str(k) for k in range(200)]
+    seen = []
+    fit_linear = weak_quality.fit_linear
+    monkeypatch.setattr(weak_quality, "fit_linear", lambda x, p: seen.append((x, p)) or fit_linear(x, p))
+    for more in ([], [(8, junk[0])] * 200):
+        rows = [(None, t) for t in good + junk] + more
+        weak_quality.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), train_rows=120)
+        x, p = seen.pop()
+        assert len(x) == len(p) == 120
+        assert abs((p > 0.5).mean() - len(good) / len(rows)) < 0.15
+
+
 # --- mixing ---
 
 
