@@ -146,6 +146,15 @@ def test_components(spark):
         assert got.get(k, k) == nodes[label[i]]
 
 
+def test_chroma_alignment_of_few_prints(spark):
+    """Recordings with fewer prints than VOTES align with their copies and with a longer recording that holds them."""
+    some = np.arange(100, 120, dtype="<u4") * np.uint32(2654435761)
+    blob = lambda x: bytearray(x.tobytes())
+    rows = [(0, blob(some[5:8])), (1, blob(some[5:8])), (50, blob(some[:1] ^ 1)), (100, blob(some)), (150, bytearray())]
+    got = {tuple(r) for r in chroma.align(spark.createDataFrame(rows, "id long, prints binary"), F.col("id") % 50 == 0).collect()}
+    assert got == {(0, 0, 2, 0, 3, 0.0), (0, 100, 1, -5, 3, 0.0), (50, 50, 1, 0, 1, 0.0), (100, 100, 1, 0, 20, 0.0), (100, 0, 2, 5, 3, 0.0)}
+
+
 def test_chroma_alignment_against_brute_force(spark):
     rng = np.random.default_rng(2)
     tone = lambda: (6000 * np.sin(2 * np.pi * 220 * 2 ** (rng.integers(0, 24) / 12) * np.arange(256) / chroma.RATE)).astype("<i2")
