@@ -280,7 +280,8 @@ def read_records(spark: SparkSession, archive: str, lines: DataFrame, payload: b
     """The records at the lines' ranges: url, page_id, payload_bytes and payload_digest (of the full payload), record_type,
     refers_to, payload (null of revisits). A range named several times gives a record once.
 
-    Up to range_rows lines are sent to the executors, which read only those ranges of only those files. Of more, all files
+    Up to range_rows lines are sent to the executors, which load only the files named, whole, and cut the ranges from them. Of
+    more, all files
     are read in one pass and the records found there meet the lines; no file's content is shuffled either way.
     """
     wanted = lines.select("file", "at").distinct()
