@@ -2,7 +2,8 @@
 
 An Aho-Corasick automaton lists every vocabulary piece that ends at each character of a word; dynamic programming keeps, for
 each end, the best score and the number of pieces on its path. Ties and unknown characters follow the tokenizers library's
-unigram model: paths are tried by where their last piece starts, a later one must score strictly more; a character at which
+unigram model with Metaspace(split=True): each blank starts a word, so every blank of a run counts and the vocabulary's pieces
+of several blanks are unreachable; Viterbi over the whole text would count fewer tokens there. Paths are tried by where their last piece starts, a later one must score strictly more; a character at which
 no one-character piece starts may stand as unknown, 10 below the worst score, and neighbouring unknowns are one token.
 """
 
