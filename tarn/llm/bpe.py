@@ -66,51 +66,7 @@ class Vocabulary:
         self.into = np.array([ids[a + b] for a, b in merges], np.int64)
 
 
-class Memo:
-    """An open-addressing table from 64-bit hashes to numbers, asked and filled a whole array at a time."""
-
-    def __init__(self, bits: int):
-        self.bits, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values, self.n = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), 0
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        slot = (h >> self.bits).astype(np.int64)
-        key = self.keys[slot]
-        hit = key == h
-        out = np.where(hit, self.values[slot], -1)
-        left = np.flatnonzero(~hit & (key != 0))
-        while len(left):
-            slot = (slot[left] + 1) & self.mask if len(slot) != len(left) else (slot + 1) & self.mask
-            key = self.keys[slot]
-            hit = key == h[left]
-            out[left[hit]] = self.values[slot[hit]]
-            go = ~hit & (key != 0)
-            left, slot = left[go], slot[go]
-            if len(left):
-                slot = (slot + 1) & self.mask
-                key = self.keys[slot]
-                hit = key == h[left]
-                out[left[hit]] = self.values[slot[hit]]
-                go = ~hit & (key != 0)
-                left, slot = left[go], slot[go]
-        return out
-
-    def add(self, h: np.ndarray, values: np.ndarray) -> None:
-        """h: distinct and new."""
-        self.n += len(h)
-        slot, left = (h >> self.bits).astype(np.int64), np.arange(len(h))
-        while len(left):
-            free = self.keys[slot[left]] == 0
-            _, first = np.unique(slot[left[free]], return_index=True)
-            won = left[free][first]
-            self.keys[slot[won]], self.values[slot[won]] = h[won], values[won]
-            rest = np.ones(len(h), bool)
-            rest[won] = False
-            left = left[rest[left]]
-            slot[left] = (slot[left] + 1) & self.mask
-
-
-def merge_words(words: list[bytes], vocabulary: Vocabulary, ranks: Memo) -> list[np.ndarray]:
+def merge_words(words: list[bytes], vocabulary: Vocabulary, ranks: C.Memo) -> list[np.ndarray]:
     """The ids of each word by BPE's rule: the lowest-ranked pair first, of equal ones the leftmost."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
     lengths = np.array([len(w) for w in words], np.int64)
@@ -167,8 +123,8 @@ def merge_words(words: list[bytes], vocabulary: Vocabulary, ranks: Memo) -> list
     return out
 
 
-def rank_table(vocabulary: Vocabulary) -> Memo:
-    table = Memo(max(8, int(len(vocabulary.pairs)).bit_length() + 2))
+def rank_table(vocabulary: Vocabulary) -> C.Memo:
+    table = C.Memo(max(8, int(len(vocabulary.pairs)).bit_length() + 2))
     table.add(C.mix(vocabulary.pairs + np.uint64(1)), np.arange(len(vocabulary.pairs), dtype=np.int32))
     return table
 
@@ -351,14 +307,7 @@ class Words:
         self.reset()
 
     def reset(self):
-        self.memo, self.words, self.size = Memo((2 * self.limit).bit_length()), [], 0
-        self.fresh([b"", *self.vocabulary.special])
-        self.memo.add(self._hash(list(self.vocabulary.special)), np.arange(1, self.size, dtype=np.int32))
-
-    @staticmethod
-    def _hash(words: list[bytes]) -> np.ndarray:
-        ends = np.cumsum([len(w) for w in words])
-        return C.span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends) | np.uint64(1)
+        self.table, self.words, self.size = C.WordTable(self.limit), [], 0
 
     def fresh(self, words: list[bytes]) -> None:
         """Take up new words."""
@@ -371,19 +320,12 @@ class Words:
         ends = np.append(starts[1:], len(data))
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        h = C.span_hashes(data, starts, ends) | np.uint64(1)
-        if self.memo.n > self.limit:
+        if self.table.full:
             self.reset()
-        at = self.memo.find(h)
-        new = np.flatnonzero(at < 0)
+        at, new = self.table.number(data, starts, ends)
         if len(new):
-            keys, first, back = np.unique(h[new], return_index=True, return_inverse=True)
             raw = data.tobytes()
-            base = self.size
-            self.fresh([raw[a:b] for a, b in zip(starts[new[first]].tolist(), ends[new[first]].tolist(), strict=True)])
-            if self.memo.n + len(keys) < 2 * self.limit:
-                self.memo.add(keys, np.arange(base, base + len(keys), dtype=np.int32))
-            at[new] = base + back
+            self.fresh([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
         return at, np.searchsorted(starts, offsets)
 
 
@@ -407,7 +349,7 @@ def _count_words(vocabulary, keep: int):
         for batch in batches:
             data, offsets = C.buffers(batch.column(0))
             for i, j in C.slices(offsets):
-                if words.memo.n > words.limit:  # the words are about to be numbered anew
+                if words.table.full:  # the words are about to be numbered anew
                     yield from summary()
                     words.reset()
                 at, _ = words.numbers(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])

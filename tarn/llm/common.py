@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -94,19 +95,6 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2^64, and of its inverse."""
-    if len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((_ODD, _INVERSE)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x)
-    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -118,15 +106,158 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+LONG = 256  # bytes of a span from which on it is handled by itself
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k of 8 bytes
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of data on as one number, zeros beyond its end; unaligned and without a copy for each."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end) of data."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the byte spans [start, end) of data: 8 bytes a round, each mixed into what came before; BLAKE2b of
+    spans over LONG. They depend on nothing but the bytes. Two spans may clash by chance, so users compare the bytes or say
+    what a clash does."""
+    size = ends - starts
+    view = _eights(data)
+    out = mix(size.astype(np.uint64) * _ODD + np.uint64(1))
+    at, left, h = starts, size, out
+    rows = None  # all of them
+    while len(at):
+        go = left > 0
+        if rows is None:
+            go &= size <= LONG
+        if not go.all():
+            rows = np.flatnonzero(go) if rows is None else rows[go]
+            at, left, h = at[go], left[go], h[go]
+        if not len(at):
+            break
+        h = mix(h ^ (view[at] & _KEPT[np.minimum(left, 8)]))
+        if rows is None:
+            out = h
+        else:
+            out[rows] = h
+        at, left = at + 8, left - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Whether each span of data has the bytes of the span of other beside it."""
+    same = sizes == other_sizes
+    x, y = _eights(data), _eights(other)
+    rows = np.flatnonzero(same & (sizes <= LONG))
+    a, b, left = starts[rows], other_starts[rows], sizes[rows]
+    while len(rows):
+        kept = _KEPT[np.minimum(left, 8)]
+        equal = (x[a] & kept) == (y[b] & kept)
+        same[rows[~equal]] = False
+        go = equal & (left > 8)
+        rows, a, b, left = rows[go], a[go] + 8, b[go] + 8, left[go] - 8
+    for i in np.flatnonzero(same & (sizes > LONG)).tolist():
+        same[i] = np.array_equal(data[starts[i] : starts[i] + sizes[i]], other[other_starts[i] : other_starts[i] + sizes[i]])
+    return same
+
+
+class Memo:
+    """An open-addressing table from 64-bit hashes to numbers, asked and filled a whole array at a time."""
+
+    def __init__(self, bits: int):
+        self.bits, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values, self.n = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if it has none."""
+        out = np.full(len(h), -1, np.int32)
+        left, slot = np.arange(len(h)), (h >> self.bits).astype(np.int64)
+        while len(left):
+            key = self.keys[slot]
+            hit = key == h[left]
+            out[left[hit]] = self.values[slot[hit]]
+            go = ~hit & (key != 0)
+            left, slot = left[go], (slot[go] + 1) & self.mask
+        return out
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """h: distinct and new."""
+        self.n += len(h)
+        slot, left = (h >> self.bits).astype(np.int64), np.arange(len(h))
+        while len(left):
+            free = self.keys[slot[left]] == 0
+            _, first = np.unique(slot[left[free]], return_index=True)
+            won = left[free][first]
+            self.keys[slot[won]], self.values[slot[won]] = h[won], values[won]
+            rest = np.ones(len(h), bool)
+            rest[won] = False
+            left = left[rest[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+
+
+class WordTable:
+    """Numbers for words, up to 2 * limit of them remembered. Words are found by their hashes and told apart by their bytes."""
+
+    def __init__(self, limit: int, hashes=span_hashes):
+        self.limit, self.hashes = limit, hashes
+        self.memo, self.size = Memo((2 * limit).bit_length()), 0
+        self.bytes, self.used = np.zeros(1 << 16, np.uint8), 0
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @property
+    def full(self) -> bool:
+        return self.memo.n > self.limit
+
+    def number(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each span, and which spans stand first for the new numbers, in their order."""
+        h = self.hashes(data, starts, ends) | np.uint64(1)
+        sizes = ends - starts
+        at = self.memo.find(h)
+        hit = np.flatnonzero(at >= 0)
+        odd = hit[~same_spans(data, starts[hit], sizes[hit], self.bytes, self.starts[at[hit]], self.sizes[at[hit]])]
+        new = np.flatnonzero(at < 0)
+        keys, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+        rep = new[first]
+        at[new] = self.size + back
+        clash = ~same_spans(data, starts[new], sizes[new], data, starts[rep][back], sizes[rep][back])
+        odd = np.concatenate([odd, new[clash]])
+        kept = min(len(keys), max(0, 2 * self.limit - self.memo.n))
+        self.memo.add(keys[:kept], np.arange(self.size, self.size + kept, dtype=np.int32))
+        self._keep(data, starts[rep[:kept]], sizes[rep[:kept]])
+        self.size += len(keys)
+        if len(odd):  # words whose hash another word has are numbered by their bytes, for this call only
+            own: dict[bytes, int] = {}
+            firsts = []
+            for i in odd.tolist():
+                word = data[starts[i] : ends[i]].tobytes()
+                if word not in own:
+                    own[word] = self.size + len(own)
+                    firsts.append(i)
+                at[i] = own[word]
+            rep = np.append(rep, np.array(firsts, np.int64))
+            self.size += len(own)
+        return at, rep
+
+    def _keep(self, data, starts, sizes) -> None:
+        """Remember the bytes of the next numbers. Numbers not remembered get no place: none is ever found for them."""
+        total = int(sizes.sum())
+        if self.used + total > len(self.bytes):
+            grown = np.zeros(2 * (self.used + total), np.uint8)
+            grown[: self.used] = self.bytes[: self.used]
+            self.bytes = grown
+        self.bytes[self.used : self.used + total] = data[ranges(starts, sizes)]
+        need = self.size + len(sizes)
+        if need > len(self.starts):
+            more = np.zeros(2 * need, np.int64)
+            more[: len(self.starts)] = self.starts
+            self.starts = more
+            more = np.full(2 * need, -1, np.int64)
+            more[: len(self.sizes)] = self.sizes
+            self.sizes = more
+        self.starts[self.size : need], self.sizes[self.size : need] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += total
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import common as C
-from tarn.llm.bpe import MEMO_WORDS, Memo
+from tarn.llm.bpe import MEMO_WORDS
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -48,7 +48,7 @@ class Counter:
         self.reset()
 
     def reset(self):
-        self.memo, self.counts = Memo((2 * self.limit).bit_length()), np.zeros(0, np.int64)
+        self.table, self.counts = C.WordTable(self.limit), np.zeros(0, np.int64)
 
     def word(self, text: str) -> int:
         """The number of tokens of one word, its blank written as SPACE."""
@@ -89,21 +89,15 @@ class Counter:
         first[offsets[:-1][offsets[:-1] < size]] = True
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], size)
-        h = C.span_hashes(data, starts, ends) | np.uint64(1)
-        if self.memo.n > self.limit:
+        if self.table.full:
             self.reset()
-        at = self.memo.find(h)
-        new = np.flatnonzero(at < 0)
+        at, new = self.table.number(data, starts, ends)
         if len(new):
-            keys, place, back = np.unique(h[new], return_index=True, return_inverse=True)
-            raw, made, base = data.tobytes(), [], len(self.counts)
-            for a, b in zip(starts[new[place]].tolist(), ends[new[place]].tolist(), strict=True):
+            raw, made = data.tobytes(), []
+            for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True):
                 text = raw[a:b].decode().replace(" ", SPACE)
                 made.append(self.word(text if text.startswith(SPACE) else SPACE + text))
             self.counts = np.concatenate([self.counts, np.array(made, np.int64)])
-            if self.memo.n + len(keys) < 2 * self.limit:
-                self.memo.add(keys, np.arange(base, base + len(keys), dtype=np.int32))
-            at[new] = base + back
         of = np.searchsorted(offsets, starts, "right") - 1
         return np.bincount(of, self.counts[at], n).astype(np.int64)
 

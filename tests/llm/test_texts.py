@@ -275,3 +275,42 @@ def test_mixing_keeps_expectations(spark):
         for r in mixing.mix(df, seed=seed).collect():
             total.setdefault(r.source, []).append(r.copies - r.target / r.source_size)
     assert all(abs(np.mean(x)) < 0.06 for x in total.values())
+
+
+def thue_morse(n, a=b"a", b=b"b"):
+    """A word of n letters and its complement: equal under every polynomial hash modulo 2^64 from 1,024 letters on."""
+    return tuple(b"".join((a, b)[(bin(i).count("1") + k) % 2] for i in range(n)).decode() for k in (0, 1))
+
+
+@pytest.mark.parametrize("n", [8, 64, 255, 256, 257, 1024, 4096])
+def test_hashes_of_thue_morse_words_differ(n):
+    data = np.frombuffer("".join(thue_morse(n)).encode(), np.uint8)
+    h = C.span_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+    assert h[0] != h[1]
+    assert C.span_hashes(data[3:], np.array([n - 3]), np.array([2 * n - 3]))[0] == h[1]
+
+
+@pytest.mark.parametrize("hashes", [C.span_hashes, lambda d, s, e: np.zeros(len(s), np.uint64), lambda d, s, e: (e - s).astype(np.uint64) * np.uint64(1 << 60)])
+@pytest.mark.parametrize("limit", [2, 1000])
+def test_word_table_tells_words_apart_whatever_the_hash(hashes, limit):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 3, 9, 17, 300]))).encode() for _ in range(400)]
+    table, seen = C.WordTable(limit, hashes), {}
+    for k in range(0, 400, 40):
+        part = words[k : k + 40]
+        ends = np.cumsum([len(w) for w in part])
+        before = table.size
+        at, new = table.number(np.frombuffer(b"".join(part), np.uint8), ends - [len(w) for w in part], ends)
+        seen.update((before + i, part[j]) for i, j in enumerate(new.tolist()))
+        assert table.size == before + len(new)
+        assert [seen[i] for i in at.tolist()] == part
+
+
+def test_token_counts_and_ids_of_colliding_words(spark, library):
+    texts = list(thue_morse(4096))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.ids for r in bpe.encode(df).collect()}
+    assert [got[0], got[1]] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df).collect()}
+    alone = token_counts.Counter(token_counts.load_vocabulary())
+    assert [counts[0], counts[1]] == [alone.word(token_counts.SPACE + t) for t in texts]
