@@ -1,27 +1,32 @@
 """N-gram Jaccard join: an exact metric-space join over word shingles.
 
-1 - |x & y| / |x | y| is a metric, so a pivot's distances bound all others. Random pivots are useless on raw text: nearly
-all pairs of documents are at distance 1 from each other and every window would hold everything. So the space is cut
-first, without loss:
+d(x, y) = 1 - |x & y| / |x | y| is a metric, and two sets link when d is at most the radius r = 0.2. Pivots cut the space:
 
 * Equal shingle sets are one *class*; everything below works on classes.
 * A shingle that only one class holds can't be in an intersection. Shingles are dealt by hash range as byte blocks, counted
   there, and only the shared ones return to their class, ranked rarest first. A class with fewer than 80 % shared shingles
-  links with nothing.
-* *Voronoi regions*: each class belongs to the regions of the rarest shingles of its set, as many as must meet any partner
-  (|x| - ceil(0.8 |x|) + 1). The region's pivot is its smallest class. Regions that share a class are merged, so a class
-  lies in one region and a link never leaves it.
-* Inside a region, pivots are taken one after the other: exact distances from the pivot to all members; members within the
-  radius join its component; by the triangle inequality only members whose distance differs from that of a foreign
-  component's member by at most the radius can link to it, and only members with such a partner become pivots.
-* A region of more bytes than fit a task is split: pivots are compared to all members first, then blocks of members that
-  still belong to several components meet pair by pair, each pair of blocks in a task of its own.
-
-Shingles are 64-bit hashes (intersections use 48 of those bits with the document frequency), classes 64-bit digests of sets.
+  links with nothing. Partners share at least one of a class's leading (rarest) shingles, |x| - ceil(0.8 |x|) + 1 of them.
+* *Rounds of pivots.* In the list of each leading shingle the most central class (the one whose shingles most classes hold)
+  is a pivot. Each class goes to the region of its most central pivot not tried yet, and its exact distance from it is
+  taken: within r the two link. Lists whose members are all in one component by now are done and drop out. A region is
+  dealt to tasks in slices, its pivot being sent to each, so a region of any size is joined by many tasks.
+* *Voronoi regions.* What the rounds leave apart falls into the connected parts of the lists still open; no link leaves one.
+  A part that fits a task is joined there (`pivot_join`). A larger one gets pivots, the distances of all its members from all
+  of them, and becomes a cell for each pivot: members nearest to it, and boundary members of other cells which the triangle
+  inequality lets link to one of those (`cells_of`). Members too far from every pivot make up a cell of their own. Cells are
+  joined recursively in the same way; cells which the inequality can't make smaller are joined by pairs of blocks.
+* Inside a task, pivots are taken one after the other: distances to all members through an inverted index; members within r
+  join its component; by the triangle inequality only members whose distance differs from that of a foreign component's
+  member by at most r can link to it, and only members with such a partner become pivots.
+
+Shingles are 64-bit hashes, made of 64-bit hashes of words; classes are 64-bit digests of sets. Two shingles of a pair of
+documents that clash by chance would count as a common one; documents are told apart by all their shingles.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +35,11 @@ from pyspark.sql import functions as F
 from tarn.llm import common as C
 
 WORDS = 5
-REGION_BYTES = 24 << 20
+REGION_BYTES = 16 << 20  # of sets that a task joins
+ROUNDS = 2  # of pivots before regions are cut
+PIVOTS = 32  # of a region that is cut
+CORE = 0.5  # a cell's own members are at most so far from its pivot
+DEPTH = 6  # cuts of a region before its blocks are joined by pairs
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -87,7 +96,7 @@ def set_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-_DEALT = "grp long, ids array<long>, keys binary, sizes binary, counts binary, low binary, high binary"
+_DEALT = "grp long, ids array<long>, keys binary, sizes binary, counts binary, values binary"
 
 
 def _deal(bits: int, words: int):
@@ -102,7 +111,7 @@ def _deal(bits: int, words: int):
                 keys = set_keys(sets)
                 sizes = np.array([len(x) for x in sets], np.uint32)
                 tag = int(C.mix(np.array([keys.view(np.uint64).sum() + np.uint64(int(offsets[i]) + j)], np.uint64))[0] >> np.uint64(24))
-                rows = [(-1 - tag, batch.column(0).slice(i, j - i), keys.tobytes(), sizes.tobytes(), b"", b"", b"")]
+                rows = [(-1 - tag, batch.column(0).slice(i, j - i), keys.tobytes(), sizes.tobytes(), b"", b"")]
                 _, own = np.unique(keys, return_index=True)
                 own = own[sizes[own] > 0]
                 if len(own):
@@ -115,12 +124,11 @@ def _deal(bits: int, words: int):
                     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                         run_of = np.concatenate(([0], np.flatnonzero(np.diff(of[a:b])) + 1))
                         who, count = of[a:b][run_of], np.diff(np.append(run_of, b - a)).astype(np.uint32)
-                        part = every[a:b]
-                        rows.append((int(bucket[a]), None, keys[who].tobytes(), sizes[who].tobytes(), count.tobytes(), (part & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((part >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes()))
+                        rows.append((int(bucket[a]), None, keys[who].tobytes(), sizes[who].tobytes(), count.tobytes(), every[a:b].tobytes()))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int64()), pa.array([None if x is None else x.to_pylist() for x in columns[1]], pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in columns[2:])],
-                    names=["grp", "ids", "keys", "sizes", "counts", "low", "high"],
+                    names=["grp", "ids", "keys", "sizes", "counts", "values"],
                 )
 
     return run
@@ -130,7 +138,8 @@ def _joined(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-_SHARED = "grp long, ids array<long>, keys binary, sizes binary, counts binary, marks binary"
+_SHARED = "grp long, ids array<long>, keys binary, sizes binary, counts binary, values binary, dfs binary"
+_STEPS = 16  # parts of a hash range that are counted one after the other, so that little stands in memory at once
 
 
 def _passed(table: pa.Table, names: list[str]) -> pa.Table:
@@ -138,65 +147,72 @@ def _passed(table: pa.Table, names: list[str]) -> pa.Table:
     return pa.table([table[n] if n in table.column_names else empty for n in names], names=names)
 
 
-def _shared(classes: int):
-    """One hash range: keep the shingles that at least two classes hold, marked with their frequency, by range of classes."""
-    names = ["grp", "ids", "keys", "sizes", "counts", "marks"]
+def _counted(x: np.ndarray, of: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values that stand for two classes at least, whose they are, and how many hold each (65,535 stands for more)."""
+    found = []
+    step = (x >> np.uint64(64 - bits - 4)) & np.uint64(_STEPS - 1)
+    for k in range(_STEPS):
+        at = np.flatnonzero(step == k)
+        at = at[np.argsort(x[at], kind="stable")]
+        y = x[at]
+        run_at = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1]))) if len(y) else np.zeros(0, np.int64)
+        df = np.diff(np.append(run_at, len(y)))
+        df = np.repeat(np.minimum(df, 65535).astype(np.uint16), df)
+        keep = df >= 2
+        found.append((y[keep], of[at[keep]], df[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _shared(classes: int, bits: int):
+    """One hash range: keep the shingles that at least two classes hold, with their frequency, by range of classes."""
+    names = ["grp", "ids", "keys", "sizes", "counts", "values", "dfs"]
 
     def run(table: pa.Table) -> pa.Table:
         grp = table["grp"][0].as_py()
         if grp < 0:
             return _passed(table, names)
         keys, sizes, counts = _joined(table["keys"], np.int64), _joined(table["sizes"], np.uint32), _joined(table["counts"], np.uint32)
-        low, high = _joined(table["low"], np.uint32), _joined(table["high"], np.uint8)
-        _, own = np.unique(keys, return_index=True)
-        starts = np.cumsum(counts, dtype=np.int64) - counts
-        at = C.ranges(starts[own], counts[own].astype(np.int64))
-        x = low[at].astype(np.uint64) | (high[at].astype(np.uint64) << np.uint64(32))
-        of = np.repeat(np.arange(len(own)), counts[own])
-        order = np.argsort(x, kind="stable")
-        x, of = x[order], of[order]
-        run_at = np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1))
-        df = np.diff(np.append(run_at, len(x)))
-        df = np.repeat(df, df)
-        keep = df >= 2
-        x, of, df = x[keep], of[keep], df[keep]
+        x = _joined(table["values"], np.uint64)
+        own = np.sort(np.unique(keys, return_index=True)[1])
+        if len(own) < len(keys):  # copies in other slices
+            starts = np.cumsum(counts, dtype=np.int64) - counts
+            x = x[C.ranges(starts[own], counts[own].astype(np.int64))]
+        x, of, df = _counted(x, np.repeat(np.arange(len(own), dtype=np.int32), counts[own]), bits)
         if not len(x):
-            return pa.table([pa.array([], f) for f in (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4)], names=names)
-        mark = C.mix(x + np.uint64(grp) * np.uint64(1 << 40)) >> np.uint64(16) if grp >> 8 else x | np.uint64(grp << 40)
-        mark |= np.minimum(df, 65535).astype(np.uint64) << np.uint64(48)
+            return pa.table([pa.array([], f) for f in (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5)], names=names)
         order = np.argsort(of, kind="stable")
-        mark, of = mark[order], of[order]
-        run_at = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1))
-        who, count = own[of[run_at]], np.diff(np.append(run_at, len(of))).astype(np.uint32)
+        x, of, df = x[order], of[order], df[order]
+        starts = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1))
+        who, count = own[of[starts]], np.diff(np.append(starts, len(of))).astype(np.uint32)
         to = keys[who].view(np.uint64) % np.uint64(classes)
         rows = []
-        starts = run_at
         order = np.argsort(to, kind="stable")
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(to[order])) + 1, [len(order)]))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             k = order[a:b]
-            rows.append((int(to[k[0]]), None, keys[who[k]].tobytes(), sizes[who[k]].tobytes(), count[k].tobytes(), mark[C.ranges(starts[k], count[k].astype(np.int64))].tobytes()))
+            at = C.ranges(starts[k], count[k].astype(np.int64))
+            rows.append((int(to[k[0]]), None, keys[who[k]].tobytes(), sizes[who[k]].tobytes(), count[k].tobytes(), x[at].tobytes(), df[at].tobytes()))
         c = list(zip(*rows, strict=True))
         return pa.table([pa.array(c[0], pa.int64()), pa.array(c[1], pa.list_(pa.int64())), *(pa.array(v, pa.binary()) for v in c[2:])], names=names)
 
     return run
 
 
-_CLASSES = "ids array<long>, keys array<long>, sizes array<long>, key long, size long, marks binary"
+_CLASSES = "ids array<long>, keys array<long>, sizes array<long>, key long, size long, weight long, marks binary"
 
 
 def _assembled(share: int):
-    """One range of classes: the classes that may link, each with its shared shingles, rarest first."""
+    """One range of classes: the classes that may link, each with its shared shingles, rarest first, and their mean frequency."""
 
     def run(table: pa.Table) -> pa.Table:
-        names = ["ids", "keys", "sizes", "key", "size", "marks"]
-        kinds = [pa.list_(pa.int64())] * 3 + [pa.int64(), pa.int64(), pa.binary()]
+        names = ["ids", "keys", "sizes", "key", "size", "weight", "marks"]
+        kinds = [pa.list_(pa.int64())] * 3 + [pa.int64()] * 3 + [pa.binary()]
         if table["grp"][0].as_py() < 0:
             keys = [np.frombuffer(x, np.int64).tolist() for x in table["keys"].to_pylist()]
             sizes = [np.frombuffer(x, np.uint32).tolist() for x in table["sizes"].to_pylist()]
             none = [None] * len(table)
             return pa.table([table["ids"], pa.array(keys, kinds[1]), pa.array(sizes, kinds[2]), *(pa.array(none, k) for k in kinds[3:])], names=names)
-        keys, sizes, counts, marks = (_joined(table[n], k) for n, k in (("keys", np.int64), ("sizes", np.uint32), ("counts", np.uint32), ("marks", np.uint64)))
+        keys, sizes, counts, values, dfs = (_joined(table[n], k) for n, k in (("keys", np.int64), ("sizes", np.uint32), ("counts", np.uint32), ("values", np.uint64), ("dfs", np.uint16)))
         starts = np.cumsum(counts, dtype=np.int64) - counts
         order = np.argsort(keys, kind="stable")
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys[order])) + 1, [len(order)]))
@@ -205,8 +221,10 @@ def _assembled(share: int):
         out = []
         for k in np.flatnonzero(100 * shared >= share * size):
             own = order[cuts[k] : cuts[k + 1]]
-            out.append((int(keys[own[0]]), int(size[k]), np.sort(marks[C.ranges(starts[own], counts[own].astype(np.int64))]).tobytes()))
-        c = list(zip(*out, strict=True)) or [[], [], []]
+            at = C.ranges(starts[own], counts[own].astype(np.int64))
+            x, df = values[at], dfs[at]
+            out.append((int(keys[own[0]]), int(size[k]), int(1000 * df.sum(dtype=np.int64) // size[k]), x[np.lexsort((x, df))].tobytes()))
+        c = list(zip(*out, strict=True)) or [[], [], [], []]
         none = [None] * len(out)
         return pa.table([*(pa.array(none, k) for k in kinds[:3]), *(pa.array(v, k) for v, k in zip(c, kinds[3:], strict=True))], names=names)
 
@@ -214,18 +232,19 @@ def _assembled(share: int):
 
 
 def _leading(share: int):
-    """The pivots of a class: the rarest of its shingles, as many as any partner must meet."""
+    """(s, key, weight) of the leading shingles of each class: the rarest of its set, as many as any partner must meet."""
 
     def run(batches):
         for batch in batches:
-            keys, out, who = batch.column(0).to_numpy(), [], []
+            keys, weights, out, who = batch.column(0).to_numpy(), batch.column(3).to_numpy(), [], []
             for i, (size, blob) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 marks = np.frombuffer(blob, np.uint64)
                 n = size - -(-share * size // 100) + 1 - (size - len(marks))
                 out.append(marks[:n])
-                who.append(np.full(len(out[-1]), keys[i], np.int64))
+                who.append(np.full(len(out[-1]), i))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(who))], names=["s", "key"])
+                at = np.concatenate(who)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(keys[at]), pa.array(weights[at])], names=["s", "key", "weight"])
 
     return run
 
@@ -273,88 +292,236 @@ def pivot_join(sets: list[np.ndarray], sizes: np.ndarray, share: int, component:
     return comp
 
 
-_MEMBERS = "key long, comp long"
+_LINKS = "a long, b long"
+
+
+def _overlaps(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
+    """|x & p| for each set x (row) and pivot p (column)."""
+    values, place = np.unique(np.concatenate(pivots), return_inverse=True)
+    holder = np.repeat(np.arange(len(pivots)), [len(p) for p in pivots])
+    order = np.argsort(place, kind="stable")
+    holder, starts = holder[order], np.searchsorted(place[order], np.arange(len(values) + 1))
+    out = np.zeros((len(sets), len(pivots)), np.int64)
+    for i, x in enumerate(sets):
+        at = np.searchsorted(values, x)
+        at[at == len(values)] = 0
+        at = at[values[at] == x] if len(values) else at[:0]
+        out[i] = np.bincount(holder[C.ranges(starts[at], starts[at + 1] - starts[at])], minlength=len(pivots))
+    return out
+
+
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in table["marks"].to_pylist()]
+
+
+def _pivot_links(share: int):
+    """Members and the pivots of their regions (rows whose key is the pivot): links between them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, pivot, size, sets = table["key"].to_numpy(), table["pivot"].to_numpy(), table["size"].to_numpy(), _sets(table)
+        a, b = [], []
+        order = np.argsort(pivot, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(pivot[order])) + 1):
+            own = at[key[at] == pivot[at]][:1]
+            rest = at[key[at] != pivot[at]]
+            both = _overlaps([sets[i] for i in rest], [sets[own[0]]])[:, 0]
+            near = rest[100 * both >= share * (size[rest] + size[own[0]] - both)]
+            a.append(key[near])
+            b.append(pivot[near])
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return run
 
 
 def _in_regions(share: int):
-    """Whole regions, several in a group: (class, smallest class of its component) for components of two or more."""
+    """Whole regions, several in a group: links between the components known so far, enough to join those that are one."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("region")
-        region, key, size = (table[c].to_numpy() for c in ("region", "key", "size"))
-        blobs = table["marks"].to_pylist()
+        table = table.combine_chunks().sort_by([("region", "ascending"), ("key", "ascending")])
+        region, known, size, sets = table["region"].to_numpy(), table["comp"].to_numpy(), table["size"].to_numpy(), _sets(table)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(region)) + 1, [len(region)]))
-        keys, comps = [], []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            comp = pivot_join([np.frombuffer(x, np.uint64) for x in blobs[a:b]], size[a:b], share)
-            for label in np.unique(comp):
-                if len(at := np.flatnonzero(comp == label)) > 1:
-                    keys.append(key[a:b][at])
-                    comps.append(np.full(len(at), key[a:b][at].min()))
-        none = [np.zeros(0, np.int64)]
-        return pa.table([pa.array(np.concatenate(keys or none)), pa.array(np.concatenate(comps or none))], names=["key", "comp"])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            _, first, label = np.unique(known[i:j], return_index=True, return_inverse=True)
+            found = pivot_join(sets[i:j], size[i:j], share, first[label])
+            at = first[found[first] != first]
+            a.append(known[i:j][at])
+            b.append(known[i:j][found[at]])
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return run
+
+
+_CELLS = "cell long, key long, size long, comp long, marks binary, a long, b long"
+
+
+def cells_of(both: np.ndarray, sizes: np.ndarray, pivot_sizes: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the overlaps of sets (rows) with pivots (columns): which link, in which pivots' cells each set belongs, and which
+    sets are far from all pivots.
+
+    With r = 1 - share / 100 and d(x, p) the distance from a pivot, x is at home with its nearest pivot h if d(x, h) <= CORE. For
+    a link o, x with o at home in p: d(x, p) <= d(o, p) + r <= CORE + r, and, p being nearest to o, d(o, p) <= d(x, h) + r; so
+    x belongs in p's cell too where d(x, p) <= min(d(x, h) + 2 r, CORE + r). A link between two sets far from all pivots stays
+    among those.
+    """
+    union = sizes[:, None] + pivot_sizes[None, :] - both
+    far = 1 - both / union
+    home = far.min(1)
+    r = 1 - share / 100
+    return 100 * both >= share * union, far <= np.minimum(home + 2 * r, CORE + r)[:, None] + 1e-9, home > CORE
+
+
+def _dealt_to_cells(share: int):
+    """A slice of a region with all its pivots: links to the pivots, and the members dealt to their cells. Pivots are done."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("pivot", "ascending"), ("key", "ascending")])
+        is_pivot, key, size, comp = (table[c].to_numpy(zero_copy_only=False) for c in ("pivot", "key", "size", "comp"))
+        sets, cell = _sets(table), table["cell"][0].as_py()
+        p, m = np.flatnonzero(is_pivot), np.flatnonzero(~is_pivot)
+        m = np.concatenate([m[~np.isin(key[m], key[p])], p])  # pivots meet each other, but go to no cell
+        if len(p):
+            near, among, far = cells_of(_overlaps([sets[i] for i in m], [sets[i] for i in p]), size[m], size[p], share)
+        else:
+            near = among = np.zeros((len(m), 0), bool)
+            far = np.ones(len(m), bool)
+        among[is_pivot[m]] = far[is_pivot[m]] = False
+        x, y = np.nonzero(near & (comp[m][:, None] != comp[p][None, :]))
+        who, q = np.nonzero(among)
+        names = C.mix(key[p].view(np.uint64) ^ C.mix(np.array([cell], np.int64).view(np.uint64))).view(np.int64)
+        rest = C.mix(np.array([cell], np.int64).view(np.uint64) + np.uint64(1)).view(np.int64)[0]
+        at = np.concatenate([m[who], m[far]])
+        cells = np.concatenate([names[q], np.full(int(far.sum()), rest)])
+        none, blobs = [None] * len(x), table["marks"].to_pylist()
+        return pa.table(
+            [
+                *(pa.array([*v.tolist(), *none], pa.int64()) for v in (cells, key[at], size[at], comp[at])),
+                pa.array([*(blobs[i] for i in at.tolist()), *none], pa.binary()),
+                *(pa.array([*[None] * len(at), *v.tolist()], pa.int64()) for v in (comp[m[x]], comp[p[y]])),
+            ],
+            names=["cell", "key", "size", "comp", "marks", "a", "b"],
+        )
 
     return run
 
 
 def _block_pairs(share: int):
-    """Two blocks of one region: the links (as stars) between components that both hold."""
+    """Two blocks of one region: links between components that both hold."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, first = np.unique(table["key"].to_numpy(), return_index=True)
-        size, known = table["size"].to_numpy()[first], table["comp"].to_numpy()[first]
-        blobs = table["marks"].to_pylist()
-        _, comp = np.unique(known, return_inverse=True)
-        comp = np.array([np.flatnonzero(comp == c)[0] for c in range(comp.max() + 1)])[comp]
-        found = pivot_join([np.frombuffer(blobs[i], np.uint64) for i in first], size, share, comp)
-        at = np.flatnonzero(found != comp)
+        _, first = np.unique(table["key"].to_numpy(), return_index=True)
+        known, sets = table["comp"].to_numpy()[first], _sets(table)
+        _, lead, label = np.unique(known, return_index=True, return_inverse=True)
+        found = pivot_join([sets[i] for i in first], table["size"].to_numpy()[first], share, lead[label])
+        at = lead[found[lead] != lead]
         return pa.table([pa.array(known[at]), pa.array(known[found[at]])], names=["a", "b"])
 
     return run
 
 
-def _split_regions(members: DataFrame, share: int, block_bytes: int) -> DataFrame:
-    """(key, comp) of regions too large for a task. members: region, key, size, marks."""
+def _weight():
+    """Bytes that a class stands for."""
+    return F.length("marks") + 64
 
-    def relabel(df, links, name):
-        comps = C.connected_components(links, name)
-        to = comps.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-        return df.join(to, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
 
-    def meet(blocks, pairs, name):
-        """blocks: region, block, comp, key, size, marks; pairs: region, i, j."""
-        sides = pairs.select("region", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-        return C.materialise(
-            sides.join(blocks, ["region", "block"]).groupBy("region", "i", "j").applyInArrow(_block_pairs(share), "a long, b long").distinct(), name
-        )
+def _labels(links: list[DataFrame], name: str) -> DataFrame | None:
+    """(key, comp) of what links join; None where there are no links."""
+    if not links:
+        return None
+    every = functools.reduce(DataFrame.unionAll, links)
+    return None if every.isEmpty() else C.connected_components(every, name).select(F.col("node").alias("key"), "comp")
+
 
-    def blocked(df, by):
-        """Blocks of bounded bytes: in the given order inside a region, by a running sum over salted sub-blocks."""
-        totals = df.groupBy("region", *by).agg(F.sum(F.length("marks") + 64).alias("bytes"))
-        n = F.ceil(F.col("bytes") / block_bytes).cast("long")
-        df = df.join(totals.select("region", *by, n.alias("n")), ["region", *by])
-        return df.withColumn("block", F.xxhash64(*by, F.pmod(F.xxhash64("key", F.lit(7)), "n")))
+def _relabelled(df: DataFrame, labels: DataFrame | None, col: str = "comp") -> DataFrame:
+    """df with the component in col replaced by the one that it has become part of."""
+    if labels is None:
+        return df
+    to = labels.select(F.col("key").alias(col), F.col("comp").alias("_to"))
+    return df.join(to, col, "left").withColumn(col, F.coalesce("_to", col)).drop("_to")
 
+
+def _open(entries: DataFrame) -> DataFrame:
+    """Entries of the lists that still hold several components."""
+    held = entries.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
+    return entries.join(held, "s", "left_semi")
+
+
+def _round(nth: int, entries: DataFrame, sets: DataFrame, share: int, slice_bytes: int) -> DataFrame:
+    """Links that one round of pivots finds. entries: s, key, weight, comp of the open lists.
+
+    A list's pivot is its most central class at first, in later rounds one picked by hash, so that other classes get a turn.
+    """
+    rank = F.col("weight") if nth == 0 else F.xxhash64("key", F.lit(nth))
+    pivots = entries.groupBy("s").agg(F.max(F.struct(rank.alias("rank"), "key", "comp")).alias("p"))
+    met = entries.join(pivots, "s").where("comp <> p.comp")
+    chosen = met.groupBy("key").agg(F.max(F.struct("p.rank", "p.key")).alias("p")).select("key", F.col("p.key").alias("pivot"))
+    chosen = C.materialise(chosen.join(sets.select("key", _weight().alias("bytes")), "key"), "chosen")
+    totals = chosen.groupBy("pivot").agg(F.sum("bytes").alias("total"))
+    dealt = chosen.join(totals, "pivot").withColumn("slice", F.pmod(F.xxhash64("key"), F.ceil(F.col("total") / slice_bytes)))
+    groups = C.parts_for(chosen.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0], 2 << 20, least=12)
+    dealt = dealt.select("key", "pivot", F.pmod(F.xxhash64("pivot", "slice"), F.lit(groups)).alias("grp"))
+    both = dealt.unionAll(dealt.select(F.col("pivot").alias("key"), "pivot", "grp").distinct())
+    rows = both.join(sets.select("key", "size", "marks"), "key").select("grp", "pivot", "key", "size", "marks")
+    return C.materialise(rows.groupBy("grp").applyInArrow(_pivot_links(share), _LINKS), "links")
+
+
+def _join_small(regions: DataFrame, share: int) -> DataFrame:
+    """Links in regions (region, key, size, comp, marks) that fit a task."""
+    groups = C.parts_for(regions.agg(F.coalesce(F.sum(_weight()), F.lit(0))).first()[0], 4 << 20, least=12)
+    dealt = regions.withColumn("grp", F.pmod(F.xxhash64("region"), F.lit(groups)))
+    return C.materialise(dealt.groupBy("grp").applyInArrow(_in_regions(share), _LINKS), "links")
+
+
+def _totals(regions: DataFrame) -> DataFrame:
+    """(region, bytes, n) of the regions that hold several components."""
+    found = regions.groupBy("region").agg(F.sum(_weight()).alias("bytes"), F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return found.where("lo <> hi").select("region", "bytes", "n")
+
+
+def _join_regions(regions: DataFrame, share: int, region_bytes: int, depth: int = DEPTH) -> list[DataFrame]:
+    """Links in regions (region, key, size, comp, marks) of any size, by Voronoi cells of pivots, joined recursively."""
     from pyspark.sql import Window
 
-    members = members.withColumn("comp", F.col("key"))
-    # First the pivots: a bounded block of classes with the smallest hashes meets all blocks of its region.
-    first = blocked(members.withColumn("all", F.lit(0)), ["all"]).drop("all", "n")
-    first = C.materialise(first, "blocks")
-    names = first.select("region", "block").distinct()
-    pivot = names.groupBy("region").agg(F.min("block").alias("i"))
-    links = meet(first, names.join(pivot, "region").select("region", F.least("i", "block").alias("i"), F.greatest("i", "block").alias("j")), "links")
-    members = relabel(first.drop("block"), links, "comps")
-    # Then all pairs of blocks that still hold several components: the largest component keeps blocks of its own.
-    each = members.groupBy("region", "comp").count()
-    top = each.withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy(F.desc("count"), "comp"))).where("r = 1")
-    members = members.join(top.select("region", F.col("comp").alias("top")), "region").withColumn("main", F.col("comp") == F.col("top")).drop("top")
-    rest = C.materialise(blocked(members, ["main"]).drop("n"), "blocks")
-    span = rest.groupBy("region", "block", "main").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    a, b = span.alias("a"), span.alias("b")
-    pairs = a.join(b, F.expr(f"a.region = b.region and a.block <= b.block and not (a.main and b.main) and 100 * a.hi >= {share} * b.lo and 100 * b.hi >= {share} * a.lo"))
-    links = meet(rest.drop("main"), pairs.select("a.region", F.col("a.block").alias("i"), F.col("b.block").alias("j")), "links")
-    return relabel(rest, links, "comps").select("key", "comp")
+    links, before = [], None
+    for level in range(depth + 1):
+        regions = C.materialise(regions, "regions")
+        totals = C.materialise(_totals(regions), "totals")
+        if not (left := totals.agg(F.sum("bytes"), F.sum("n"), F.max("bytes")).first())[0]:
+            return links
+        small = totals.where(F.col("bytes") <= region_bytes)
+        links.append(_join_small(regions.join(small.select("region"), "region", "left_semi"), share))
+        if left[2] <= region_bytes:
+            return links
+        large = regions.join(totals.where(F.col("bytes") > region_bytes), "region")
+        if level == depth or (before is not None and left[0] > 2 * before):  # boundaries are copied about more than cells get smaller
+            break
+        before = left[0]
+        large = large.withColumn("slices", F.ceil(2 * F.col("bytes") / region_bytes).cast("long"))
+        draw = F.xxhash64("key", F.lit(level))
+        few = large.where(F.pmod(draw, F.lit(1 << 30)) <= F.lit(3.0 * PIVOTS * (1 << 30)) / F.col("n"))
+        few = few.withColumn("nth", F.row_number().over(Window.partitionBy("region").orderBy(draw, "key"))).where(F.col("nth") <= PIVOTS)
+        kept = ["region", "slice", "pivot", "key", "size", "comp", "marks"]
+        members = large.withColumn("slice", F.pmod(F.xxhash64("key", F.lit(3)), "slices")).withColumn("pivot", F.lit(False)).select(kept)
+        pivots = few.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).withColumn("pivot", F.lit(True)).select(kept)
+        rows = members.unionAll(pivots).withColumnRenamed("region", "cell")
+        dealt = C.materialise(rows.groupBy("cell", "slice").applyInArrow(_dealt_to_cells(share), _CELLS), "cells")
+        links.append(dealt.where("a is not null").select("a", "b"))
+        regions = _relabelled(dealt.where("cell is not null").select(F.col("cell").alias("region"), "key", "size", "comp", "marks"), _labels(links, "cell-components"))
+    return [*links, _join_blocks(large, share, region_bytes // 2)]
+
+
+def _join_blocks(regions: DataFrame, share: int, block_bytes: int) -> DataFrame:
+    """Links in regions that cells can't make smaller (region, key, size, comp, marks, bytes): pairs of blocks, each in a task.
+    Blocks hold neighbours by size, so that pairs of too different sizes are not joined."""
+    step = F.floor(F.log(F.col("size").cast("double")) / np.log(1.25)).cast("long")
+    rows = regions.withColumn("step", step)
+    totals = rows.groupBy("region", "step").agg(F.sum(_weight()).alias("own"))
+    rows = rows.join(totals, ["region", "step"]).withColumn("block", F.xxhash64("step", F.pmod(F.xxhash64("key", F.lit(7)), F.ceil(F.col("own") / block_bytes))))
+    rows = C.materialise(rows.select("region", "block", "key", "size", "comp", "marks"), "blocks")
+    span = C.materialise(rows.groupBy("region", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi")), "spans")
+    pairs = span.alias("a").join(span.alias("b"), F.expr(f"a.region = b.region and a.block <= b.block and 100 * a.hi >= {share} * b.lo and 100 * b.hi >= {share} * a.lo"))
+    sides = pairs.select("a.region", F.col("a.block").alias("i"), F.col("b.block").alias("j")).select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return C.materialise(sides.join(rows, ["region", "block"]).groupBy("region", "i", "j").applyInArrow(_block_pairs(share), _LINKS).distinct(), "links")
 
 
 def join_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 80, words: int = WORDS, region_bytes: int = REGION_BYTES) -> DataFrame:
@@ -379,23 +546,27 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, share: int, words: in
     n = C.parts_for(C.input_bytes(docs), 4 << 20)
     n = 1 << (n - 1).bit_length()
     dealt = docs.mapInArrow(_deal(n.bit_length() - 1, words), _DEALT).repartition(n, "grp")
-    shared = dealt.groupBy("grp").applyInArrow(_shared(n), _SHARED).repartition(n, "grp")
+    shared = dealt.groupBy("grp").applyInArrow(_shared(n, n.bit_length() - 1), _SHARED).repartition(n, "grp")
     both = C.materialise(shared.groupBy("grp").applyInArrow(_assembled(share), _CLASSES), "classes")
     rows = both.where("ids is not null").select(F.explode(F.arrays_zip("ids", "keys", "sizes")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.keys").alias("key"), F.col("x.sizes").alias("size"))
-    sets = both.where("key is not null").select("key", "size", "marks")
-    entries = C.materialise(sets.mapInArrow(_leading(share), "s long, key long"), "entries")
-    pivots = entries.groupBy("s").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    near = entries.join(pivots, "s").select(F.col("key").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct()
-    regions = C.connected_components(near, "regions").select(F.col("node").alias("key"), F.col("comp").alias("region"))
-    members = C.materialise(sets.join(regions, "key"), "members")
-    totals = members.groupBy("region").agg(F.sum(F.length("marks") + 64).alias("bytes"))
-    large = totals.where(F.col("bytes") > region_bytes).select("region")
-    groups = C.parts_for(members.agg(F.coalesce(F.sum(F.length("marks") + 64), F.lit(0))).first()[0], 8 << 20, least=12)
-    small = members.join(large, "region", "left_anti").withColumn("grp", F.pmod(F.xxhash64("region"), F.lit(groups)))
-    comps = small.groupBy("grp").applyInArrow(_in_regions(share), _MEMBERS)
-    if not large.isEmpty():
-        comps = comps.unionAll(_split_regions(members.join(large, "region", "left_semi"), share, region_bytes // 4))
-    comps = C.materialise(comps, "components")
+    sets = both.where("key is not null").select("key", "size", "weight", "marks")
+    entries = sets.select("key", "size", "marks", "weight").mapInArrow(_leading(share), "s long, key long, weight long")
+    entries = C.materialise(_open(entries.withColumn("comp", F.col("key"))), "entries")
+    links: list[DataFrame] = []
+    for nth in range(ROUNDS):
+        if entries.isEmpty():
+            break
+        links.append(_round(nth, entries, sets, share, region_bytes // 4))
+        entries = C.materialise(_open(_relabelled(entries.withColumn("comp", F.col("key")), _labels(links, "round"))), "entries")
+    if not entries.isEmpty():
+        lists = entries.groupBy("s").agg(F.min("key").alias("b"))
+        near = entries.join(lists, "s").select(F.col("key").alias("a"), "b").where("a <> b").distinct()
+        parts = C.connected_components(near, "regions").select(F.col("node").alias("key"), F.col("comp").alias("region"))
+        regions = _relabelled(sets.select("key", "size", "marks").join(parts, "key").withColumn("comp", F.col("key")), _labels(links, "round"))
+        links += _join_regions(regions.select("region", "key", "size", "comp", "marks"), share, region_bytes)
+    comps = _labels(links, "components")
+    if comps is None:
+        comps = spark.createDataFrame([], "key long, comp long")
     least = rows.where("size > 0").groupBy("key").agg(F.min("id").alias("class_id"))
     labels = least.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     labels = C.materialise(labels, "labels")

@@ -64,7 +64,7 @@ def texts(seed=1, n=140):
     return out
 
 
-@pytest.mark.parametrize("region_bytes", [jaccard_join.REGION_BYTES, 4_000])
+@pytest.mark.parametrize("region_bytes", [jaccard_join.REGION_BYTES, 20_000, 4_000])
 def test_jaccard_join(spark, region_bytes):
     rows = [(3 * k + 1, t) for k, t in enumerate(texts())] + [(None, "one"), (None, "lonely words that nobody else has at all"), (1000, "a b c d e"), (1000, "a b c d e")]
     df = spark.createDataFrame([(k, t, 5, "x") for k, t in rows], "doc_id long, text string, key int, comp string")
@@ -72,6 +72,68 @@ def test_jaccard_join(spark, region_bytes):
     assert sorted(map(tuple, got), key=repr) == brute_jaccard(rows)
 
 
+def star(rng, n, words, edits):
+    """A base text and copies with edits of their own: each links to the base, few to each other."""
+    word = lambda: "".join(rng.choice("klmnopqrst") for _ in range(rng.randint(3, 7)))
+    base = [word() for _ in range(words)]
+    out = [" ".join(base)]
+    for _ in range(n):
+        copy = list(base)
+        for k in rng.sample(range(words), edits):
+            copy[k] = word()
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize(("rounds", "depth"), [(0, 6), (1, 0), (0, 1), (2, 6)])
+def test_jaccard_join_of_large_regions(spark, monkeypatch, rounds, depth):
+    """One region of many components: by cells of pivots, and by pairs of blocks where cells are cut no further."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
+    monkeypatch.setattr(jaccard_join._join_regions, "__defaults__", (depth,))
+    rng = random.Random(9)
+    out = star(rng, 30, 120, 3) + star(rng, 12, 60, 2)
+    shared = " ".join(f"p{k}" for k in range(60))
+    out += [shared + " " + " ".join(f"q{rng.randrange(9)}x{k}" for k in range(rng.randrange(8, 30))) for _ in range(60)]
+    out += [t + " tail" for t in out[::3]]
+    rows = list(enumerate(out))
+    got = jaccard_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string"), region_bytes=6_000)
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=repr) == brute_jaccard(rows)
+
+
+def test_cells_hold_both_sides_of_every_link():
+    """The windows of the triangle inequality against all links of random sets."""
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        base = [rng.choice(400, 60, replace=False) for _ in range(5)]
+        sets = []
+        for k in range(70):
+            x = base[k % 5].copy()
+            x[: int(rng.integers(0, 25))] = rng.integers(0, 400)
+            sets.append(np.unique(np.append(x, rng.integers(0, 400, int(rng.integers(0, 12))))).astype(np.uint64))
+        sizes = np.array([len(x) for x in sets])
+        p = rng.choice(70, 6, replace=False)
+        near, among, far = jaccard_join.cells_of(jaccard_join._overlaps(sets, [sets[i] for i in p]), sizes, sizes[p], 80)
+        for i in range(70):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                linked = 100 * both >= 80 * (sizes[i] + sizes[j] - both)
+                if i in p or j in p:
+                    q, o = (i, j) if i in p else (j, i)
+                    assert near[o, list(p).index(q)] == linked
+                elif linked:
+                    assert (among[i] & among[j]).any() or (far[i] and far[j])
+
+
+def test_colliding_words_do_not_link(spark):
+    """Two Thue-Morse words and their texts have nothing in common."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    a, b = ("".join("ab"[x ^ k] for x in bits) for k in (0, 1))
+    rows = [(1, a), (2, b), (3, f"{a} {a} {b} {a} {b} {b}"), (4, f"{b} {b} {a} {b} {a} {a}")]
+    got = jaccard_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.class_id, r.component_id) for r in got) == [(1, 1, 1, 1), (2, 1, 2, 2), (3, 2, 3, 3), (4, 2, 4, 4)]
+
+
 def test_jaccard_join_random_pairs_at_the_border():
     """Pairs just above and below the threshold, without Spark."""
     rng = np.random.default_rng(3)
