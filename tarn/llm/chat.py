@@ -2,8 +2,10 @@
 
 A turn holds text, image, audio and document parts. A visitor walks them in order: texts are escaped, the others become
 placeholders that name their kind and place, and are recorded as attachments with the tokens that they expand to. Control
-strings of the template start with "<|"; inside texts a backslash is doubled and "<|" becomes "<\\|", so no text can forge a
-mark and one pass over the escapes gives each text back.
+strings of the template start with "<|"; inside texts a backslash is doubled, "<|" becomes "<\\|", and a part that follows
+another one has a "|" at its start escaped as well, so no text and no sequence of texts can forge a mark. Each escaped
+character depends on its own part alone, one pass over the escapes gives each text back, and a placeholder written inside a
+text is told from a real one.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>\n"
 PARTS = "array<struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>>"
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25, 256
 LEARNT = "assistant"
+ATTACHED = ("image", "audio", "document")
+_HOLDER = rf"<\|(?:{'|'.join(ATTACHED)}) [0-9]{{1,9}}\|>"
 
 
 def escape(text: Column) -> Column:
@@ -39,9 +43,10 @@ def part_tokens(part: Column) -> Column:
 
 
 def visit(part: Column, place: Column) -> Column:
-    """The text of one part: escaped, or a placeholder with its place in the turn. Null and unknown kinds are empty texts."""
+    """The text of one part: escaped, or a placeholder with its place in the turn. A null part is empty, one of another kind is its text."""
     holder = F.concat(F.lit("<|"), part["type"], F.lit(" "), place.cast("string"), F.lit("|>"))
-    return F.when(part["type"].isin("image", "audio", "document"), holder).otherwise(F.coalesce(escape(part["text"]), F.lit("")))
+    apart = F.when((place > 0) & part["text"].startswith("|"), "\\").otherwise("")  # the text before may end with "<"
+    return F.when(part["type"].isin(*ATTACHED), holder).otherwise(F.coalesce(F.concat(apart, escape(part["text"])), F.lit("")))
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", content_col: str = "content", learnt: str = LEARNT) -> DataFrame:
@@ -61,7 +66,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.array_join(F.transform(content, lambda p, i: visit(p, i)), "").alias("body"),
         F.filter(
             F.transform(content, lambda p, i: F.struct(F.col(turn_col).alias("turn"), i.alias("part"), p["type"].alias("type"), p["uri"].alias("uri"), part_tokens(p).alias("tokens"))),
-            lambda a: a["type"].isin("image", "audio", "document"),
+            lambda a: a["type"].isin(*ATTACHED),
         ).alias("attached"),
     )
     rows = rows.withColumn("head", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY)))
@@ -83,15 +88,38 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     )
 
 
+def _parts(body: Column) -> Column:
+    """The parts of an escaped body: (type, text, place), neighbouring texts as one; place is null of texts."""
+    pieces = F.when(F.contains(body, F.lit("<|")), F.split(body, rf"(?={_HOLDER})|(?<={_HOLDER})")).otherwise(F.array(body))
+
+    def part(piece):
+        held = F.split(F.substring(piece, 3, 1 << 30), r"[ |]")
+        is_held = piece.startswith("<|")
+        return F.struct(
+            F.when(is_held, F.get(held, 0)).otherwise("text").alias("type"),
+            F.when(~is_held, unescape(piece)).alias("text"),
+            F.when(is_held, F.get(held, 1).cast("int")).alias("place"),
+        )
+
+    return F.transform(F.filter(pieces, lambda x: x != ""), part)
+
+
 def read_chats(formatted: Column, turns: Column) -> Column:
-    """The turns read back from a formatted conversation: an array of (role, text, loss); text keeps placeholders as they are."""
+    """The turns read back from a formatted conversation and its mask: an array of (role, parts, text, loss).
+
+    A body is what start and length of the mask name; a conversation whose turns do not stand where the mask says is an error.
+    parts: (type, text, place) in order, an attachment by its place in the turn; text: the texts alone.
+    """
     pieces = F.slice(F.split(formatted, r"<\|end\|>\n"), F.lit(1), F.size(turns))
-    return F.zip_with(
-        pieces,
-        turns,
-        lambda p, t: F.struct(
-            unescape(F.substring_index(F.substring(p, len(TURN) + 1, 1 << 30), BODY, 1)).alias("role"),
-            unescape(p.substr(F.locate(BODY, p) + len(BODY), F.length(p))).alias("text"),
-            t["loss"].alias("loss"),
-        ),
-    )
+
+    def turn(piece, i):
+        t, last = F.get(turns, i), F.get(turns, i - 1)
+        begin = F.coalesce(last["start"] + last["length"] + len(END), F.lit(0).cast("long"))
+        head = (t["start"] - begin).cast("int")
+        fits = (F.length(piece) == t["start"] + t["length"] - begin) & (F.substring(piece, 1, len(TURN)) == TURN) & (piece.substr(head - len(BODY) + 1, F.lit(len(BODY))) == BODY)
+        held = F.when(fits, piece).otherwise(F.raise_error(F.lit("a turn does not stand where the mask says")).cast("string"))
+        role = unescape(held.substr(F.lit(len(TURN) + 1), head - len(TURN) - len(BODY)))
+        return F.struct(role.alias("role"), _parts(held.substr(head + 1, t["length"].cast("int"))).alias("parts"), t["loss"].alias("loss"))
+
+    texts = lambda parts: F.array_join(F.transform(F.filter(parts, lambda x: x["type"] == "text"), lambda x: x["text"]), "")
+    return F.transform(F.transform(pieces, turn), lambda t: F.struct(t["role"].alias("role"), t["parts"].alias("parts"), texts(t["parts"]).alias("text"), t["loss"].alias("loss")))
