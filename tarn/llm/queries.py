@@ -78,9 +78,11 @@ def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm import common, warc
 
     archive, index = common.fresh_path(spark, "archive"), common.fresh_path(spark, "index")
-    warc.write_archive(_table(spark, sf_dir, "pages"), archive)
+    pages = _table(spark, sf_dir, "pages")
+    warc.write_archive(pages, archive)
     warc.build_index(spark, archive, index)
-    read = warc.read_records(spark, archive, warc.captures(spark, index), payload=False)
+    lines = warc.lookup(index, pages.select(warc.written_url(F.col("url")).alias("url")).distinct())
+    read = warc.read_records(spark, lines, payload=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
