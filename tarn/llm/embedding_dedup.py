@@ -4,7 +4,8 @@ Unit vectors within cosine c lie within epsilon = sqrt(2 - 2 c) of each other, a
 principal axes of the data. Vectors are sorted by their grid cells (epsilon wide) on the leading axes and cut into sequence
 intervals. Each interval, and each run of intervals up to the whole sequence, has a bounding box on the leading axes; pairs
 of runs are split recursively from the top, and a pair whose boxes are further apart than epsilon is dropped with all in it.
-What is left are pairs of intervals, joined exactly in double precision, again in sub-blocks with boxes of their own.
+What is left are pairs of intervals. They are dealt to tasks by pairs of neighbourhoods of a few intervals, so that an interval
+travels once for each neighbourhood it meets, and joined exactly in double precision, in sub-blocks with boxes of their own.
 
 Equal vectors are one class with a count, so copies cost nothing more than one vector.
 """
@@ -20,7 +21,8 @@ from tarn.llm import common as C
 
 LEAD = 8
 SORTED = 3  # axes whose cells are sorted by
-INTERVAL = 4_096
+INTERVAL = 2_048
+NEIGHBOURS = 4  # intervals that are dealt together
 SUB = 512
 SLACK = 1e-9
 
@@ -193,21 +195,31 @@ def join_blocks(x: np.ndarray, y: np.ndarray, same: bool, least: float, axes: np
 
 
 def _joined(kind, dims, axes, least):
+    """Two neighbourhoods of intervals (or one with itself): the links of all their pairs of intervals."""
+
     def run(table: pa.Table) -> pa.Table:
-        rows = {r["block"]: r for r in table.select(["block", "cids", "counts", "vectors"]).to_pylist()}
         a, b = table["a"][0].as_py(), table["b"][0].as_py()
-        xs, ys = rows[a], rows[b]
-        ids = [np.frombuffer(r["cids"], np.int64) for r in (xs, ys)]
-        counts = [np.frombuffer(r["counts"], np.int64) for r in (xs, ys)]
-        x = _vectors([xs["vectors"]], kind, dims)
-        y = x if a == b else _vectors([ys["vectors"]], kind, dims)
-        cx, cy, label = join_blocks(x, y, a == b, least, axes, *counts)
-        every = ids[0] if a == b else np.concatenate(ids)
-        links = cx if a == b else np.concatenate([cx, cy])
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        have = np.flatnonzero(links)
-        none = np.full(len(have), None, object)
-        return pa.table([pa.array(np.concatenate([every[have], every[moved]])), pa.array([*none, *every[label[moved]].tolist()], pa.int64()), pa.array(np.concatenate([links[have], np.zeros(len(moved), np.int64)]))], names=["cid", "to", "n"])
+        blocks = []
+        for r in table.select(["block", "part", "cids", "counts", "vectors"]).to_pylist():
+            blocks.append((r["part"], r["block"], np.frombuffer(r["cids"], np.int64), np.frombuffer(r["counts"], np.int64), _vectors([r["vectors"]], kind, dims)))
+        blocks.sort(key=lambda x: x[:2])
+        cids, tos, links = [], [], []
+        for part, block, x_ids, x_counts, x in blocks:
+            if part != a:
+                continue
+            for other, other_block, y_ids, y_counts, y in blocks:
+                if other != b or (a == b and other_block < block):
+                    continue
+                same = other_block == block
+                cx, cy, label = join_blocks(x, y, same, least, axes, x_counts, y_counts)
+                every = x_ids if same else np.concatenate([x_ids, y_ids])
+                n = cx if same else np.concatenate([cx, cy])
+                moved, have = np.flatnonzero(label != np.arange(len(label))), np.flatnonzero(n)
+                cids += [every[have], every[moved]]
+                tos += [*[None] * len(have), *every[label[moved]].tolist()]
+                links += [n[have], np.zeros(len(moved), np.int64)]
+        none = [np.zeros(0, np.int64)]
+        return pa.table([pa.array(np.concatenate(cids or none)), pa.array(tos, pa.int64()), pa.array(np.concatenate(links or none))], names=["cid", "to", "n"])
 
     return run
 
@@ -252,12 +264,14 @@ def _join_dims(classes: DataFrame, kind, dims: int, least: float, lead: int, int
     axes = principal_axes(classes, kind, dims, lead)
     cells = [f"c{k}" for k in range(min(SORTED, lead))]
     keyed = classes.mapInArrow(_cells(kind, dims, axes, epsilon), "blob binary, cid long, n long, " + "".join(f"{c} long, " for c in cells) + "y double")
-    parts = C.parts_for(classes.count(), 4 * interval, least=1)
+    parts = C.parts_for(classes.count(), NEIGHBOURS * interval, least=1)
     ordered = keyed.repartitionByRange(parts, *cells, "y", "cid").sortWithinPartitions(*cells, "y", "cid")
     blocks = C.materialise(ordered.mapInArrow(_intervals(kind, dims, axes, interval), "block long, part long, lo array<double>, hi array<double>, cids binary, counts binary, vectors binary"), "intervals")
     pairs = near_pairs(blocks.select("block", "part", "lo", "hi"), epsilon, parts)
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    n = pairs.count()
-    # Pairs are dealt one by one: hashing few pairs would leave tasks with several and others with none.
-    met = sides.join(blocks.select("block", "cids", "counts", "vectors"), "block")
-    return C.materialise(met.repartition(C.parts_for(n, 1, least=1, most=4_000), "a", "b").groupBy("a", "b").applyInArrow(_joined(kind, dims, axes, least), "cid long, to long, n long"), "links")
+    # Neighbourhoods (parts) that hold a pair within epsilon meet; join_blocks() skips the other pairs of theirs by their boxes.
+    tiles = C.materialise(pairs.select(F.shiftright("a", 24).alias("a"), F.shiftright("b", 24).alias("b")).distinct(), "tiles")
+    sides = tiles.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("part"))
+    met = sides.join(blocks.select("part", "block", "cids", "counts", "vectors"), "part")
+    # They are dealt one by one: hashing few of them would leave tasks with several and others with none.
+    met = met.repartition(C.parts_for(tiles.count(), 1, least=1, most=4_000), "a", "b")
+    return C.materialise(met.groupBy("a", "b").applyInArrow(_joined(kind, dims, axes, least), "cid long, to long, n long"), "links")
