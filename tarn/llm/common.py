@@ -31,8 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + _own_folder()).rstrip("/")
 
 
+_RUN = uuid.uuid4().hex
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tarn/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in a folder of this driver that its JVM deletes when it ends."""
+    folder = f"{shared_dir(spark)}/tarn/{_RUN}"
+    _delete_at_end(spark.sparkContext.applicationId, folder, spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete_at_end(application: str, folder: str, spark: SparkSession) -> None:
+    if (application, folder) not in _DELETED:
+        _DELETED.add((application, folder))
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+
+
+_DELETED: set[tuple[str, str]] = set()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -84,12 +102,12 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
-    """Ranges of rows whose bytes stay under limit (a longer single row is a range of its own)."""
+def slices(offsets: np.ndarray, limit: int = SLICE_BYTES, rows: int = 20_000):
+    """Ranges of at most `rows` rows whose bytes stay under limit (a longer single row is a range of its own)."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1
-        j = min(max(j, i + 1), n, i + 20_000)
+        j = min(max(j, i + 1), n, i + rows)
         yield i, j
         i = j
 
@@ -269,6 +287,20 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
 
 
+HUBS = 500
+
+
+def join_skewed(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has one row a key, n telling how many of the `total` rows have that key; without n.
+
+    A key with more than 1 / HUBS of the rows would bring them into one task. There are HUBS such keys at most: they are sent to
+    where the rows are. The rows of the other keys are shuffled.
+    """
+    hot, cold = (keyed.where(x).drop("n") for x in (F.col("n") * HUBS > total, F.col("n") * HUBS <= total))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(node, comp) for every node of edges (a, b): comp is the smallest node reachable.
 
@@ -288,8 +320,9 @@ def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataF
         if not seen[0]:
             break
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_skewed(both.where("v > u"), least, "u", 2 * seen[0])
+        large = large.select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi")
         new = small.select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))

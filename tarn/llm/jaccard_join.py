@@ -442,8 +442,8 @@ def _relabelled(df: DataFrame, labels: DataFrame | None, col: str = "comp") -> D
 
 def _open(entries: DataFrame) -> DataFrame:
     """Entries of the lists that still hold several components."""
-    held = entries.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
-    return entries.join(held, "s", "left_semi")
+    held = entries.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("s", "n")
+    return C.join_skewed(entries, held, "s", entries.count())
 
 
 def _round(nth: int, entries: DataFrame, sets: DataFrame, share: int, slice_bytes: int) -> DataFrame:
@@ -452,8 +452,8 @@ def _round(nth: int, entries: DataFrame, sets: DataFrame, share: int, slice_byte
     A list's pivot is its most central class at first, in later rounds one picked by hash, so that other classes get a turn.
     """
     rank = F.col("weight") if nth == 0 else F.xxhash64("key", F.lit(nth))
-    pivots = entries.groupBy("s").agg(F.max(F.struct(rank.alias("rank"), "key", "comp")).alias("p"))
-    met = entries.join(pivots, "s").where("comp <> p.comp")
+    pivots = entries.groupBy("s").agg(F.max(F.struct(rank.alias("rank"), "key", "comp")).alias("p"), F.count("*").alias("n"))
+    met = C.join_skewed(entries, pivots, "s", entries.count()).where("comp <> p.comp")
     chosen = met.groupBy("key").agg(F.max(F.struct("p.rank", "p.key")).alias("p")).select("key", F.col("p.key").alias("pivot"))
     chosen = C.materialise(chosen.join(sets.select("key", _weight().alias("bytes")), "key"), "chosen")
     totals = chosen.groupBy("pivot").agg(F.sum("bytes").alias("total"))
@@ -551,16 +551,18 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, share: int, words: in
     rows = both.where("ids is not null").select(F.explode(F.arrays_zip("ids", "keys", "sizes")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.keys").alias("key"), F.col("x.sizes").alias("size"))
     sets = both.where("key is not null").select("key", "size", "weight", "marks")
     entries = sets.select("key", "size", "marks", "weight").mapInArrow(_leading(share), "s long, key long, weight long")
+    entries = C.materialise(entries, "leading")
     entries = C.materialise(_open(entries.withColumn("comp", F.col("key"))), "entries")
     links: list[DataFrame] = []
     for nth in range(ROUNDS):
         if entries.isEmpty():
             break
         links.append(_round(nth, entries, sets, share, region_bytes // 4))
-        entries = C.materialise(_open(_relabelled(entries.withColumn("comp", F.col("key")), _labels(links, "round"))), "entries")
+        entries = C.materialise(_relabelled(entries.withColumn("comp", F.col("key")), _labels(links, "round")), "relabelled")
+        entries = C.materialise(_open(entries), "entries")
     if not entries.isEmpty():
-        lists = entries.groupBy("s").agg(F.min("key").alias("b"))
-        near = entries.join(lists, "s").select(F.col("key").alias("a"), "b").where("a <> b").distinct()
+        lists = entries.groupBy("s").agg(F.min("key").alias("b"), F.count("*").alias("n"))
+        near = C.join_skewed(entries, lists, "s", entries.count()).select(F.col("key").alias("a"), "b").where("a <> b").distinct()
         parts = C.connected_components(near, "regions").select(F.col("node").alias("key"), F.col("comp").alias("region"))
         regions = _relabelled(sets.select("key", "size", "marks").join(parts, "key").withColumn("comp", F.col("key")), _labels(links, "round"))
         links += _join_regions(regions.select("region", "key", "size", "comp", "marks"), share, region_bytes)
