@@ -22,12 +22,14 @@ from tarn.llm import common as C
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then first and inner tag of each kind
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The patterns as they are scanned for: in time linear in a text, whatever it holds. A match of the first ones can't begin inside
+# a run of its own first characters, and giving back what a run took never helps; so runs are taken whole.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMERIC = re.compile(r"[0-9+(][0-9\x20().+-]*")  # every match of the last three lies inside one of these
-_MAILISH = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 _AT, _DOT = r"(?:@|(?<![A-Za-z])at(?![A-Za-z]))", r"(?:\.|(?<![A-Za-z])dot(?![A-Za-z]))"
 _SPELLED = re.compile(rf"(?>.*?\w)(?>.*?{_AT})(?>.*?\w)(?>.*?{_DOT}).*?\w", re.I | re.S)  # an added address: a name at a name dot a name
 _BASE = re.compile(r"[0-9@]")  # no base span without one of these
@@ -59,16 +61,16 @@ def _is_phone(text: str) -> bool:
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the exact patterns, leftmost and non-overlapping in each kind, those that fail dropped."""
-    out = []
-    at = text.find("@")
+    out, end, at = [], 0, text.find("@")
     while at >= 0:
-        a = b = at
-        while a and text[a - 1] in _MAILISH:
+        a = at
+        while a > end and text[a - 1] in _LOCAL:
             a -= 1
-        while b < len(text) and text[b] in _MAILISH:
-            b += 1
-        out += [(a + m.start(), 0, a + m.end()) for m in _EMAIL.finditer(text[a:b])]
-        at = text.find("@", b)
+        domain = _DOMAIN.match(text, at + 1) if a < at else None
+        if domain:
+            end = domain.end()
+            out.append((a, 0, end))
+        at = text.find("@", max(at + 1, end))
     for run in _NUMERIC.finditer(text):
         a, part = run.start(), run.group()
         if len(part) < 7:
@@ -436,6 +438,24 @@ def detect(docs: DataFrame, field: Field | None = None, text_col: str = "text",
     Whole texts are read; null reads as empty: no spans, and redacted null. All rows and columns stay; columns with the
     names of new ones are replaced. A field may be given, else one is trained from labelled_table().
     """
+    held = C.unused(docs, "_pii")
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+    found = docs.withColumn(held, _found(docs, field, text_col, redact))
+    return found.withColumns({n: F.col(f"{held}.{n}") for n in names if redact or n != "redacted"}).drop(held)
+
+
+def without_personal_data(docs: DataFrame, field: Field | None = None, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs with all spans of detect() replaced in their texts by the kinds' names, and length_col, if given, by the texts' new
+    lengths. All rows and all other columns stay as they are, whatever they are called."""
+    held = C.unused(docs, "_pii")
+    out = docs.withColumn(held, _found(docs, field, text_col, True)).withColumn(text_col, F.col(f"{held}.redacted"))
+    if length_col:
+        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    return out.drop(held)
+
+
+def _found(docs: DataFrame, field: Field | None, text_col: str, redact: bool):
+    """The struct column of what detect() finds."""
     spark = docs.sparkSession
     C.bound_batches(spark)
     sent = spark.sparkContext.broadcast(field or train(labelled_table(spark)))
@@ -460,6 +480,4 @@ def detect(docs: DataFrame, field: Field | None = None, text_col: str = "text",
             yield pd.DataFrame(out, columns=names)
 
     run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    held = C.unused(docs, "_pii")
-    found = docs.withColumn(held, F.pandas_udf(run, _FOUND)(F.col(text_col).cast("string")))
-    return found.withColumns({n: F.col(f"{held}.{n}") for n in names if redact or n != "redacted"}).drop(held)
+    return F.pandas_udf(run, _FOUND)(F.col(text_col).cast("string"))
