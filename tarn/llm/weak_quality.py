@@ -3,7 +3,7 @@
 Overlapping heuristic labellers vote on every document. How often each combination of votes occurs is counted over all
 documents (at most 3^labellers rows); expectation-maximisation on these counts estimates each labeller's accuracies and, for
 each combination, the probability that its documents are good. These posteriors train a hashed linear scorer on a bounded
-sample of the documents; the scorer reads whole texts.
+sample of the documents; the scorer reads whole texts: their words, hashed, and the forms of their characters.
 """
 
 from __future__ import annotations
@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 
 from tarn.llm import common as C
 
-DIMS = 1024
+FORMS, WORDS = 1022, 1024  # slots of triples of character classes, and of words
+DIMS = FORMS + WORDS + 2
 TRAIN_ROWS = 4_000
+ROWS = 1_000  # documents whose features stand in memory at once
 LABELLERS = ("capitals", "symbols", "repeats", "top_word", "separators", "word_length", "vocabulary", "sentences", "variety")
+EXPECTED, PRIOR = 0.9, 0.05  # of a labeller before any vote, and how much of the documents that outweighs
 FEW_WORDS = 10  # a text of so many words is scored half by the prior
 
 # Classes of bytes: 0 blank, 1 line end, 2 lower, 3 upper, 4 digit, 5 beyond ASCII, 6 sentence mark, 7 comma and the like, 8 rest,
@@ -32,7 +35,7 @@ _CLASS[[ord(x) for x in ".?"]] = 6
 _CLASS[[ord(x) for x in ",;:'\"()-"]] = 7
 for _i, _x in enumerate("!|#$%&*<>={"):
     _CLASS[ord(_x)] = 9 + _i
-_CODE = (C.mix(np.arange(1, 8001, dtype=np.uint64)) % np.uint64(DIMS - 2)).astype(np.int32)
+_CODE = (C.mix(np.arange(1, 8001, dtype=np.uint64)) % np.uint64(FORMS)).astype(np.int32)
 
 
 def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +49,9 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     count = np.bincount(of * 20 + kind, minlength=20 * n).reshape(n, 20).astype(float)
     code = kind[:-2].astype(np.int32) * 400 + kind[1:-1].astype(np.int32) * 20 + kind[2:] if size > 2 else np.zeros(0, np.int32)
     inside = of[:-2] == of[2:] if size > 2 else np.zeros(0, bool)
-    features += np.bincount(of[:-2][inside] * DIMS + _CODE[code[inside]], minlength=n * DIMS).reshape(n, DIMS) if size > 2 else 0
-    features /= np.maximum(1, features.sum(1))[:, None]
+    if size > 2:
+        forms = np.bincount(of[:-2][inside] * FORMS + _CODE[code[inside]], minlength=n * FORMS).reshape(n, FORMS)
+        features[:, :FORMS] = forms / np.maximum(1, forms.sum(1))[:, None]
     # Words
     white = kind <= 1
     first, last = np.ones(size, bool), np.ones(size, bool)
@@ -60,6 +64,8 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     words = np.bincount(word_of, minlength=n).astype(float)
     some = np.maximum(words, 1)
     h = C.span_hashes(data, starts, ends)
+    slots = np.bincount(word_of * WORDS + (h % np.uint64(WORDS)).astype(np.int32), minlength=n * WORDS).reshape(n, WORDS)
+    features[:, FORMS : FORMS + WORDS] = slots / some[:, None]
     same = (h[1:] == h[:-1]) & (word_of[1:] == word_of[:-1])
     repeats = np.bincount(word_of[1:][same], minlength=n) / some
     top, distinct = np.zeros(n), np.zeros(n)
@@ -91,20 +97,22 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return votes, np.sqrt(features)
 
 
-def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over counted vote combinations: P(good | votes), each labeller's accuracy and the share of good documents.
 
     votes: combinations by labellers in -1, 0, 1. A labeller that does not vote says nothing; one that votes is right with
-    its accuracy, which is held between 0.7 and 0.99 (better than chance: else the two classes could swap, or a kind of junk
-    that only one labeller knows be taken for good). Starts from the majority; without votes the prior stands.
+    its accuracy, be that below one half: then its votes count against themselves. Accuracies have a Beta prior with mean
+    EXPECTED and the weight of PRIOR of all documents, so that what all know outweighs it, while a kind of junk that only
+    one labeller knows, which the others' silence or praise can't refute, is still believed. Starts from the majority;
+    without votes the prior stands.
     """
     voted, total = votes != 0, max(1.0, counts.sum())
     good = np.clip(0.5 + 0.4 * np.sign(votes.sum(1)), 0.1, 0.9)
-    accuracy, prior = np.full(votes.shape[1], 0.8), 0.5
+    accuracy, prior, weight = np.full(votes.shape[1], EXPECTED), 0.5, PRIOR * total
     for _ in range(rounds):
         right = np.where(votes > 0, good[:, None], 1 - good[:, None]) * voted
-        accuracy = np.clip((counts @ right + 0.8) / (counts @ voted + 1), 0.7, 0.99)
-        prior = float(np.clip(counts @ good / total, 0.05, 0.95))
+        accuracy = (counts @ right + EXPECTED * weight) / (counts @ voted + weight)
+        prior = float((counts @ good + 1) / (total + 2))
         logs = np.log(prior / (1 - prior)) + votes @ np.log(accuracy / (1 - accuracy))
         new = 1 / (1 + np.exp(-logs))
         if np.abs(new - good).max() < 1e-9:
@@ -160,7 +168,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
             chosen[[k for k in firsts[np.isin(hashes[firsts], sent.value)] if hashes[k] not in done]] = True
             done.update(hashes[chosen].tolist())
             data, offsets = C.buffers(batch.column(0))
-            for i, j in C.slices(offsets):
+            for i, j in C.slices(offsets, rows=ROWS):
                 votes, features = measure(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 code, count = np.unique((votes.astype(np.int64) + 1) @ base, return_counts=True)
                 own = np.flatnonzero(chosen[i:j])
@@ -188,10 +196,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
     return Model(fit_linear(x, np.repeat([posterior[r["code"]] for r in rows], weight)), accuracy, prior)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with `quality_score`, the probability that the whole text is good.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """docs with the column score_col, the probability that the whole text is good.
 
-    A text without words (null too) scores 0; the score of one of few words leans on the share of good documents. Ids may be null or repeat; a column named quality_score is replaced.
+    A text without words (null too) scores 0; the score of one of few words leans on the share of good documents. Ids may be
+    null or repeat; a column of the new one's name is replaced.
     """
     C.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, float(np.log(model.prior / (1 - model.prior)))))
@@ -205,14 +214,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     from collections.abc import Iterator
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("quality_score", F.pandas_udf(run, "double")(F.col(text_col).cast("string")))
+    return docs.withColumn(score_col, F.pandas_udf(run, "double")(F.col(text_col).cast("string")))
 
 
 def _scores(data, offsets, weights, prior):
     import pandas as pd
 
     out = np.zeros(len(offsets) - 1)
-    for i, j in C.slices(offsets):
+    for i, j in C.slices(offsets, rows=ROWS):
         part, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         _, x = measure(part, cuts)
         first = _CLASS[part] > 1
@@ -225,10 +234,16 @@ def _scores(data, offsets, weights, prior):
     return pd.Series(out)
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs with quality_score and `kept` (score of at least `least`), by a model fitted to docs themselves.
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, train_rows: int = TRAIN_ROWS, score_col: str = "quality_score", kept_col: str = "kept") -> DataFrame:
+    """docs with score_col and kept_col (score of at least `least`), by a model fitted to docs themselves.
 
-    Rows, their null ids and other columns stay as they are; columns named quality_score or kept are replaced.
+    Rows, their null ids and other columns stay as they are; columns of the new ones' names are replaced.
     """
     model = fit(docs, id_col, text_col, train_rows)
-    return score(docs, model, id_col, text_col).withColumn("kept", F.col("quality_score") >= least)
+    return score(docs, model, id_col, text_col, score_col).withColumn(kept_col, F.col(score_col) >= least)
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs that classify() keeps, with the columns of docs alone, whatever they are called."""
+    names = {"score_col": C.unused(docs, "_score"), "kept_col": C.unused(docs, "_kept")}
+    return classify(docs, id_col, text_col, least, train_rows, **names).where(F.col(names["kept_col"])).select(*(f"`{c}`" for c in docs.columns))

@@ -217,6 +217,34 @@ def test_chroma_alignment_of_few_prints(spark):
     assert got == {(0, 0, 2, 0, 3, 0.0), (0, 100, 1, -5, 3, 0.0), (50, 50, 1, 0, 1, 0.0), (100, 100, 1, 0, 20, 0.0), (100, 0, 2, 5, 3, 0.0)}
 
 
+def test_chroma_alignment_of_runs(spark):
+    """Recordings of long runs of few prints (silence, held notes): votes of every offset, against counting pairs of places."""
+    rng = random.Random(6)
+    make = lambda: np.array([x for _ in range(rng.randint(1, 6)) for x in [rng.choice([7, 7, 9, 4_000_000_000])] * rng.choice([1, 2, 5, 30])], "<u4")
+    prints = {k: make() for k in range(24)}
+    prints[24] = np.zeros(3_000, "<u4")
+    prints[25] = np.zeros(2_000, "<u4")
+    df = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in prints.items()], "id long, prints binary")
+    got = {(r.id, r.match_id): (r.offset, r.votes) for r in chroma.align(df, F.col("id") % 6 == 0, most=1.0).collect()}
+    first = {}
+    for k, x in prints.items():
+        first.setdefault(x.tobytes(), k)
+    want = {}
+    for q in range(0, 26, 6):
+        for k in first.values():
+            a, b = prints[q].astype(int), prints[k].astype(int)
+            if len(a) * len(b) > 10**6:
+                same = (a[0] == b[0]) * np.minimum(np.minimum(np.arange(1, len(a) + len(b)), len(b)), np.minimum(len(a), np.arange(len(a) + len(b) - 1, 0, -1)))
+                count = {o - len(b) + 1: int(v) for o, v in enumerate(same)}
+            else:
+                x, y = np.nonzero(a[:, None] == b[None, :])
+                count = dict(zip(*(v.tolist() for v in np.unique(x - y, return_counts=True)), strict=True))
+            best = max(((v, -abs(o), o) for o, v in count.items()), default=(0, 0, 0))
+            if best[0] >= min(chroma.VOTES, len(a), len(b)):
+                want[q, k] = (best[2], best[0])
+    assert got == want and got[24, 24] == (0, 3_000) and got[24, 25] == (0, 2_000)
+
+
 def test_chroma_alignment_against_brute_force(spark):
     rng = np.random.default_rng(2)
     tone = lambda: (6000 * np.sin(2 * np.pi * 220 * 2 ** (rng.integers(0, 24) / 12) * np.arange(256) / chroma.RATE)).astype("<i2")

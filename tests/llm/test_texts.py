@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +99,10 @@ def field(spark):
 
 def plain(text):
     out = []
-    for kind, pattern, right in ((0, pii._EMAIL, lambda x: True), (1, pii._IP, pii._is_ip), (2, pii._CARD, pii._is_card), (3, pii._PHONE, pii._is_phone)):
+    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+    ip = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+    for kind, pattern, right in ((0, email, lambda x: True), (1, ip, pii._is_ip), (2, r"[0-9]([\x20-]?[0-9])+", pii._is_card), (3, r"\+[0-9][\x20().0-9-]+[0-9]", pii._is_phone)):
+        pattern = re.compile(pattern)
         out += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if right(m.group())]
     return sorted(out)
 
@@ -108,6 +113,20 @@ def test_base_spans_are_the_plain_patterns(text):
     assert pii.base_spans(text) == plain(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a.@-_%1+ ", max_size=40))
+def test_base_spans_of_addresses(text):
+    assert pii.base_spans(text) == plain(text)
+
+
+@pytest.mark.parametrize("run", ["7", "a", "a@", "@", "1.", "1.2.3.", "+", "+1 ", "a.", "(", "a@b", "4 ", "-", "[at] dot "])
+def test_long_runs_take_linear_time(field, run):
+    """Of long runs of each kind; a quadratic scan would take minutes."""
+    begin = time.process_time()
+    pii.find_spans([run * (60_000 // len(run)) + end for end in ("", "@", "x")], field)
+    assert time.process_time() - begin < 15
+
+
 def test_field_on_held_out_lines(field):
     lines = pii.labelled_lines(700)[400:]
     hit = want = got = 0
@@ -185,6 +204,69 @@ def test_label_model_finds_known_accuracies():
     assert ((posterior[back.ravel()] > 0.5) == good)[(votes != 0).any(1)].mean() > 0.95
 
 
+def plain_em(votes, expected=weak_quality.EXPECTED, share=weak_quality.PRIOR):
+    """Expectation-maximisation document by document, from the same start."""
+    good = [min(0.9, max(0.1, 0.5 + 0.4 * ((sum(v) > 0) - (sum(v) < 0)))) for v in votes]
+    for _ in range(500):
+        accuracy = []
+        for k in range(len(votes[0])):
+            right, cast = expected * share * len(votes), share * len(votes)
+            for v, g in zip(votes, good, strict=True):
+                if v[k]:
+                    cast += 1
+                    right += g if v[k] > 0 else 1 - g
+            accuracy.append(right / cast)
+        prior = (sum(good) + 1) / (len(votes) + 2)
+        new = []
+        for v in votes:
+            odds = prior / (1 - prior)
+            for k, x in enumerate(v):
+                odds *= (accuracy[k] / (1 - accuracy[k])) ** x
+            new.append(odds / (1 + odds))
+        done = max(abs(a - b) for a, b in zip(good, new, strict=True)) < 1e-9
+        good = new
+        if done:
+            break
+    return good, accuracy, prior
+
+
+def test_label_model_against_brute_force():
+    rng = random.Random(4)
+    votes = []
+    for _ in range(400):
+        good = rng.random() < 0.7
+        votes.append([0 if rng.random() < 0.3 else (1 if (rng.random() < a) == good else -1) for a in (0.9, 0.8, 0.7, 0.25)])
+    kinds, back, counts = np.unique(np.array(votes), axis=0, return_inverse=True, return_counts=True)
+    posterior, accuracy, prior = weak_quality.estimate(kinds, counts.astype(float))
+    want, want_accuracy, want_prior = plain_em(votes)
+    assert np.abs(posterior[back.ravel()] - want).max() < 1e-6 and np.abs(accuracy - want_accuracy).max() < 1e-6 and abs(prior - want_prior) < 1e-6
+    assert accuracy[3] < 0.45  # a labeller that is mostly wrong is found to be
+
+
+def test_scorer_against_newton():
+    """The gradient descent ends where Newton's method does, on soft labels."""
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 12))
+    p = np.clip(x[:, 0] * 0.8 + rng.random(300) * 0.2, 0, 1)
+    got = weak_quality.fit_linear(x, p, rounds=20_000, ridge=1e-3)
+    z, w = np.concatenate([x, np.ones((300, 1))], axis=1), np.zeros(13)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve(z.T @ (z * (q * (1 - q))[:, None]) / 300 + 1e-3 * np.eye(13), z.T @ (q - p) / 300 + 1e-3 * w)
+    assert np.abs(got - w).max() < 1e-3
+
+
+def test_scorer_reads_words(spark):
+    """Texts of one form whose words alone differ are told apart."""
+    words = {1: ["lamp", "tree", "door"], 0: ["gold", "fish", "moon"]}
+    rng = random.Random(1)
+    texts = [(y, " ".join(rng.choice(words[y]) for _ in range(30))) for y in (0, 1) for _ in range(60)]
+    data, offsets = C.buffers(pa.array([t for _, t in texts], pa.string()))
+    _, x = weak_quality.measure(data, offsets)
+    w = weak_quality.fit_linear(x, np.array([float(y) for y, _ in texts]))
+    assert all((s > 0) == (y == 1) for s, (y, _) in zip(x @ w[:-1] + w[-1], texts, strict=True))
+
+
 def test_quality_against_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = weak_quality.classify(docs).join(labels, "doc_id").select("quality", "kept").collect()
