@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tarn.llm import common
 from tarn.llm.bpe import encode
 from tarn.llm.jaccard_join import keep_one
 from tarn.llm.mixing import repeat
-from tarn.llm.pii import detect
-from tarn.llm.weak_quality import classify
+from tarn.llm.pii import without_personal_data
+from tarn.llm.weak_quality import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return classify(docs).where("kept").select(docs.columns)
+    return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by the name of its kind; n_chars follows."""
-    found = detect(docs, redact=True)
-    return found.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return without_personal_data(docs, length_col="n_chars")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
