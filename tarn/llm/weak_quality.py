@@ -123,11 +123,12 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[
 
 def fit_linear(x: np.ndarray, p: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels by accelerated gradient descent; the last weight is the constant."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    step = 4 / max(1e-9, np.linalg.norm(x, 2) ** 2 / max(1, len(x)) + 4 * ridge)
+    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
+    step = 4 / max(1e-9, np.einsum("ij,ij->", x, x, dtype=np.float64) / max(1, len(x)) + 4 * ridge)  # rows' mean square bounds the curvature
     w = v = np.zeros(x.shape[1])
     for k in range(rounds):
-        gradient = x.T @ (1 / (1 + np.exp(-np.clip(x @ v, -30, 30))) - p) / max(1, len(x)) + ridge * v
+        error = 1 / (1 + np.exp(-np.clip(x @ v.astype(x.dtype), -30, 30))) - p
+        gradient = (error.astype(x.dtype) @ x).astype(np.float64) / max(1, len(x)) + ridge * v
         new = v - step * gradient
         v = new + k / (k + 3) * (new - w)
         w = new
@@ -177,7 +178,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
                         pa.array(np.concatenate([code, (votes[own].astype(np.int64) + 1) @ base])),
                         pa.array([*count.tolist(), *[0] * len(own)], pa.int64()),
                         pa.array([*[None] * len(code), *hashes[i + own].tolist()], pa.int64()),
-                        pa.array([*[None] * len(code), *[features[k].astype(np.float32).tobytes() for k in own]], pa.binary()),
+                        pa.array([*[None] * len(code), *[features[k].astype(np.float16).tobytes() for k in own]], pa.binary()),
                     ],
                     names=["code", "n", "h", "features"],
                 )
@@ -190,10 +191,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
     votes = code[:, None] // base % 3 - 1
     good, accuracy, prior = estimate(votes, np.array([r[1] for r in counted], float))
     posterior = dict(zip(code.tolist(), good.tolist(), strict=True))
-    rows = seen.where("features is not null").dropDuplicates(["h"]).orderBy("h").select("code", "h", "features").collect()
-    weight = [times[r["h"]] for r in rows]
-    x = np.repeat(np.stack([np.frombuffer(r["features"], np.float32) for r in rows]).astype(float), weight, axis=0)
-    return Model(fit_linear(x, np.repeat([posterior[r["code"]] for r in rows], weight)), accuracy, prior)
+    rows = seen.where("features is not null").dropDuplicates(["h"]).orderBy("h").select("code", "h", "features").toArrow()
+    weight = [times[h] for h in rows["h"].to_pylist()]
+    x = np.stack([np.frombuffer(f.as_buffer(), np.float16) for f in rows["features"]]).astype(np.float32)
+    p = np.array([posterior[c] for c in rows["code"].to_pylist()])
+    return Model(fit_linear(np.repeat(x, weight, axis=0), np.repeat(p, weight)), accuracy, prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
