@@ -198,7 +198,10 @@ def test_embeddings(spark, options):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 500_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(C, "ONE_TASK", one_task)
+    monkeypatch.setattr(C, "HUBS", 20)
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(60)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)] + [(200, k) for k in range(201, 240)] + [(7, 7)]
     got = {r.node: r.comp for r in C.connected_components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
