@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import struct
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,8 +49,37 @@ def murmur3_value(value, kind: str) -> int | None:
     return murmur3_bytes(value if isinstance(value, (bytes, bytearray)) else str(value).encode())
 
 
+def murmur3_spans(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """murmur3_bytes of each span of a byte buffer (n + 1 offsets): four bytes of all spans a round."""
+    start, size = offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
+    padded = np.zeros(len(data) + 4, np.uint8)
+    padded[: len(data)] = data
+    fours = np.ndarray(len(data) + 1, "<u4", padded, strides=(1,))
+    h, full = np.zeros(len(size), np.uint32), size // 4
+    turned = lambda x, n: (x << np.uint32(n)) | (x >> np.uint32(32 - n))
+    mixed = lambda k: turned(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    rows, k = np.flatnonzero(full > 0), 0
+    while len(rows):
+        h[rows] = turned(h[rows] ^ mixed(fours[start[rows] + 4 * k]), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        k += 1
+        rows = rows[full[rows] > k]
+    rows = np.flatnonzero(size % 4)
+    tail = fours[start[rows] + 4 * full[rows]] & ((np.uint32(1) << (8 * (size[rows] % 4)).astype(np.uint32)) - np.uint32(1))
+    h[rows] ^= mixed(tail)
+    h ^= size.astype(np.uint32)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
 def murmur3_32(column: Column, kind: str) -> Column:
-    """The signed 32-bit hash of a column. Integers stay in the JVM; floats are hashed by their bits, others by their text."""
+    """The signed 32-bit hash of a column. Numbers stay in the JVM, floats by their bits; others are hashed by their text, a
+    batch at a time over its byte buffer."""
+    if kind in ("float", "double"):
+        # Adding 0 makes -0.0 the same value as 0.0.
+        bits = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.coalesce(column.cast("double"), F.lit(0.0)) + F.lit(0.0)).cast("bigint")
+        call = F.call_function("reflect", F.lit("org.apache.spark.unsafe.hash.Murmur3_x86_32"), F.lit("hashLong"), bits, F.lit(0))
+        return F.when(column.isNotNull(), call.cast("int"))
     if kind in ("boolean", "tinyint", "smallint", "int", "bigint"):
         number = column.cast("int").cast("bigint") if kind == "boolean" else column.cast("bigint")
         call = F.call_function("reflect", F.lit("org.apache.spark.unsafe.hash.Murmur3_x86_32"), F.lit("hashLong"), F.coalesce(number, F.lit(0).cast("bigint")), F.lit(0))
@@ -56,23 +87,19 @@ def murmur3_32(column: Column, kind: str) -> Column:
 
     @F.pandas_udf("int")
     def hashed(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None or v is pd.NA else _signed(murmur3_value(v, kind))).astype("Int32")
+        raw = pa.array(values, pa.binary() if kind == "binary" else pa.string(), from_pandas=True).cast(pa.large_binary())
+        found = pd.Series(murmur3_spans(*_buffers(raw)), dtype="Int32")
+        return found.mask(values.isna().to_numpy())
 
-    if kind in ("float", "double"):
-        return _of_bits(column)
     return hashed(column if kind in ("string", "binary") else column.cast("string"))
 
 
-def _of_bits(column: Column) -> Column:
-    @F.pandas_udf("int")
-    def hashed(values: pd.Series, missing: pd.Series) -> pd.Series:
-        return pd.Series([None if m else _signed(murmur3_value(v, "double")) for v, m in zip(values, missing, strict=True)], dtype="Int32")
-
-    return hashed(column.cast("double"), column.isNull())
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 32) if h >> 31 else h
+def _buffers(column) -> tuple[np.ndarray, np.ndarray]:
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
 def parse(text: str) -> dict:

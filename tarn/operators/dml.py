@@ -14,6 +14,7 @@ from tarn.operators.scan import LINEAGE
 from tarn.sources.store import columns_at
 
 DELETE_INLINE_LIMIT = 10
+PUFFIN_BYTES = 16 << 20
 
 
 class Dml:
@@ -27,7 +28,24 @@ class Dml:
         return self._delete_rows(table, rows.where(where) if where else rows, snapshot)
 
     def truncate(self, name: str) -> int:
-        return self.delete(name)
+        """End all files and inlined rows of a table in the store; no data is read. The number of rows."""
+        snapshot = self._now()
+        table = self._table(name, snapshot)
+        table_id = table["table_id"]
+        files = self._files(table_id, snapshot)
+        if any(f["snapshots"] and (f["partial_max"] or 0) > snapshot for f in files):  # a merged file that also holds later rows
+            return self.delete(name)
+        inlined = self.store.alive("inlined_row", snapshot, "table_id = ?", table_id)
+        n = sum(f["record_count"] for f in files) - self._deletions_counts(table_id, files, snapshot)[1] + len(inlined)
+        ids = [f["file_id"] for f in files]
+
+        def truncated(store, at):
+            store.many("UPDATE data_file SET end_snapshot = ?, ended_by = 'delete' WHERE file_id = ? AND end_snapshot IS NULL", [(at, i) for i in ids])
+            store.many("UPDATE inlined_row SET end_snapshot = ? WHERE table_id = ? AND row_id = ? AND end_snapshot IS NULL", [(at, table_id, r["row_id"]) for r in inlined])
+
+        if n:
+            self._commit([truncated], [("deleted_from_table" if ids else "inlined_delete", table_id, frozenset(ids))])
+        return n
 
     def delete_using(self, name: str, source: DataFrame, on: str | Column) -> int:
         """Delete the rows of the table (alias t) that join with a row of source (alias s)."""
@@ -64,35 +82,50 @@ class Dml:
         rest = {i: n for i, n in counts.items() if i not in whole}
         limit = int(self.option("data_inlining_row_limit", DELETE_INLINE_LIMIT, table))
         small = [(r["file_id"], r["pos"]) for r in written.where(F.col("file_id").isin(list(rest))).collect()] if rest and sum(rest.values()) <= limit else None
-        puffin = None
-        if rest and small is None and str(self.option("write_deletion_vectors", "false", table)).lower() == "true":
-            puffin = self._write_puffin(table, written, rest, files)
-        delete_id = self.store.new_id()
+        vectors = str(self.option("write_deletion_vectors", "false", table)).lower() == "true"
+        sets = []  # (id, path, format, positions by file)
+        if rest and small is None:
+            sets = self._write_puffin(table, written, rest, files) if vectors else [(self.store.new_id(), folder, "parquet", rest)]
 
         def deleted(store, at):
             for i in whole:
                 store.run("UPDATE data_file SET end_snapshot = ?, ended_by = 'delete' WHERE file_id = ? AND end_snapshot IS NULL", at, i)
             if small is not None:
                 store.many("INSERT INTO inlined_delete VALUES (?, ?, ?, ?, NULL)", [(table_id, i, pos, at) for i, pos in small])
-            elif rest:
-                store.run("INSERT INTO delete_set VALUES (?, ?, ?, ?, ?, NULL)", delete_id, table_id, puffin or folder, "puffin" if puffin else "parquet", at)
-                store.many("INSERT INTO delete_count VALUES (?, ?, ?, ?, NULL)", [(delete_id, i, n, at) for i, n in rest.items()])
+            for delete_id, path, kind, counted in sets:
+                store.run("INSERT INTO delete_set VALUES (?, ?, ?, ?, ?, NULL)", delete_id, table_id, path, kind, at)
+                store.many("INSERT INTO delete_count VALUES (?, ?, ?, ?, NULL)", [(delete_id, i, n, at) for i, n in counted.items()])
             store.many("UPDATE inlined_row SET end_snapshot = ? WHERE table_id = ? AND row_id = ? AND end_snapshot IS NULL", [(at, table_id, r) for r in inlined])
 
         return deleted, set(counts), sum(counts.values()) + len(inlined)
 
-    def _write_puffin(self, table, written: DataFrame, rest: dict[int, int], files: dict) -> str:
-        """One Puffin file with a deletion vector for each data file. Positions come to the driver, so only for bounded sets."""
+    def _write_puffin(self, table, written: DataFrame, rest: dict[int, int], files: dict) -> list[tuple]:
+        """Puffin files with a deletion vector for each data file, as (id, path, format, positions by file).
+
+        The executors encode the vectors; the driver takes them a partition at a time and begins a new file when one has
+        PUFFIN_BYTES, so it holds little of a large change.
+        """
         from tarn.sources import puffin
 
-        limit = 10_000_000
-        if sum(rest.values()) > limit:
-            raise LakeError(f"a deletion vector file is limited to {limit} positions in one change; turn write_deletion_vectors off")
-        grouped = written.where(F.col("file_id").isin(list(rest))).groupBy("file_id").agg(F.sort_array(F.collect_list("pos")).alias("at")).collect()
-        path = f"{table['path']}/deletes-{uuid.uuid4().hex}.puffin"
-        self.fs.write(path, puffin.pack([(r["file_id"], files[r["file_id"]]["path"], r["at"]) for r in grouped]))
-        self._written.append(path)
-        return path
+        kept = self.spark.createDataFrame([(i,) for i in rest], "file_id long")
+        sets, held, size = [], [], 0
+
+        def flush():
+            nonlocal held, size
+            path = f"{table['path']}/deletes-{uuid.uuid4().hex}.puffin"
+            self.fs.write(path, puffin.packed(held))
+            self._written.append(path)
+            sets.append((self.store.new_id(), path, "puffin", {file_id: n for file_id, _, _, n in held}))
+            held, size = [], 0
+
+        for r in puffin.vectors(written.join(F.broadcast(kept), "file_id", "left_semi")).toLocalIterator():
+            held.append((r["file_id"], files[r["file_id"]]["path"], bytes(r["blob"]), r["n"]))
+            size += len(r["blob"])
+            if size >= PUFFIN_BYTES:
+                flush()
+        if held:
+            flush()
+        return sets
 
     def update(self, name: str, changes: dict[str, str], where: str | None = None) -> int:
         """Set columns to SQL expressions over the old row; the number of rows. Rows keep their ids."""

@@ -6,10 +6,10 @@ import json
 from collections import defaultdict
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.errors import LakeError
+from tarn.operators.write import TARGET_FILE_SIZE
 from tarn.sources.store import columns_at, now
 
 DELETE_THRESHOLD = 0.95
@@ -22,6 +22,20 @@ def _seconds(text: str) -> timedelta:
     return timedelta(**{unit if unit.endswith("s") else unit + "s": float(n)})
 
 
+def _bins(files: list, target: int, size_of) -> list[list]:
+    """Neighbours in files' order of birth; one more is added to a bin while that brings it nearer to the target size."""
+    bins: list[list] = [[]]
+    size = 0
+    for f in sorted(files, key=lambda f: (f["begin_snapshot"], f["row_id_start"] or 0, f["file_id"])):
+        own = size_of(f)
+        if bins[-1] and abs(target - size) < abs(target - size - own):
+            bins.append([])
+            size = 0
+        bins[-1].append(f)
+        size += own
+    return [b for b in bins if b]
+
+
 class Maintenance:
     """Mixed into Lake."""
 
@@ -35,67 +49,71 @@ class Maintenance:
         """Merge small files without deletions that have one layout and partition; the number of files merged.
 
         A merged file carries row and snapshot ids, so all snapshots read as before; the files it replaces are scheduled
-        for deletion. Neighbours are added while that brings a group nearer to the target size.
+        for deletion. Neighbours are added while that brings a group nearer to the target size. A table's groups are written by
+        one job a layout, each by a task of its own, and committed at once.
         """
         snapshot, merged = self._now(), 0
         for t in self._tables(table, schema, snapshot):
-            target = int(self.option("target_file_size", 512 << 20, t))
+            target = int(self.option("target_file_size", TARGET_FILE_SIZE, t))
             top = max_file_size if max_file_size is not None else target
             files = [f for f in self._files(t["table_id"], snapshot) if min_file_size <= f["size"] < top and (newer_than is None or f["begin_snapshot"] > newer_than)]
-            _, counts = self._deletions(t["table_id"], {f["file_id"] for f in files}, snapshot)
+            counts = self._deletions_by_file(t["table_id"], {f["file_id"] for f in files}, snapshot)
             groups: dict[tuple, list] = defaultdict(list)
             for f in files:
                 if f["file_id"] not in counts and not f["mapping"]:
                     # What a rewrite made holds rows older than itself; it merges only with files of the same rewrite.
                     since = f["begin_snapshot"] if f["snapshots"] and f["partial_max"] is None else -1
                     groups[f["layout"], f["partition_id"], f["partition_values"], since].append(f)
+            bins = []
             for group in groups.values():
-                group.sort(key=lambda f: (f["begin_snapshot"], f["row_id_start"] or 0))
-                bins, size = [[]], 0
-                for f in group:
-                    if bins[-1] and abs(target - size) < abs(target - size - f["size"]):
-                        bins.append([])
-                        size = 0
-                    bins[-1].append(f)
-                    size += f["size"]
-                for own in bins:
+                for own in _bins(group, target, lambda f: f["size"]):
                     own = own[: max_compacted_files - merged] if max_compacted_files is not None else own
                     if len(own) > 1:
-                        self._merge(t, own, snapshot)
+                        bins.append(own)
                         merged += len(own)
+            if bins:
+                self._merge(t, bins, snapshot)
         return merged
 
-    def _with_ids(self, table_id: int, files: list, nodes: list[dict], snapshot: int | None) -> DataFrame:
-        """Rows of files in physical names with their row and snapshot ids."""
-        rows = self._union(self._read_files(table_id, files, nodes, snapshot, True), nodes, True)
-        return rows.select(*self._physical_columns(nodes), "_row_id", "_snapshot_id")
-
-    def _merge(self, table, files: list, snapshot: int) -> None:
-        table_id, nodes = table["table_id"], json.loads(files[0]["layout"])
-        new = self._rewritten(table, nodes, self._with_ids(table_id, files, nodes, None), snapshot, files[0], sum(f["record_count"] for f in files))
-        begin = min(f["begin_snapshot"] for f in files)
-        rewritten = files[0]["snapshots"] and files[0]["partial_max"] is None
-        last = None if rewritten else max(max(f["begin_snapshot"], f["partial_max"] or 0) for f in files)
+    def _merge(self, table, bins: list[list], snapshot: int) -> None:
+        table_id, made = table["table_id"], self._rewritten(table, bins, snapshot, None)
 
         def merged(s, at):
-            self._add_files(s, table_id, new, at, row_ids=True, snapshots=True, begin=begin, partial_max=last)
-            for f in files:
-                self._forget(s, f)
+            for files, new in zip(bins, made, strict=True):
+                begin = min(f["begin_snapshot"] for f in files)
+                rewritten = files[0]["snapshots"] and files[0]["partial_max"] is None
+                last = None if rewritten else max(max(f["begin_snapshot"], f["partial_max"] or 0) for f in files)
+                self._add_files(s, table_id, new, at, row_ids=True, snapshots=True, begin=begin, partial_max=last)
+                for f in files:
+                    self._forget(s, f)
 
-        self._commit([merged], [("merge_adjacent", table_id, frozenset(f["file_id"] for f in files))])
-
-    def _rewritten(self, table, nodes, rows: DataFrame, snapshot: int, like, n: int) -> list[dict]:
-        """Files of rows that lie in one partition; sorted if the table is, as many as the target size asks for."""
-        (_, _), order = self._specs(table["table_id"], snapshot)
-        if order and {x["id"] for x in columns_at(self.store, table["table_id"], snapshot)} <= {x["id"] for x in nodes}:
-            current = {x["id"]: x["name"] for x in columns_at(self.store, table["table_id"], snapshot)}
-            named = [{**x, "name": current.get(x["id"], x["name"])} for x in nodes]
-            rows = self._sorted(rows, named, order)
-        # n rows of files that were small: their sum is near the target, so one task writes it.
-        files = self._write_files(table, nodes, rows, snapshot, sort=False, spec=(like["partition_id"], []), one_file=True)
-        for f in files:
-            f["partition_id"], f["partition_values"] = like["partition_id"], like["partition_values"]
-        return files
+        self._commit([merged], [("merge_adjacent", table_id, frozenset(f["file_id"] for files in bins for f in files))])
+
+    def _rewritten(self, table, bins: list[list], snapshot: int, read_at: int | None) -> list[list[dict]]:
+        """New files for bins of files, the files of a bin sharing layout and partition. Rows are read as of read_at (None: all
+        that the files hold) and keep their ids; each bin is written by one task, sorted if the table is."""
+        _, order = self._specs(table["table_id"], snapshot)
+        now_nodes = columns_at(self.store, table["table_id"], snapshot)
+        out: list[list[dict]] = [[] for _ in bins]
+        layouts: dict[str, list[int]] = defaultdict(list)
+        for k, files in enumerate(bins):
+            layouts[files[0]["layout"]].append(k)
+        for layout, which in layouts.items():
+            nodes = json.loads(layout)
+            files = [f for k in which for f in bins[k]]
+            rows = self._union(self._read_files(table["table_id"], files, nodes, read_at, True), nodes, True)
+            # One row a file, of a number the store knows; sent to all executors.
+            dealt = self.spark.createDataFrame([(f["file_id"], place) for place, k in enumerate(which) for f in bins[k]], "_file_id long, _bin int")
+            rows = rows.join(F.broadcast(dealt), "_file_id").select(*self._physical_columns(nodes), "_row_id", "_snapshot_id", "_bin")
+            rows = rows.repartitionById(len(which), F.col("_bin"))
+            if order and {x["id"] for x in now_nodes} <= {x["id"] for x in nodes}:
+                current = {x["id"]: x["name"] for x in now_nodes}
+                rows = self._sorted(rows, [{**x, "name": current.get(x["id"], x["name"])} for x in nodes], order, ["_bin"], within=True)
+            for f in self._write_files(table, nodes, rows, ((None, []), []), sort=False, by="_bin", single=False):
+                k = which[int(f.pop("keys")[0])]
+                f["partition_id"], f["partition_values"] = bins[k][0]["partition_id"], bins[k][0]["partition_values"]
+                out[k].append(f)
+        return out
 
     @staticmethod
     def _forget(store, f) -> None:
@@ -105,32 +123,33 @@ class Maintenance:
             store.run("INSERT INTO scheduled VALUES (?, ?)", f["path"], now())
 
     def rewrite_data_files(self, table: str | None = None, schema: str | None = None, delete_threshold: float | None = None) -> int:
-        """Rewrite files of which at least a share of rows is deleted; rows keep their ids. The number of files rewritten."""
+        """Rewrite files of which at least a share of rows is deleted, several into one of about the target size; rows keep their
+        ids. The number of files rewritten."""
         snapshot, done = self._now(), 0
         for t in self._tables(table, schema, snapshot):
             least = float(delete_threshold if delete_threshold is not None else self.option("rewrite_delete_threshold", DELETE_THRESHOLD, t))
+            target = int(self.option("target_file_size", TARGET_FILE_SIZE, t))
             files = {f["file_id"]: f for f in self._files(t["table_id"], snapshot)}
-            _, counts = self._deletions(t["table_id"], set(files), snapshot)
+            counts = self._deletions_by_file(t["table_id"], set(files), snapshot)
             groups: dict[tuple, list] = defaultdict(list)
             for i, n in counts.items():
                 f = files[i]
                 if n / max(1, f["record_count"]) >= least and not f["mapping"]:
                     groups[f["layout"], f["partition_id"], f["partition_values"]].append(f)
-            ops, told = [], set()
-            for group in groups.values():
-                nodes = json.loads(group[0]["layout"])
-                new = self._rewritten(t, nodes, self._with_ids(t["table_id"], group, nodes, snapshot), snapshot, group[0], sum(f["record_count"] for f in group))
+            # What survives of a file counts: files of a bin make one of about the target size.
+            bins = [own for group in groups.values() for own in _bins(group, target, lambda f: f["size"] * (1 - counts[f["file_id"]] / max(1, f["record_count"])))]
+            if not bins:
+                continue
+            made = self._rewritten(t, bins, snapshot, snapshot)
+            told = {f["file_id"] for own in bins for f in own}
 
-                def rewritten(s, at, new=new, group=group):
+            def rewritten(s, at, made=made, told=told, t=t):
+                for new in made:
                     self._add_files(s, t["table_id"], [f for f in new if f["rows"]], at, row_ids=True, snapshots=True)
-                    for f in group:
-                        s.run("UPDATE data_file SET end_snapshot = ?, ended_by = 'rewrite' WHERE file_id = ?", at, f["file_id"])
-
-                ops.append(rewritten)
-                told |= {f["file_id"] for f in group}
-            if ops:
-                self._commit(ops, [("rewrite_delete", t["table_id"], frozenset(told))])
-                done += len(told)
+                s.many("UPDATE data_file SET end_snapshot = ?, ended_by = 'rewrite' WHERE file_id = ?", [(at, i) for i in told])
+
+            self._commit([rewritten], [("rewrite_delete", t["table_id"], frozenset(told))])
+            done += len(told)
         return done
 
     def flush_inlined_data(self, table: str | None = None, schema: str | None = None) -> dict[str, int]:
@@ -148,14 +167,15 @@ class Maintenance:
                 nodes = json.loads(layout)
                 df = self._read_inlined(own, nodes, True).select(*self._physical_columns(nodes), "_row_id", "_snapshot_id")
                 df = df.orderBy("_row_id", "_snapshot_id").coalesce(1)
-                files = self._write_files(t, nodes, df, snapshot, sort=False)
+                files = self._write_files(t, nodes, df, self._specs(t["table_id"], snapshot), sort=False)
                 begin, last = min(r["begin_snapshot"] for r in own), max(r["begin_snapshot"] for r in own)
-                ends = {(r["row_id"], r["begin_snapshot"]): r["end_snapshot"] for r in own if r["end_snapshot"] is not None}
+                ends = [(r["row_id"], r["begin_snapshot"], r["end_snapshot"]) for r in own if r["end_snapshot"] is not None]
                 dead = []
-                if ends:  # where the dead ones have come to lie
-                    for k, f in enumerate(files):
-                        at = self.spark.read.schema("_row_id long, _snapshot_id long").parquet(f["path"]).select("*", F.col("_metadata.row_index").alias("pos"))
-                        dead += [(k, r["pos"], ends[r["_row_id"], r["_snapshot_id"]]) for r in at.collect() if (r["_row_id"], r["_snapshot_id"]) in ends]
+                if ends and files:  # where the dead ones have come to lie; only those come back
+                    places = {f["reported"]: k for k, f in enumerate(files)}
+                    ended = self.spark.createDataFrame(ends, "_row_id long, _snapshot_id long, _end long")
+                    at = self.spark.read.schema("_row_id long, _snapshot_id long").parquet(*(f["path"] for f in files)).select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("pos"))
+                    dead = [(places[r["path"]], r["pos"], r["_end"]) for r in at.join(F.broadcast(ended), ["_row_id", "_snapshot_id"]).collect()]
 
                 def flushed(s, at, files=files, begin=begin, last=last, dead=dead, t=t, own=own):
                     ids = self._add_files(s, t["table_id"], files, at, row_ids=True, snapshots=True, begin=begin, partial_max=last)
@@ -232,10 +252,16 @@ class Maintenance:
         return out
 
     def checkpoint(self) -> None:
-        """All maintenance in order: flush, expire, merge, rewrite, clean up, orphans."""
-        self.flush_inlined_data()
+        """All maintenance in order: flush, expire, merge, rewrite, clean up, orphans. Tables with auto_compact off are neither
+        flushed nor merged nor rewritten."""
+        snapshot = self._now()
+        names = {r["schema_id"]: r["name"] for r in self.store.alive("namespace", snapshot)}
+        compacted = [(names[t["schema_id"]], t["name"]) for t in self._tables(None, None, snapshot) if str(self.option("auto_compact", "true", t)).lower() != "false"]
+        for schema, name in compacted:
+            self.flush_inlined_data(name, schema)
         self.expire_snapshots()
-        self.merge_adjacent_files()
-        self.rewrite_data_files()
+        for schema, name in compacted:
+            self.merge_adjacent_files(name, schema)
+            self.rewrite_data_files(name, schema)
         self.cleanup_old_files()
         self.delete_orphaned_files()

@@ -36,12 +36,15 @@ class Scan:
     def _files(self, table_id: int, snapshot: int) -> list:
         return self.store.alive("data_file", snapshot, "table_id = ?", table_id)
 
-    def _pruner(self, table_id: int, files: list, nodes: list[dict]) -> pruning.Files:
-        stats = {}
-        kinds = {n["id"]: n["kind"] for n, _, _ in fields.leaves(nodes)}
-        for s in self.store.rows("SELECT * FROM file_stats WHERE table_id = ?", table_id):
-            if s["field_id"] in kinds:
-                stats[s["file_id"], s["field_id"]] = dict(s)
+    def _pruner(self, table_id: int, files: list, nodes: list[dict], wanted: set[int] | None = None) -> pruning.Files:
+        """Statistics of files, of the wanted fields only (all without)."""
+        kinds = {n["id"]: n["kind"] for n, _, _ in fields.leaves(nodes) if wanted is None or n["id"] in wanted}
+        stats, ids = {}, {f["file_id"] for f in files}
+        few = f"AND file_id IN ({','.join(map(str, sorted(ids)))})" if len(ids) <= 1_000 else ""
+        for field_id in kinds:
+            for s in self.store.rows(f"SELECT * FROM file_stats WHERE table_id = ? AND field_id = ? {few}", table_id, field_id):
+                if s["file_id"] in ids:
+                    stats[s["file_id"], field_id] = dict(s)
         by_layout: dict[str, dict[int, str]] = {}
         for f in files:  # a bound is of the type its file was written with
             if f["layout"] not in by_layout:
@@ -53,22 +56,45 @@ class Scan:
         specs = {r["partition_id"]: json.loads(r["spec"]) for r in self.store.rows("SELECT * FROM partition_spec WHERE table_id = ?", table_id)}
         return pruning.Files(files, stats, nodes, specs)
 
-    def table(self, name: str, version: int | None = None, timestamp=None, where: str | None = None, lineage: bool = False) -> DataFrame:
+    def _kept_files(self, table_id: int, snapshot: int, nodes: list[dict], where: str) -> tuple[list, int]:
+        """(files that may hold rows of a predicate, number of all): what bounds can tell in SQL never leaves the store, the
+        statistics of the fields that the predicate names decide on the rest."""
+        tree = pruning.parse(self.spark, where)
+        total = self.store.one("SELECT count(*) FROM data_file WHERE table_id = ? AND begin_snapshot <= ? AND (end_snapshot IS NULL OR end_snapshot > ?)", table_id, snapshot, snapshot)[0]
+        leaves = {tuple(x.lower() for x in names): n for n, names, _ in fields.leaves(nodes)}
+        ruled_out, args = pruning.as_sql(tree, leaves, table_id)
+        files = self.store.alive("data_file", snapshot, f"table_id = ?{ruled_out}", table_id, *args)
+        wanted = {leaves[x]["id"] for x in pruning.paths(tree) if x in leaves}
+        return self._pruner(table_id, files, nodes, wanted).keep(tree), total
+
+    def table(self, name: str, version: int | None = None, timestamp=None, where: str | None = None, lineage: bool = False, virtual: bool = False) -> DataFrame:
         """The rows of a table at the current snapshot, a version or the newest one not after a timestamp.
 
         where: a predicate in SQL; files that cannot match are not read. lineage: with _row_id, _snapshot_id, _file_id, _pos.
+        virtual: with rowid, snapshot_id, filename, file_row_number and file_index (the file's place among those that are read);
+        the last three are null of inlined rows.
         """
         snapshot = self._snapshot(version, timestamp)
         table = self._table(name, snapshot)
-        out = self._scan(table["table_id"], snapshot, where, lineage)
-        return out.where(where) if where else out
+        out = self._scan(table["table_id"], snapshot, where, lineage or virtual)
+        out = out.where(where) if where else out
+        if not virtual:
+            return out
+        # One row a file, of a number the store knows; sent to all executors.
+        places = self.spark.createDataFrame([(f["file_id"], f["path"], k) for k, f in enumerate(self._read)], "_file_id long, filename string, file_index long")
+        out = out.join(F.broadcast(places), "_file_id", "left").withColumn("rowid", F.col("_row_id")).withColumn("snapshot_id", F.col("_snapshot_id")).withColumn("file_row_number", F.col("_pos"))
+        return out if lineage else out.drop(*LINEAGE)
 
     def _scan(self, table_id: int, snapshot: int, where: str | None = None, lineage: bool = False, files: list | None = None) -> DataFrame:
         nodes = columns_at(self.store, table_id, snapshot)
-        every = self._files(table_id, snapshot) if files is None else files
-        kept = self._pruner(table_id, every, nodes).keep(pruning.parse(self.spark, where)) if where else every
+        if where and files is None:
+            kept, total = self._kept_files(table_id, snapshot, nodes, where)
+        else:
+            kept = self._files(table_id, snapshot) if files is None else files
+            total = len(kept)
+        self._read = kept
         inlined = self.store.alive("inlined_row", snapshot, "table_id = ?", table_id) if files is None else []
-        self.last_plan = Plan(len(every), len(kept), len(inlined), tuple(f["path"] for f in kept[:5]))
+        self.last_plan = Plan(total, len(kept), len(inlined), tuple(f["path"] for f in kept[:5]))
         parts = self._read_files(table_id, kept, nodes, snapshot, lineage)
         if inlined:
             parts.append(self._read_inlined(inlined, nodes, lineage))
@@ -110,13 +136,24 @@ class Scan:
             out = out.unionAll(p)
         return out, counts
 
+    def _deletions_by_file(self, table_id: int, file_ids: set[int], snapshot: int):
+        """The deleted rows of each file that has any, from the store alone."""
+        counts: dict[int, int] = defaultdict(int)
+        sets = {r["delete_id"] for r in self.store.alive("delete_set", snapshot, "table_id = ?", table_id)}
+        for r in self.store.alive("delete_count", snapshot, "1"):
+            if r["delete_id"] in sets and r["file_id"] in file_ids:
+                counts[r["file_id"]] += r["n"]
+        for r in self.store.alive("inlined_delete", snapshot, "table_id = ?", table_id):
+            if r["file_id"] in file_ids:
+                counts[r["file_id"]] += 1
+        return counts
+
     def _delete_set(self, row) -> DataFrame:
         """(_file_id, _pos, _deleted_at) of one written set of deletions."""
         if row["format"] == "puffin":
             from tarn.sources import puffin
 
-            rows = [(file_id, pos) for file_id, at in puffin.read(self.fs.read(row["path"])) for pos in at]
-            df = self.spark.createDataFrame(rows, "_file_id long, _pos long")
+            df = puffin.positions(self.spark, row["path"])
         else:
             df = self.spark.read.schema("file_id long, pos long").parquet(row["path"]).select(F.col("file_id").alias("_file_id"), F.col("pos").alias("_pos"))
         return df.withColumn("_deleted_at", F.lit(row["begin_snapshot"]).cast("long"))
@@ -217,7 +254,7 @@ class Scan:
         files = self._files(table_id, snapshot)
         clean = not self._deletions_counts(table_id, files, snapshot)[1] and not self.store.alive("inlined_row", snapshot, "table_id = ?", table_id)
         clean = clean and not any(f["snapshots"] and (f["partial_max"] or 0) > snapshot for f in files)
-        stats = self._pruner(table_id, files, nodes).stats
+        stats = self._pruner(table_id, files, nodes, {node["id"]}).stats
         own = [stats.get((f["file_id"], node["id"])) for f in files]
         exact = all(s is not None and not s["has_nan"] and (s["min"] is not None or s["null_count"] == s["value_count"]) for s in own)
         if clean and exact and own and node["kind"] not in ("binary", "timestamp"):
@@ -236,7 +273,7 @@ class Scan:
         files = self._files(table_id, snapshot)
         partial = any(f["snapshots"] and (f["partial_max"] or 0) > snapshot for f in files)
         clean = not partial and not self._deletions_counts(table_id, files, snapshot)[1] and all(c["id"] != node["id"] or c["initial"] is None for c in nodes)
-        kept = self._pruner(table_id, files, nodes).top(node["id"], n, descending) if clean else files
+        kept = self._pruner(table_id, files, nodes, {node["id"]}).top(node["id"], n, descending) if clean else files
         inlined = self.store.alive("inlined_row", snapshot, "table_id = ?", table_id)
         self.last_plan = Plan(len(files), len(kept), len(inlined))
         parts = self._read_files(table_id, kept, nodes, snapshot, False)
@@ -283,10 +320,13 @@ class Scan:
         if touched:
             rows = self._union(self._read_files(table_id, touched, nodes, None, True), nodes, True)
             parts.append(rows.join(at, ["_file_id", "_pos"]).select(F.col("_deleted_at").alias("snapshot_id"), F.col("_row_id").alias("rowid"), *columns))
+        ended: dict[int, list] = defaultdict(list)
         for f in files:
             if f["end_snapshot"] is not None and lo <= f["end_snapshot"] <= hi and f["ended_by"] == "delete":
-                rows = self._union(self._read_files(table_id, [f], nodes, f["end_snapshot"] - 1, True), nodes, True)
-                parts.append(rows.select(F.lit(f["end_snapshot"]).cast("long").alias("snapshot_id"), F.col("_row_id").alias("rowid"), *columns))
+                ended[f["end_snapshot"]].append(f)
+        for at_end, own in sorted(ended.items()):  # a branch for each snapshot and layout, however many files ended
+            rows = self._union(self._read_files(table_id, own, nodes, at_end - 1, True), nodes, True)
+            parts.append(rows.select(F.lit(at_end).cast("long").alias("snapshot_id"), F.col("_row_id").alias("rowid"), *columns))
         dead = self.store.rows("SELECT * FROM inlined_row WHERE table_id = ? AND end_snapshot BETWEEN ? AND ?", table_id, lo, hi)
         if dead:
             ends = self.spark.createDataFrame([(r["row_id"], r["begin_snapshot"], r["end_snapshot"]) for r in dead], "_row_id long, _snapshot_id long, _end long")

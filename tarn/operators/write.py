@@ -19,6 +19,7 @@ INLINE_BYTES = 64 << 20  # an input estimated larger than this is never tried as
 TARGET_FILE_SIZE = 512 << 20
 _NOT_INLINED = ("void", "variant", "interval", "geometry", "geography", "time(")
 _BOUNDED = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "string", "date", "timestamp_ntz", "timestamp")
+_TYPE_BYTES = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4, "string": 24, "binary": 100, "variant": 100}  # a value, as far as a type tells
 _STRING_BOUND = 256  # longer strings are no bounds: a missing bound never prunes
 
 
@@ -35,9 +36,13 @@ class Write:
 
     def create_table_as(self, name: str, rows: DataFrame, partitioned_by=(), sorted_by=(), options: dict | None = None, or_replace: bool = False) -> None:
         """Create a table with the columns of rows and insert them, in one commit."""
-        with self.transaction():
-            self.create_table(name, rows.schema, partitioned_by, sorted_by, options, or_replace=or_replace)
-            self.insert(name, rows)
+        made = self._creation(name, rows.schema, partitioned_by, sorted_by, options, False, or_replace)
+        self._new_options = {k.lower(): v for k, v in (options or {}).items()}
+        try:
+            inserted = self._insertion(made["table"], made["nodes"], self._aligned(rows, made["nodes"]), self._now(), layout=(made["partition"], made["order"]))
+        finally:
+            self._new_options = {}
+        self._commit([made["op"], inserted], [*made["told"], *self._inserted(made["table"]["table_id"], inserted)])
 
     @staticmethod
     def _inserted(table_id: int, op) -> list[tuple[str, object]]:
@@ -64,12 +69,14 @@ class Write:
         sort = self.store.alive("sort_spec", snapshot, "table_id = ?", table_id)
         return (spec[0]["partition_id"], json.loads(spec[0]["spec"])) if spec else (None, []), json.loads(sort[0]["spec"]) if sort else []
 
-    def _insertion(self, table, nodes: list[dict], rows: DataFrame, snapshot: int, row_ids: bool = False, known: int | None = None):
-        """An operation that adds physical rows (c<id>, and _row_id if row_ids) to a table. known: their number, if it is."""
+    def _insertion(self, table, nodes: list[dict], rows: DataFrame, snapshot: int, row_ids: bool = False, known: int | None = None, layout: tuple | None = None):
+        """An operation that adds physical rows (c<id>, and _row_id if row_ids) to a table. known: their number, if it is.
+        layout: a new table's ((partition id, keys), sort order), which the store does not know yet."""
         table_id = table["table_id"]
         limit = int(self.option("data_inlining_row_limit", INLINE_LIMIT, table))
-        layout = json.dumps(nodes)
-        plain = not any(k in n["kind"] for n, _, _ in fields.leaves(nodes) for k in _NOT_INLINED) and '"map"' not in layout
+        specs = layout or self._specs(table_id, snapshot)
+        written = json.dumps(nodes)
+        plain = not any(k in n["kind"] for n, _, _ in fields.leaves(nodes) for k in _NOT_INLINED) and '"map"' not in written
         if limit > 0 and plain and (known <= limit if known is not None else self._estimate(rows) <= INLINE_BYTES):
             body = F.to_json(F.struct(*(F.col(f"c{n['id']}") for n in nodes)), {**JSON_FORMAT, "ignoreNullFields": "false"})
             few = rows.select(body.alias("b"), (F.col("_row_id") if row_ids else F.lit(None).cast("long")).alias("r"), *(F.col(f"c{n['id']}").isNull().alias(f"n{n['id']}") for n in nodes if not n["nullable"])).limit(limit + 1).collect()
@@ -81,11 +88,11 @@ class Write:
 
                 def inlined(store, at):
                     for body, row_id in bodies:
-                        store.run("INSERT INTO inlined_row VALUES (?, ?, ?, ?, ?, NULL)", table_id, self._take_rows(store, table_id, 1) if row_id is None else row_id, layout, body, at)
+                        store.run("INSERT INTO inlined_row VALUES (?, ?, ?, ?, ?, NULL)", table_id, self._take_rows(store, table_id, 1) if row_id is None else row_id, written, body, at)
 
                 inlined.inlined = True
                 return inlined
-        files = self._write_files(table, nodes, rows, snapshot)
+        files = self._write_files(table, nodes, rows, specs)
 
         def added(store, at):
             self._add_files(store, table_id, files, at, row_ids=row_ids)
@@ -106,42 +113,69 @@ class Write:
         store.run("INSERT OR REPLACE INTO table_stats VALUES (?, ?)", table_id, start + n)
         return start
 
-    def _write_files(self, table, nodes: list[dict], rows: DataFrame, snapshot: int, sort: bool = True, spec=None, one_file: bool = False) -> list[dict]:
-        """Write physical rows as Parquet into a folder of their own; the files with their statistics."""
-        (partition_id, keys), order = self._specs(table["table_id"], snapshot)
-        if spec is not None:
-            partition_id, keys = spec
+    def _write_files(self, table, nodes: list[dict], rows: DataFrame, specs: tuple, sort: bool = True, by: str | None = None, single: bool = True) -> list[dict]:
+        """Write physical rows as Parquet into a folder of their own; the files with their statistics.
+
+        specs: ((partition id, keys), sort order). by: a column whose values get files of their own and are no partition keys.
+        """
+        (partition_id, keys), order = specs
         logical = {tuple(x.lower() for x in names): (n, ids) for (n, names, ids) in fields.leaves(nodes)}
-        extra = [c for c in rows.columns if c.startswith("_")]
+        extra = [c for c in rows.columns if c.startswith("_") and c != by]
         out = rows
         # Keys are copies with names of their own, so the columns stay in the files.
-        names = []
+        names = [by] if by else []
         for key, label in zip(keys, transforms.key_names(keys), strict=True):
             node, ids = logical[self._path_of(nodes, key["field_id"])]
             out = out.withColumn(f"{label}" if label not in out.columns else f"_p_{label}", transforms.apply(key["transform"], self._physical(ids), node["kind"], key["arg"]))
             names.append(out.columns[-1])
         if sort and order and str(self.option("sort_on_insert", "true", table)).lower() != "false":
             out = self._sorted(out, nodes, order, names)
-        elif names:
+        elif keys and str(self.option("per_thread_output", "false", table)).lower() != "true":
             out = out.hint("rebalance", *names)  # few files a key, and a key with many rows still split
-        if one_file:
-            out = out.coalesce(1)
         folder = f"{table['path']}/{uuid.uuid4().hex}"
-        width = max(16, sum(self._width(n) for n in nodes))
-        target = int(self.option("target_file_size", TARGET_FILE_SIZE, table))
-        writer = out.write.option("maxRecordsPerFile", max(1, target // width)).option("compression", self.option("parquet_compression", "zstd", table))
-        if size := self.option("parquet_row_group_size_bytes", None, table):
-            writer = writer.option("parquet.block.size", str(size))
+        writer = out.write.options(**self._writer_options(table))
+        if single:
+            target = int(self.option("target_file_size", TARGET_FILE_SIZE, table))
+            writer = writer.option("maxRecordsPerFile", max(1, int(target // self._row_bytes(table, nodes))))
         (writer.partitionBy(*names) if names else writer).parquet(folder)
         files = self._harvest(folder, nodes, names, extra, table)
         for f in files:
             f["partition_id"] = partition_id
+        if keys and str(self.option("hive_file_pattern", "true", table)).lower() == "false":
+            self._flattened(folder, files)
         self._written.append(folder)
         return files
 
-    @staticmethod
-    def _width(node: dict) -> int:
-        return 8 if not node["children"] else 8 * len(node["children"])
+    def _writer_options(self, table) -> dict[str, str]:
+        """The Parquet writer's options, from the lake's."""
+        codec = str(self.option("parquet_compression", "zstd", table)).lower()
+        out = {"compression": codec}
+        if size := self.option("parquet_row_group_size_bytes", None, table):
+            out["parquet.block.size"] = str(size)
+        if rows := self.option("parquet_row_group_size", None, table):
+            out["parquet.block.row.count.limit"] = str(rows)
+        if version := self.option("parquet_version", None, table):
+            out["parquet.writer.version"] = {"1": "PARQUET_1_0", "2": "PARQUET_2_0"}[str(version).lower().removeprefix("v")]
+        if level := self.option("parquet_compression_level", None, table):
+            if codec == "zstd":
+                out["parquet.compression.codec.zstd.level"] = str(level)
+            elif codec == "gzip":
+                out["zlib.compress.level"] = {"0": "NO_COMPRESSION", "1": "BEST_SPEED", "9": "BEST_COMPRESSION", "2": "TWO", "3": "THREE", "4": "FOUR", "5": "FIVE", "6": "SIX", "7": "SEVEN", "8": "EIGHT"}[str(level)]
+        return out
+
+    def _row_bytes(self, table, nodes: list[dict]) -> float:
+        """Bytes of a row in a file: as in the table's files so far, or by the columns' types."""
+        row = self.store.one("SELECT sum(size), sum(record_count) FROM (SELECT size, record_count FROM data_file WHERE table_id = ? ORDER BY file_id DESC LIMIT 100)", table["table_id"])
+        if row[1]:
+            return max(1.0, row[0] / row[1])
+        return max(8.0, sum(_TYPE_BYTES.get(n["kind"], 8) for n, _, _ in fields.leaves(nodes)))
+
+    def _flattened(self, folder: str, files: list[dict]) -> None:
+        """Move files out of their key folders, whose names then do not tell the keys."""
+        for f in files:
+            path = f"{folder}/{uuid.uuid4().hex}.parquet"
+            self.fs.rename(f["path"], path)
+            f["path"], f["reported"] = path, self.fs.reported(path)
 
     def _path_of(self, nodes, field_id: int) -> tuple[str, ...]:
         return next(tuple(x.lower() for x in names) for n, names, _ in fields.leaves(nodes) if n["id"] == field_id)
@@ -153,15 +187,15 @@ class Write:
             column = column[f"c{i}"]
         return column
 
-    def _sorted(self, rows: DataFrame, nodes: list[dict], order: list[dict], first: list[str] = ()) -> DataFrame:
-        """rows in the order of a sort spec; its expressions are over the table's column names."""
+    def _sorted(self, rows: DataFrame, nodes: list[dict], order: list[dict], first: list[str] = (), within: bool = False) -> DataFrame:
+        """rows in the order of a sort spec, as a whole or within partitions; its expressions are over the table's column names."""
         wide = rows.select("*", F.struct(*(fields.to_logical(F.col(f"c{n['id']}"), n, n).alias(n["name"]) for n in nodes)).alias("_row"))
         names = [f"_s{k}" for k in range(len(order))]
         wide = wide.select("*", "_row.*")
         for name, key in zip(names, order, strict=True):
             wide = wide.withColumn(name, F.expr(key["expression"]))
         keys = [getattr(F.col(n), ("desc" if k["descending"] else "asc") + ("_nulls_first" if k["nulls_first"] else "_nulls_last"))() for n, k in zip(names, order, strict=True)]
-        return wide.orderBy(*first, *keys).select(*rows.columns)
+        return (wide.sortWithinPartitions if within else wide.orderBy)(*first, *keys).select(*rows.columns)
 
     def _harvest(self, folder: str, nodes: list[dict], keys: list[str], extra: list[str], table) -> list[dict]:
         """One aggregation over the written files: rows, and counts, bounds and NaNs of every scalar column."""
@@ -196,7 +230,7 @@ class Write:
                 stats.append((n["id"], r["rows"], r["rows"] - get("n"), *bounds, int(bool(get("f")))))
             path = self._readable(r["reported"])
             values = [None if v == "__HIVE_DEFAULT_PARTITION__" else v for v in self._key_values(r["reported"], keys)] if keys else None
-            out.append({"path": path, "reported": r["reported"], "rows": r["rows"], "size": r["size"], "layout": layout, "stats": stats, "partition_values": json.dumps(values) if values is not None else None, "partition_id": None})
+            out.append({"keys": values, "path": path, "reported": r["reported"], "rows": r["rows"], "size": r["size"], "layout": layout, "stats": stats, "partition_values": json.dumps(values) if values is not None else None, "partition_id": None})
         return out
 
     @staticmethod

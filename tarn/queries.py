@@ -76,7 +76,7 @@ def _orders(spark, sf_dir, **options) -> Lake:
 # --- scans, versions --------------------------------------------------------------------------------------------------
 
 _Q1 = """SELECT l_returnflag, l_linestatus, CAST(round(sum(l_quantity), 2) AS DOUBLE) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-    round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
+    CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))), 2) AS DOUBLE) AS sum_disc_price, round(CAST(sum(CAST(l_discount AS DECIMAL(4, 2))) AS DOUBLE) / count(*), 6) AS avg_disc, count(*) AS count_order
     FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus"""
 
 
@@ -88,8 +88,8 @@ def scan_filter_agg(spark, sf_dir):
     return kept.groupBy("l_returnflag", "l_linestatus").agg(
         F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
         F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"),
-        F.round(F.avg("l_discount"), 6).alias("avg_disc"),
+        F.round(F.sum(F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))), 2).cast("double").alias("sum_disc_price"),
+        F.round(F.sum(F.col("l_discount").cast("decimal(4,2)")).cast("double") / F.count("*"), 6).alias("avg_disc"),
         F.count("*").alias("count_order"),
     )
 
@@ -118,19 +118,32 @@ def pinned_catalog(spark, sf_dir):
     return Lake(spark, lake.store.path, snapshot_version=before).table("orders")
 
 
-@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS rowid, CAST(1 AS BIGINT) AS snapshot_id FROM orders")
+@query("SELECT o_orderkey, r AS rowid, CAST(1 + r // 500 AS BIGINT) AS snapshot_id, r % 500 AS file_row_number, true AS named, r // 500 AS file_index FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) WHERE r < 1500")
 def virtual_columns(spark, sf_dir):
+    """Three inserts of 500 rows, each a file: the engine's own ids, snapshots, places and files."""
     lake = new_lake(spark)
-    lake.create_table("orders", source(spark, sf_dir, "orders").schema, sorted_by=["o_orderkey"])
-    lake.insert("orders", source(spark, sf_dir, "orders"))
-    rows = lake.table("orders", lineage=True)
-    # Ids are dealt file after file in no stated order; within the whole they number the rows.
-    from pyspark.sql import Window as W
+    rows = source(spark, sf_dir, "orders")
+    lake.create_table("orders", rows.schema)
+    first = rows.orderBy("o_orderkey").limit(1500).collect()
+    for k in range(0, 1500, 500):
+        lake.insert("orders", spark.createDataFrame(first[k : k + 500], rows.schema).coalesce(1))
+    names = {r["data_file"] for r in lake.list_files("orders").collect()}
+    out = lake.table("orders", virtual=True).withColumn("named", F.col("filename").isin(list(names)))
+    return out.select("o_orderkey", "rowid", (F.col("snapshot_id") - 1).alias("snapshot_id"), "file_row_number", "named", "file_index")
 
-    rank = F.row_number().over(W.orderBy("o_orderkey")) - 1
-    ids = rows.select("o_orderkey", "_row_id", (F.col("_snapshot_id") - 1).alias("snapshot_id"), rank.cast("long").alias("rowid"))
-    assert rows.agg(F.countDistinct("_row_id")).first()[0] == rows.count()
-    return ids.select("o_orderkey", "rowid", "snapshot_id")
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rowid FROM orders WHERE o_orderkey % 4 <> 0")
+def virtual_columns_after_update(spark, sf_dir):
+    """Row ids stand through updates, deletions and a merge of files."""
+    lake, rows = new_lake(spark), source(spark, sf_dir, "orders")
+    lake.create_table("orders", rows.schema, sorted_by=["o_orderkey"])
+    kept = rows.where("o_orderkey % 4 <> 0").coalesce(1)
+    lake.insert("orders", kept)
+    lake.insert("orders", rows.where("o_orderkey % 4 = 0"))
+    lake.update("orders", {"o_totalprice": "0"}, "o_orderkey % 3 = 0")
+    lake.delete("orders", "o_orderkey % 4 = 0")
+    lake.merge_adjacent_files("orders")
+    return lake.table("orders", virtual=True).select("o_orderkey", "rowid")
 
 
 # --- row-level changes ------------------------------------------------------------------------------------------------
@@ -266,6 +279,25 @@ def change_feed_replica(spark, sf_dir):
     return copy.table("orders").drop("source_row_id")
 
 
+@query(f"SELECT *, CASE WHEN snapshot_id = 2 THEN 'update_postimage' ELSE 'insert' END AS change_type FROM ({_BORN}) UNION ALL SELECT *, CASE WHEN snapshot_id = 2 THEN 'update_preimage' ELSE 'delete' END FROM ({_DIED})")
+def change_feed_stream(spark, sf_dir):
+    """The feed as a stream that ends, and later goes on from its checkpoint with what was committed since."""
+    from tarn.streaming.source import each_window
+
+    lake = _orders(spark, sf_dir)
+    folder = f"{lake.data_path}-stream"
+
+    def handle(changes, number):
+        changes.select("snapshot_id", "o_orderkey", "o_orderstatus", "change_type").write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    each_window(lake, "orders", handle, f"{folder}/checkpoint").awaitTermination()
+    lake.update("orders", {"o_orderstatus": "'X'"}, "o_orderkey % 5 = 0")
+    lake.delete("orders", "o_orderkey % 7 = 0")
+    lake.insert("orders", source(spark, sf_dir, "orders").where("o_totalprice > 300000").withColumn("o_orderkey", -F.col("o_orderkey") - 1))
+    each_window(lake, "orders", handle, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch")
+
+
 # --- answers from statistics, pruning -----------------------------------------------------------------------------------
 
 
@@ -290,53 +322,60 @@ def _sorted_lines(spark, sf_dir) -> Lake:
     return lake
 
 
+def _told(lake: Lake, rows: DataFrame) -> DataFrame:
+    """rows and whether files were left out, so that a query fails if its files are no longer pruned."""
+    plan = lake.last_plan
+    return rows.withColumn("pruned", F.lit(0 < plan.files_read < plan.files_total))
+
+
 def _pruned(name: str, spark_where: str, sql_where: str) -> None:
     def run(spark, sf_dir):
-        return _sorted_lines(spark, sf_dir).table("lineitem", where=spark_where)
+        lake = _sorted_lines(spark, sf_dir)
+        return _told(lake, lake.table("lineitem", where=spark_where))
 
     run.__name__ = name
-    query(f"SELECT * FROM lineitem WHERE {sql_where}")(run)
+    query(f"SELECT *, true AS pruned FROM lineitem WHERE {sql_where}")(run)
 
 
 _pruned("prune_range", "l_shipdate >= timestamp_ntz'1996-01-01' AND l_shipdate < timestamp_ntz'1996-04-01'", "l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-04-01'")
 _pruned("prune_or_tree", "(l_shipdate < timestamp_ntz'1995-06-01' AND l_quantity > 40) OR (l_shipdate > timestamp_ntz'1998-01-01' AND l_discount < 0.02)", "(l_shipdate < TIMESTAMP '1995-06-01' AND l_quantity > 40) OR (l_shipdate > TIMESTAMP '1998-01-01' AND l_discount < 0.02)")
 
 
-@query("SELECT * FROM orders WHERE o_orderkey IN (3, 77, 500, 1200) OR o_orderkey IS NULL")
+@query("SELECT *, true AS pruned FROM orders WHERE o_orderkey IN (3, 77, 500, 600) OR o_orderkey IS NULL")
 def prune_in(spark, sf_dir):
     lake = new_lake(spark)
     rows = source(spark, sf_dir, "orders")
     lake.create_table("orders", rows.schema)
-    lake.insert("orders", rows.repartitionByRange(8, "o_orderkey"))
-    return lake.table("orders", where="o_orderkey IN (3, 77, 500, 1200) OR o_orderkey IS NULL")
+    lake.insert("orders", rows.repartitionByRange(16, "o_orderkey"))
+    return _told(lake, lake.table("orders", where="o_orderkey IN (3, 77, 500, 600) OR o_orderkey IS NULL"))
 
 
-@query("SELECT 1 AS q, count(*) AS n FROM (VALUES (1.0), ('NaN'::DOUBLE), (NULL), (5.0)) t(x) WHERE x > 2 UNION ALL SELECT 2, 1 UNION ALL SELECT 3, 1 UNION ALL SELECT 4, 2")
+@query("SELECT 1 AS q, count(*) AS n, 2 AS files FROM (VALUES (1.0), ('NaN'::DOUBLE), (NULL), (5.0)) t(x) WHERE x > 2 UNION ALL SELECT 2, 1, 2 UNION ALL SELECT 3, 1, 1 UNION ALL SELECT 4, 2, 2")
 def prune_nan(spark, sf_dir):
     lake = new_lake(spark)
     lake.create_table("dbl", "x double")
     for v in ("1.0D", "double('NaN')", "cast(null as double)", "5.0D"):
         lake.insert("dbl", spark.sql(f"SELECT {v} AS x"))
-    parts = [lake.table("dbl", where=w).agg(F.lit(k).alias("q"), F.count("*").alias("n")) for k, w in enumerate(("x > 2", "x < 2", "x IS NULL", "x >= 5"), 1)]
+    parts = [lake.table("dbl", where=w).agg(F.lit(k).alias("q"), F.count("*").alias("n")).withColumn("files", F.lit(lake.last_plan.files_read)) for k, w in enumerate(("x > 2", "x < 2", "x IS NULL", "x >= 5"), 1)]
     return functools.reduce(DataFrame.unionAll, parts)
 
 
-@query("SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_totalprice BETWEEN 50000 AND 60000")
+@query("SELECT o_orderkey AS id, o_totalprice AS price, true AS pruned FROM orders WHERE o_totalprice BETWEEN 50000 AND 60000")
 def prune_nested(spark, sf_dir):
     lake = new_lake(spark)
     rows = source(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.struct(F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status")).alias("st"))
     lake.create_table("t", rows.schema)
     lake.insert("t", rows.repartitionByRange(8, "st.price"))
-    return lake.table("t", where="st.price >= 50000 AND st.price <= 60000").select("id", "st.price")
+    return _told(lake, lake.table("t", where="st.price >= 50000 AND st.price <= 60000")).select("id", "st.price", "pruned")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+@query("SELECT o_orderkey, o_totalprice, true AS pruned FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 def topn_pruned(spark, sf_dir):
     lake = new_lake(spark)
     rows = source(spark, sf_dir, "orders")
     lake.create_table("orders", rows.schema)
     lake.insert("orders", rows.repartitionByRange(16, "o_totalprice"))
-    return lake.top("orders", "o_totalprice", 10, ties=("o_orderkey",)).select("o_orderkey", "o_totalprice")
+    return _told(lake, lake.top("orders", "o_totalprice", 10, ties=("o_orderkey",))).select("o_orderkey", "o_totalprice", "pruned")
 
 
 # --- partitions and order -------------------------------------------------------------------------------------------------
@@ -612,6 +651,112 @@ def snapshot_listing(spark, sf_dir):
     return lake.snapshots().select("snapshot_id", F.explode(F.map_keys("changes")).alias("change"), "author")
 
 
+@query("SELECT CAST(2 AS BIGINT) AS current, CAST(2 AS BIGINT) AS last, CAST(NULL AS BIGINT) AS of_other")
+def current_and_last_snapshot(spark, sf_dir):
+    lake = _orders(spark, sf_dir)
+    lake.delete("orders", "o_orderkey % 2 = 0")
+    other = Lake(spark, lake.store.path)
+    ids = [x.first()[0] for x in (lake.current_snapshot(), lake.last_committed_snapshot(), other.last_committed_snapshot())]
+    return spark.createDataFrame([tuple(ids)], "current long, last long, of_other long")
+
+
+@query("SELECT count(*) AS record_count, true AS has_bytes FROM orders")
+def lake_size(spark, sf_dir):
+    return _orders(spark, sf_dir).size().select("record_count", (F.col("bytes") > 0).alias("has_bytes"))
+
+
+@query("SELECT *, 'is elsewhere' AS refused FROM orders")
+def data_path_override(spark, sf_dir):
+    """A lake detached and attached again under another data path: refused, unless it is to be overridden."""
+    lake = _orders(spark, sf_dir)
+    path = lake.store.path
+    lake.close()
+    try:
+        Lake(spark, path, f"{lake.data_path}/other")
+        refused = "attached"
+    except LakeError as e:
+        refused = "is elsewhere" if "override_data_path" in str(e) else str(e)
+    return Lake(spark, path, f"{lake.data_path}/other", override_data_path=True).table("orders").withColumn("refused", F.lit(refused))
+
+
+@query("SELECT y, count(*) AS record_count FROM (SELECT CASE WHEN o_orderkey % 3 = 1 THEN CAST(year(o_orderdate) AS VARCHAR) END AS y FROM orders) GROUP BY y")
+def set_and_reset_partitions(spark, sf_dir):
+    """Rows written before, under and after a partitioning by year."""
+    lake, rows = new_lake(spark), source(spark, sf_dir, "orders")
+    lake.create_table("orders", rows.schema)
+    for k, keys in enumerate(([], ["year(o_orderdate)"], [])):
+        lake.set_partitioned_by("orders", *keys)
+        lake.insert("orders", rows.where(f"o_orderkey % 3 = {k}"))
+    return lake.partitions("orders").groupBy(F.get("partition_values", 0).alias("y")).agg(F.sum("record_count").alias("record_count"))
+
+
+@query("SELECT count(*) AS n, true AS pruned_by_key, false AS pruned_by_price FROM orders WHERE o_totalprice < 0 OR o_orderkey < 10")
+def skipped_statistics(spark, sf_dir):
+    """A column without statistics rules out no file; the others do."""
+    lake, rows = new_lake(spark), source(spark, sf_dir, "orders")
+    lake.create_table("orders", rows.schema, options={"skip_stats_columns": "o_totalprice"})
+    lake.insert("orders", rows.repartitionByRange(8, "o_orderkey"))
+    n = lake.table("orders", where="o_totalprice < 0 OR o_orderkey < 10").count()
+    told = []
+    for where in ("o_orderkey < 10", "o_totalprice < 0"):
+        lake.table("orders", where=where)
+        told.append(lake.last_plan.files_read < lake.last_plan.files_total)
+    return spark.createDataFrame([(n, *told)], "n long, pruned_by_key boolean, pruned_by_price boolean")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'new' END AS note, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS o_custkey FROM orders")
+def drop_default_and_not_null(spark, sf_dir):
+    lake, rows = new_lake(spark), source(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lake.create_table("orders", rows.schema)
+    lake.add_column("orders", "note", "string")
+    lake.set_default("orders", "note", "'new'")
+    lake.set_not_null("orders", "o_custkey")
+    lake.insert("orders", rows.where("o_orderkey % 2 = 0"))
+    lake.drop_default("orders", "note")
+    lake.drop_not_null("orders", "o_custkey")
+    lake.insert("orders", rows.where("o_orderkey % 2 <> 0").select("o_orderkey"))
+    return lake.table("orders")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS out_of_order, count(*) * 2 AS n, false AS sorted_after_reset FROM orders")
+def set_and_reset_order(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    lake, rows = new_lake(spark), source(spark, sf_dir, "orders")
+    lake.create_table("orders", rows.schema)
+    lake.set_sorted_by("orders", "o_totalprice DESC NULLS LAST")
+    lake.insert("orders", rows.repartition(3))
+    lake.set_sorted_by("orders")
+    lake.insert("orders", rows.repartition(1, "o_custkey"))
+    late = F.lag("o_totalprice").over(W.partitionBy("_file_id").orderBy("_pos")) < F.col("o_totalprice")
+    by_snapshot = lake.table("orders", lineage=True).withColumn("late", late).groupBy("_snapshot_id").agg(F.count(F.when(F.col("late"), 1)).alias("late"), F.count("*").alias("n"))
+    return by_snapshot.agg(F.min("late").alias("out_of_order"), F.sum("n").alias("n"), (F.max("late") == 0).alias("sorted_after_reset"))
+
+
+@query("SELECT n_name, 2 AS views_left FROM nation WHERE n_regionkey = 1")
+def drop_and_rename_views(spark, sf_dir):
+    lake = attached(spark, sf_dir, "nation")
+    lake.create_view("a", "SELECT * FROM nation WHERE n_regionkey = 1")
+    lake.create_view("b", "SELECT * FROM nation WHERE n_regionkey = 2")
+    lake.create_view("c", "SELECT 1 AS one")
+    lake.create_macro("twice", "x INT", "2 * x")
+    lake.drop_macro("twice")
+    lake.drop_view("b")
+    lake.rename_view("a", "b")
+    left = len(lake.store.alive("view", lake._now())) + len(lake.store.alive("macro", lake._now()))
+    return lake.sql("SELECT n_name FROM b").withColumn("views_left", F.lit(left))
+
+
+@query("SELECT * FROM (VALUES ('34', 2017239379, NULL), ('alice', NULL, 1), ('bob', NULL, 2), ('charlie', NULL, 3)) v(text, hash, bucket)")
+def bucket_known_values(spark, sf_dir):
+    """Published values of the hash, and buckets of four."""
+    from tarn.functions import transforms
+
+    number = spark.sql("SELECT 34L AS v").select(F.lit("34").alias("text"), transforms.murmur3_32(F.col("v"), "bigint").alias("hash"), F.lit(None).cast("long").alias("bucket"))
+    names = spark.sql("SELECT * FROM VALUES ('alice'), ('bob'), ('charlie') AS t(v)").select(F.col("v").alias("text"), F.lit(None).cast("int").alias("hash"), transforms.apply("bucket", F.col("v"), "string", 4).alias("bucket"))
+    return number.unionAll(names)
+
+
 @query("SELECT 'orders' AS table_name, true AS has_files, CAST(1 AS BIGINT) AS delete_file_count")
 def table_info(spark, sf_dir):
     lake = _orders(spark, sf_dir)

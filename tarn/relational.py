@@ -51,6 +51,9 @@ q("intersect_distinct", "customer supplier", "SELECT c_nationkey FROM customer I
 q("subquery_scalar", "orders", "SELECT o_orderkey FROM orders WHERE o_totalprice > 1.5 * (SELECT avg(o_totalprice) FROM orders)")
 q("subquery_correlated", "orders", "SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
 
+# Table functions
+q("table_functions", "region", "SELECT id AS n, r_name, part FROM range(0, 10, 3) CROSS JOIN region LATERAL VIEW explode(split(r_name, '_')) p AS part", "SELECT n, r_name, unnest(string_split(r_name, '_')) AS part FROM (SELECT range AS n FROM range(0, 10, 3)) CROSS JOIN region")
+
 # Scalar functions
 q("string_functions", "part", "SELECT p_partkey, length(p_name) AS len, lower(p_brand) AS lo, upper(p_type) AS up, substr(p_name, 2, 3) AS sub, replace(p_brand, '#', '-') AS rep, regexp_extract(p_brand, '([0-9]+)', 1) AS num, regexp_replace(p_name, '[aeiou]', '_') AS masked, concat(p_brand, '/', p_type) AS c FROM part", "SELECT p_partkey, length(p_name) AS len, lower(p_brand) AS lo, upper(p_type) AS up, substr(p_name, 2, 3) AS sub, replace(p_brand, '#', '-') AS rep, regexp_extract(p_brand, '([0-9]+)', 1) AS num, regexp_replace(p_name, '[aeiou]', '_', 'g') AS masked, concat(p_brand, '/', p_type) AS c FROM part")
 q("date_functions", "orders", "SELECT o_orderkey, CAST(extract(month FROM o_orderdate) AS BIGINT) AS m, date_trunc('month', o_orderdate) AS month, o_orderdate + INTERVAL 3 DAY AS later, CAST(datediff(o_orderdate, DATE '1995-01-01') AS BIGINT) AS days FROM orders", "SELECT o_orderkey, CAST(extract(month FROM o_orderdate) AS BIGINT) AS m, date_trunc('month', o_orderdate) AS month, o_orderdate + INTERVAL 3 DAY AS later, date_diff('day', DATE '1995-01-01', o_orderdate) AS days FROM orders")
@@ -61,10 +64,10 @@ q("json_functions", "events", "SELECT event_id, CAST(get_json_object(props, '$.k
 q("variant_functions", "events", "SELECT event_id, variant_get(parse_json(props), '$.k', 'bigint') AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 q("map_functions", "orders", "SELECT o_orderkey, map(o_orderstatus, o_totalprice)['F'] AS f, size(map_keys(map('a', 1, o_orderpriority, 2))) AS n FROM orders", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS f, 2 AS n FROM orders")
 
-# Whole queries in the manner of TPC-H
-q("tpch_q3", "customer orders lineitem", "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP_NTZ '1998-03-15 00:00:00' AND l_shipdate > TIMESTAMP_NTZ '1998-03-15 00:00:00' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10", "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1998-03-15 00:00:00' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10")
-q("tpch_q5", "customer orders lineitem supplier nation region", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name")
-q("tpch_q6", "lineitem", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
-q("tpch_q9", "part supplier lineitem orders nation", "SELECT n_name, CAST(year(o_orderdate) AS BIGINT) AS y, round(sum(l_extendedprice * (1 - l_discount) - 0.1 * l_quantity), 2) AS profit FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_size > 10 GROUP BY n_name, year(o_orderdate)")
+# Whole queries in the manner of TPC-H; products are summed as decimals, so that a rounded sum does not depend on the order of rows
+q("tpch_q3", "customer orders lineitem", "SELECT l_orderkey, CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))), 2) AS DOUBLE) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP_NTZ '1998-03-15 00:00:00' AND l_shipdate > TIMESTAMP_NTZ '1998-03-15 00:00:00' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10", "SELECT l_orderkey, CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))), 2) AS DOUBLE) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1998-03-15 00:00:00' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10")
+q("tpch_q5", "customer orders lineitem supplier nation region", "SELECT n_name, CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))), 2) AS DOUBLE) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name")
+q("tpch_q6", "lineitem", "SELECT CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * CAST(l_discount AS DECIMAL(4, 2))), 2) AS DOUBLE) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+q("tpch_q9", "part supplier lineitem orders nation", "SELECT n_name, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2))) - 0.1 * CAST(l_quantity AS DECIMAL(12, 2))), 2) AS DOUBLE) AS profit FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_size > 10 GROUP BY n_name, year(o_orderdate)")
 q("tpch_q18", "customer orders lineitem", "SELECT c_name, o_orderkey, o_totalprice, round(sum(l_quantity), 2) AS q FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200) GROUP BY c_name, o_orderkey, o_totalprice")
 q("clickbench_like", "events", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 4) AS a, round(max(value), 4) AS m FROM events WHERE value > 1 AND props LIKE '%k%' GROUP BY event_type")

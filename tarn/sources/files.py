@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from tarn.errors import LakeError
+
 
 class FileSystem:
     def __init__(self, spark: SparkSession):
@@ -25,6 +27,15 @@ class FileSystem:
         fs, p = self._at(path)
         return fs.delete(p, recursive)
 
+    def rename(self, path: str, to: str) -> None:
+        fs, p = self._at(path)
+        if not fs.rename(p, self._jvm.org.apache.hadoop.fs.Path(to)):
+            raise LakeError(f"can't move {path}")
+
+    def reported(self, path: str) -> str:
+        """A path as Spark's _metadata.file_path shows it."""
+        return self._jvm.org.apache.spark.paths.SparkPath.fromPathString(self.canonical(path)).urlEncoded()
+
     def glob(self, pattern: str) -> list[str]:
         fs, p = self._at(pattern)
         return sorted(s.getPath().toString() for s in (fs.globStatus(p) or []))

@@ -3,33 +3,48 @@
 from __future__ import annotations
 
 import datetime
+import json
+
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 
 _INTEGERS = ("tinyint", "smallint", "int", "bigint")
 _EPOCH = datetime.datetime(1970, 1, 1)
 LONGEST = 256
 
 
-def reported(spark: SparkSession, path: str) -> str:
-    """The path as Spark's _metadata.file_path shows it."""
-    return spark._jvm.org.apache.spark.paths.SparkPath.fromPathString(path).urlEncoded()
+READERS = 16  # footers that are read at once
+
+
+def opened(spark: SparkSession, paths: list[str]) -> list[tuple]:
+    """(footer, schema as Spark reads it, size) of each file: a footer is read once, many at a time."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    converter = jvm.org.apache.spark.sql.execution.datasources.parquet.ParquetToSparkSchemaConverter(spark._jsparkSession.sessionState().conf())
+
+    def one(path):
+        file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+        try:
+            footer = reader.getFooter()
+        finally:
+            reader.close()
+        told = footer.getFileMetaData().getKeyValueMetaData().get("org.apache.spark.sql.parquet.row.metadata")
+        kind = told or converter.convert(footer.getFileMetaData().getSchema()).json()
+        return footer, T.StructType.fromJson(json.loads(kind)), file.getLength()
+
+    with ThreadPoolExecutor(READERS) as pool:
+        return list(pool.map(one, paths))
 
 
-def read(spark: SparkSession, path: str, kinds: dict[str, str]) -> tuple[int, dict[str, tuple]]:
+def statistics(footer, kinds: dict[str, str]) -> tuple[int, dict[str, tuple]]:
     """(rows, {column: (nulls or None, min or None, max or None, may hold NaN)}) of the top-level columns in kinds.
 
     A bound that a writer left out, one of a long string, a NaN or one of an unknown encoding is None.
     """
-    jvm = spark._jvm
-    file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration())
-    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
-    try:
-        blocks = list(reader.getFooter().getBlocks())
-    finally:
-        reader.close()
     rows, out = 0, {}
-    for block in blocks:
+    for block in footer.getBlocks():
         rows += block.getRowCount()
         for chunk in block.getColumns():
             name = chunk.getPath().toDotString()

@@ -7,6 +7,8 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 from tarn.errors import LakeError
 
@@ -99,20 +101,55 @@ def decode_vector(data: bytes) -> np.ndarray:
 
 def pack(vectors) -> bytes:
     """A Puffin file of (file id, data file, positions)."""
-    out, blobs = MAGIC, []
-    for file_id, path, positions in vectors:
-        blob = encode_vector(positions)
-        properties = {"referenced-data-file": path, "cardinality": str(len(positions)), "file-id": str(file_id)}
-        blobs.append({"type": "deletion-vector-v1", "fields": [], "snapshot-id": -1, "sequence-number": -1, "offset": len(out), "length": len(blob), "properties": properties})
-        out += blob
+    return packed([(file_id, path, encode_vector(positions), len(positions)) for file_id, path, positions in vectors])
+
+
+def packed(vectors) -> bytes:
+    """A Puffin file of (file id, data file, encoded vector, number of positions)."""
+    out, at, blobs = [MAGIC], len(MAGIC), []
+    for file_id, path, blob, n in vectors:
+        properties = {"referenced-data-file": path, "cardinality": str(n), "file-id": str(file_id)}
+        blobs.append({"type": "deletion-vector-v1", "fields": [], "snapshot-id": -1, "sequence-number": -1, "offset": at, "length": len(blob), "properties": properties})
+        out.append(blob)
+        at += len(blob)
     payload = json.dumps({"blobs": blobs}).encode()
-    return out + MAGIC + payload + struct.pack("<I", len(payload)) + b"\0\0\0\0" + MAGIC
+    return b"".join([*out, MAGIC, payload, struct.pack("<I", len(payload)), b"\0\0\0\0", MAGIC])
 
 
-def read(data: bytes) -> list[tuple[int, list[int]]]:
-    """(file id, positions) of each vector of a Puffin file."""
+def vectors_of(data: bytes):
+    """(file id, positions as an array) of each vector of a Puffin file, one after the other."""
     if data[:4] != MAGIC or data[-4:] != MAGIC:
         raise LakeError("not a puffin file")
     (size,) = struct.unpack_from("<I", data, len(data) - 12)
     footer = json.loads(data[len(data) - 12 - size : len(data) - 12])
-    return [(int(b["properties"]["file-id"]), decode_vector(data[b["offset"] : b["offset"] + b["length"]]).tolist()) for b in footer["blobs"]]
+    for b in footer["blobs"]:
+        yield int(b["properties"]["file-id"]), decode_vector(data[b["offset"] : b["offset"] + b["length"]])
+
+
+def read(data: bytes) -> list[tuple[int, list[int]]]:
+    """(file id, positions) of each vector of a Puffin file."""
+    return [(file_id, at.tolist()) for file_id, at in vectors_of(data)]
+
+
+def positions(spark: SparkSession, path: str) -> DataFrame:
+    """(_file_id, _pos) of a Puffin file, decoded by an executor."""
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                for file_id, at in vectors_of(content.as_py()):
+                    for i in range(0, len(at), 500_000):
+                        part = at[i : i + 500_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), file_id, np.int64)), pa.array(part)], names=["_file_id", "_pos"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "_file_id long, _pos long")
+
+
+def vectors(positions: DataFrame) -> DataFrame:
+    """(file_id, blob, n) of positions (file_id, pos): the encoded vector of each data file, made by the executors."""
+
+    def run(table: pa.Table) -> pa.Table:
+        at = np.unique(table["pos"].to_numpy())
+        return pa.table([table["file_id"][:1].combine_chunks(), pa.array([encode_vector(at)], pa.binary()), pa.array([len(at)])], names=["file_id", "blob", "n"])
+
+    return positions.groupBy("file_id").applyInArrow(run, "file_id long, blob binary, n long")

@@ -10,6 +10,11 @@ from tarn.lake import Lake
 from tarn.queries import new_lake
 
 
+@pytest.fixture
+def lake(spark):
+    return new_lake(spark)
+
+
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
@@ -215,3 +220,94 @@ def test_types_round_trip_inlined_and_written(spark):
         assert (lake.list_files("t").count() == 0) == bool(limit)
         lake.checkpoint()
         assert lake.table("t").exceptAll(df).count() == 0 and lake.table("t").count() == 2
+
+
+@pytest.mark.parametrize("n", [3, 60])
+def test_registration_judges_each_file(spark, lake, tmp_path, n):
+    """A file that lacks a column, among few files and many: an error, or its default where that is allowed."""
+    for k in range(n):
+        rows = spark.range(2).select((F.col("id") + 10 * k).alias("a"), *([F.lit(k).alias("b")] if k != 1 else []))
+        rows.coalesce(1).write.parquet(str(tmp_path / f"f{k:02}"))
+    lake.create_table("t", "a bigint, b int")
+    paths = [f"{tmp_path}/f{k:02}/*.parquet" for k in range(n)]
+    with pytest.raises(LakeError, match='"b" is missing'):
+        lake.add_data_files("t", paths)
+    assert lake.add_data_files("t", paths, allow_missing=True) == n
+    assert lake.table("t").where("b is null").count() == 2 and lake.table("t").count() == 2 * n
+
+
+def test_truncate_ends_files_without_reading(spark, lake):
+    lake.create_table_as("t", spark.range(1000).repartition(4))
+    lake.delete("t", "id % 3 = 0")
+    before = lake._now()
+    sets = len(lake.store.rows("SELECT * FROM delete_set"))
+    assert lake.truncate("t") == 666
+    assert lake.table("t").count() == 0 and lake.table("t", version=before).count() == 666
+    assert len(lake.store.rows("SELECT * FROM delete_set")) == sets and lake.last_committed == before + 1
+    assert sorted(r.id for r in lake.deletions("t", before + 1, before + 1).collect()) == [k for k in range(1000) if k % 3]
+    assert lake.truncate("t") == 0
+
+
+def test_rewrite_and_merge_write_bins_side_by_side(spark, lake):
+    """Bins of about the target size, a file each, in one commit; rows, ids and history stay."""
+    lake.create_table("t", "id bigint, s string")
+    for k in range(8):
+        lake.insert("t", spark.range(500).select((F.col("id") + 500 * k).alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("s")).coalesce(1))
+    old = {r.id: r._row_id for r in lake.table("t", lineage=True).collect()}
+    size = lake.list_files("t").first()["data_file_size_bytes"]
+    lake.set_option("target_file_size", int(size * 2.2), table="t")
+    commits = lake._now()
+    assert lake.merge_adjacent_files("t") == 8
+    assert lake._now() == commits + 1 and lake.list_files("t").count() == 4
+    lake.delete("t", "id % 2 = 0")
+    lake.set_option("target_file_size", lake.list_files("t").first()["data_file_size_bytes"], table="t")
+    commits = lake._now()
+    assert lake.rewrite_data_files("t", delete_threshold=0.3) == 4
+    assert lake._now() == commits + 1 and lake.list_files("t").count() == 2
+    assert {r.id: r._row_id for r in lake.table("t", lineage=True).collect()} == {k: v for k, v in old.items() if k % 2}
+    assert lake.table("t", version=4).count() == 1500
+
+
+def test_options_reach_the_files(spark, lake):
+    import pyarrow.parquet as pq
+
+    for name, value in (("parquet_version", "v2"), ("parquet_compression", "zstd"), ("parquet_compression_level", 19), ("parquet_row_group_size", 100), ("hive_file_pattern", "false")):
+        lake.set_option(name, value)
+    lake.create_table_as("t", spark.range(1000).select("id", (F.col("id") % 2).alias("k")), partitioned_by=["k"])
+    paths = [r["data_file"] for r in lake.list_files("t").collect()]
+    assert not any("k=" in p for p in paths)
+    meta = [pq.read_metadata(p.removeprefix("file:")) for p in paths]
+    assert all(m.num_row_groups >= 2 and m.row_group(0).column(0).compression == "ZSTD" for m in meta)
+    assert lake.table("t", where="k = 1").count() == 500 and lake.last_plan.files_read < lake.last_plan.files_total
+    lake.set_option("auto_compact", "false", table="t")
+    lake.insert("t", spark.range(1000, 1200).select("id", (F.col("id") % 2).alias("k")))
+    files = lake.list_files("t").count()
+    lake.checkpoint()
+    assert lake.list_files("t").count() == files
+
+
+def test_deletion_vectors_of_many_files(spark, lake, monkeypatch):
+    from tarn.operators import dml
+
+    monkeypatch.setattr(dml, "PUFFIN_BYTES", 100)
+    lake.create_table("t", "id bigint", options={"write_deletion_vectors": "true"})
+    lake.insert("t", spark.range(4000).repartitionByRange(6, "id"))
+    lake.delete("t", "id % 3 = 0")
+    assert len(lake.store.rows("SELECT * FROM delete_set WHERE format = 'puffin'")) > 1
+    assert sorted(r.id for r in lake.table("t").collect()) == [k for k in range(4000) if k % 3]
+    assert sorted(r.id for r in lake.deletions("t", 3, 3).collect()) == [k for k in range(4000) if k % 3 == 0]
+
+
+def test_statistics_that_a_read_loads(spark, lake):
+    """Files are ruled out in the store, and statistics are loaded of the predicate's fields and the rest alone."""
+    lake.create_table("t", "a bigint, b timestamp_ntz, c double, d string")
+    rows = spark.range(1000).selectExpr("id AS a", "timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, CAST(id AS INT)) AS b", "id / 2 AS c", "string(id) AS d")
+    lake.insert("t", rows.repartitionByRange(10, "a"))
+    for where, n in (("a >= 950", 50), ("a = 5", 1), ("b < timestamp_ntz'2020-01-11'", 10), ("a > 100 AND a <= 140 AND c > 60", 20), ("a = 5 OR a = 900", 2), ("c < 3", 6)):
+        del lake.store.log[:]
+        assert lake.table("t", where=where).count() == n
+        assert 0 < lake.last_plan.files_read <= 3 and lake.last_plan.files_total == 10
+        assert not [x for x in lake.store.log if "file_stats WHERE table_id" in x and "field_id" not in x]
+    lake.create_table("u", "d date")
+    lake.insert("u", spark.sql("SELECT date'2020-01-05' AS d"))
+    assert lake.table("u", where="d = timestamp_ntz'2020-01-05 00:00:00'").count() == 1

@@ -24,7 +24,7 @@ def test_murmur3_known_values():
 
 
 def test_murmur3_columns_agree_with_python(spark):
-    rows = [(34, "alice", 1.5, True), (-7, "", -0.0, False), (None, None, None, None), (1 << 40, "日本", float("inf"), True)]
+    rows = [(34, "alice", 1.5, True), (-7, "", -0.0, False), (None, None, None, None), (1 << 40, "日本", float("inf"), True), (5, "a longer text with a tail", float("nan"), False)]
     df = spark.createDataFrame(rows, "i bigint, s string, d double, b boolean")
     kinds = {"i": "bigint", "s": "string", "d": "double", "b": "boolean"}
     got = df.select(*(transforms.murmur3_32(F.col(c), k).alias(c) for c, k in kinds.items())).collect()
@@ -34,6 +34,15 @@ def test_murmur3_columns_agree_with_python(spark):
             assert g[c] == (None if want is None else want - (1 << 32) if want >> 31 else want)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(max_size=40), max_size=20))
+def test_murmur3_of_buffers(values):
+    data = np.frombuffer(b"".join(values), np.uint8)
+    offsets = np.cumsum([0, *map(len, values)])
+    want = [transforms.murmur3_bytes(v) for v in values]
+    assert transforms.murmur3_spans(data, offsets).tolist() == [h - (1 << 32) if h >> 31 else h for h in want]
+
+
 def test_transform_texts():
     assert transforms.parse("bucket(8, a)") == {"transform": "bucket", "column": "a", "arg": 8}
     assert transforms.parse("epoch_day(ts)")["transform"] == "epoch_day"
