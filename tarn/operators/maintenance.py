@@ -119,6 +119,7 @@ class Maintenance:
     def _forget(store, f) -> None:
         store.run("DELETE FROM data_file WHERE file_id = ?", f["file_id"])
         store.run("DELETE FROM file_stats WHERE file_id = ?", f["file_id"])
+        store.run("DELETE FROM variant_stats WHERE file_id = ?", f["file_id"])
         if not f["mapping"]:
             store.run("INSERT INTO scheduled VALUES (?, ?)", f["path"], now())
 

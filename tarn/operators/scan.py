@@ -65,7 +65,14 @@ class Scan:
         ruled_out, args = pruning.as_sql(tree, leaves, table_id)
         files = self.store.alive("data_file", snapshot, f"table_id = ?{ruled_out}", table_id, *args)
         wanted = {leaves[x]["id"] for x in pruning.paths(tree) if x in leaves}
-        return self._pruner(table_id, files, nodes, wanted).keep(tree), total
+        judge = self._pruner(table_id, files, nodes, wanted)
+        ids = {f["file_id"] for f in files}
+        for path in pruning.paths(tree):
+            if pruning.VARIANT in path and (leaf := leaves.get(path[:-3])) is not None:
+                for s in self.store.rows("SELECT * FROM variant_stats WHERE table_id = ? AND field_id = ? AND lower(key) = ?", table_id, leaf["id"], path[-2]):
+                    if s["file_id"] in ids:
+                        judge.variants[s["file_id"], leaf["id"], s["key"]] = dict(s)
+        return judge.keep(tree), total
 
     def table(self, name: str, version: int | None = None, timestamp=None, where: str | None = None, lineage: bool = False, virtual: bool = False) -> DataFrame:
         """The rows of a table at the current snapshot, a version or the newest one not after a timestamp.
@@ -155,7 +162,10 @@ class Scan:
 
             df = puffin.positions(self.spark, row["path"])
         else:
-            df = self.spark.read.schema("file_id long, pos long").parquet(row["path"]).select(F.col("file_id").alias("_file_id"), F.col("pos").alias("_pos"))
+            df = self.spark.read.schema("file_id long, pos long").parquet(row["path"])
+            # A position without a file or a place is no deletion that this lake wrote: better an error than rows come back.
+            broken = F.raise_error(F.lit(f"broken deletions in {row['path']}"))
+            df = df.select(F.coalesce("file_id", broken.cast("long")).alias("file_id"), F.coalesce("pos", broken.cast("long")).alias("pos")).select(F.col("file_id").alias("_file_id"), F.col("pos").alias("_pos"))
         return df.withColumn("_deleted_at", F.lit(row["begin_snapshot"]).cast("long"))
 
     def _read_files(self, table_id: int, files: list, nodes: list[dict], snapshot: int | None, lineage: bool, apply_deletes: bool = True) -> list[DataFrame]:

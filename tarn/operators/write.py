@@ -217,6 +217,7 @@ class Write:
                 aggregates += [F.min(value).alias(f"l{n['id']}"), F.max(value).alias(f"h{n['id']}")]
         found = read.groupBy(F.col("_metadata.file_path").alias("reported"), F.col("_metadata.file_size").alias("size")).agg(*aggregates).collect()
         layout, out = json.dumps(nodes), []
+        keys_of = self._variant_stats(read, nodes, skip)
         # A required column is required where it stands: at the top, or inside a struct that is there.
         for r in found:
             for n in nodes:
@@ -230,7 +231,30 @@ class Write:
                 stats.append((n["id"], r["rows"], r["rows"] - get("n"), *bounds, int(bool(get("f")))))
             path = self._readable(r["reported"])
             values = [None if v == "__HIVE_DEFAULT_PARTITION__" else v for v in self._key_values(r["reported"], keys)] if keys else None
-            out.append({"keys": values, "path": path, "reported": r["reported"], "rows": r["rows"], "size": r["size"], "layout": layout, "stats": stats, "partition_values": json.dumps(values) if values is not None else None, "partition_id": None})
+            out.append({"keys": values, "variants": keys_of.get(r["reported"], []), "path": path, "reported": r["reported"], "rows": r["rows"], "size": r["size"], "layout": layout, "stats": stats, "partition_values": json.dumps(values) if values is not None else None, "partition_id": None})
+        return out
+
+    def _variant_stats(self, read: DataFrame, nodes: list[dict], skip: set[str]) -> dict[str, list[tuple]]:
+        """By file (field id, key, kind, min, max) of the keys of variant objects whose values in the file all have one type, of
+        keys that a hundredth of the rows have at least."""
+        out: dict[str, list[tuple]] = {}
+        for n in nodes:
+            if n["kind"] != "variant" or n["name"].lower() in skip:
+                continue
+            column = f"c{n['id']}"
+            one = read.select(F.col("_metadata.file_path").alias("path"), column)
+            rows = {r["path"]: r["count"] for r in one.groupBy("path").count().collect()}
+            parts = one.lateralJoin(self.spark.tvf.variant_explode(F.col(column).outer())).where("key is not null")
+            kind = F.lower(F.schema_of_variant("value"))
+            whole, text = F.try_variant_get("value", "$", "bigint"), F.try_variant_get("value", "$", "string")
+            told = parts.select("path", "key", kind.alias("kind"), F.try_variant_get("value", "$", "double").alias("d"), whole.alias("w"), text.alias("t"))
+            told = told.groupBy("path", "key").agg(F.count("*").alias("n"), F.min("kind").alias("lo"), F.max("kind").alias("hi"), *(f(c).alias(f"{f.__name__}_{c}") for c in "wdt" for f in (F.min, F.max)))
+            for r in told.where("lo = hi and lo in ('bigint', 'double', 'string')").collect():
+                if r["n"] * 100 < rows[r["path"]]:
+                    continue
+                low, high = (r[f"{f}_{ {'bigint': 'w', 'double': 'd', 'string': 't'}[r['lo']]}"] for f in ("min", "max"))
+                if not any(isinstance(x, float) and x != x or isinstance(x, str) and len(x) > _STRING_BOUND or x is None for x in (low, high)):
+                    out.setdefault(r["path"], []).append((n["id"], r["key"], r["lo"], pruning.encode(low), pruning.encode(high)))
         return out
 
     @staticmethod
@@ -256,5 +280,6 @@ class Write:
                 f.get("mapping") or mapping, int(row_ids), int(snapshots), partial_max, None, at if begin is None else begin, None,
             )
             store.many("INSERT INTO file_stats VALUES (?,?,?,?,?,?,?,?)", [(file_id, table_id, *s) for s in f["stats"]])
+            store.many("INSERT INTO variant_stats VALUES (?,?,?,?,?,?,?)", [(file_id, table_id, *v) for v in f.get("variants", ())])
             ids.append(file_id)
         return ids

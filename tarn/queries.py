@@ -369,6 +369,18 @@ def prune_nested(spark, sf_dir):
     return _told(lake, lake.table("t", where="st.price >= 50000 AND st.price <= 60000")).select("id", "st.price", "pruned")
 
 
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, true AS pruned FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) < 10")
+def prune_variant(spark, sf_dir):
+    """Files are ruled out by the bounds of a variant's key."""
+    lake = new_lake(spark)
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    rows = source(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("v"), k.alias("k"))
+    lake.create_table("events", rows.drop("k").schema)
+    lake.insert("events", rows.repartitionByRange(8, "k").drop("k"))
+    own = lake.table("events", where="variant_get(v, '$.k', 'bigint') < 10")
+    return _told(lake, own).select("event_id", F.variant_get("v", "$.k", "bigint").alias("k"), "pruned")
+
+
 @query("SELECT o_orderkey, o_totalprice, true AS pruned FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 def topn_pruned(spark, sf_dir):
     lake = new_lake(spark)
@@ -615,6 +627,35 @@ def add_files_missing_extra(spark, sf_dir):
     return lake.table("orders")
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def add_files_by_position(spark, sf_dir):
+    """Columns of foreign files under other names, taken by their places."""
+    lake = new_lake(spark)
+    folder = f"{lake.data_path}-outside"
+    source(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_totalprice").alias("b")).write.parquet(folder)
+    lake.create_table("orders", "o_orderkey bigint, o_totalprice double")
+    lake.add_data_files("orders", f"{folder}/*.parquet", by_position=True)
+    return lake.table("orders")
+
+
+@query("SELECT * FROM orders WHERE o_orderkey % 4 <> 1")
+def foreign_delete_files(spark, sf_dir):
+    """Positional deletes written elsewhere, checked and applied."""
+    lake = _orders(spark, sf_dir)
+    gone = lake.table("orders", virtual=True).where("o_orderkey % 4 = 1").select(F.col("filename").alias("file_path"), F.col("file_row_number").alias("pos"))
+    folder = f"{lake.data_path}-deletes"
+    gone.repartition(2, "file_path").sortWithinPartitions("file_path", "pos").write.parquet(folder)
+    lake.add_delete_files("orders", [f for f, _, _ in lake.fs.walk(folder) if f.endswith(".parquet")])
+    return lake.table("orders")
+
+
+@query("SELECT true AS told, true AS timed")
+def metadata_query_log(spark, sf_dir):
+    lake = _orders(spark, sf_dir)
+    log = lake.query_log()
+    return log.agg((F.count(F.when(F.col("statement").contains("INSERT INTO data_file"), 1)) > 0).alias("told"), (F.min("seconds") >= 0).alias("timed"))
+
+
 # --- views, macros, catalog -----------------------------------------------------------------------------------------------
 
 

@@ -311,3 +311,45 @@ def test_statistics_that_a_read_loads(spark, lake):
     lake.create_table("u", "d date")
     lake.insert("u", spark.sql("SELECT date'2020-01-05' AS d"))
     assert lake.table("u", where="d = timestamp_ntz'2020-01-05 00:00:00'").count() == 1
+
+
+def test_migration_of_an_older_format(spark, lake):
+    lake.create_table_as("t", spark.range(5))
+    path = lake.store.path
+    lake.close()
+    import sqlite3
+
+    db = sqlite3.connect(path)
+    db.executescript("DROP TABLE variant_stats; UPDATE option SET value = '1' WHERE name = 'version'")
+    db.close()
+    with pytest.raises(LakeError, match="automatic_migration"):
+        Lake(spark, path)
+    again = Lake(spark, path, automatic_migration=True)
+    assert again.table("t").count() == 5 and again.settings().first()["version"] == "2"
+    again.insert("t", spark.range(3))
+    again.store.option_set("version", "9")
+    with pytest.raises(LakeError, match="not known"):
+        Lake(spark, path, automatic_migration=True)
+
+
+def test_foreign_delete_files_are_checked(spark, lake, tmp_path):
+    lake.create_table_as("t", spark.range(100).coalesce(1))
+    path = lake.list_files("t").first()["data_file"]
+    for k, (rows, message) in enumerate([([(path, None)], "a null"), ([(path, 5), (path, 5)], "do not rise"), ([(path + "x", 5)], "table lacks"), ([(path, 100)], "beyond")]):
+        spark.createDataFrame(rows, "file_path string, pos long").coalesce(1).write.parquet(str(tmp_path / f"d{k}"))
+        with pytest.raises(LakeError, match=message):
+            lake.add_delete_files("t", [f for f, _, _ in lake.fs.walk(f"{tmp_path}/d{k}") if f.endswith(".parquet")])
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(LakeError, match="no positional delete file"):
+        lake.add_delete_files("t", [f for f, _, _ in lake.fs.walk(f"{tmp_path}/other") if f.endswith(".parquet")][:1])
+    assert lake.table("t").count() == 100
+
+
+def test_variant_bounds_only_of_one_type(spark, lake):
+    lake.create_table("t", "id bigint, v variant")
+    for text in ('{"k": 1}', '{"k": 50}', '{"k": "a"}', "[1, 2]", "7"):
+        lake.insert("t", spark.sql(f"SELECT 1L AS id, parse_json('{text}') AS v"))
+    lake.insert("t", spark.sql("SELECT 2L AS id, parse_json(x) AS v FROM VALUES ('{\"k\": 3}'), ('{\"k\": \"z\"}') AS t(x)"))
+    assert lake.table("t", where="try_variant_get(v, '$.k', 'bigint') > 20").count() == 1
+    assert lake.last_plan.files_read == 5  # one file is ruled out: its only key is 1
+    assert lake.table("t", where="try_variant_get(v, '$.k', 'string') = 'a'").count() == 1
