@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tarn.llm import common as C
 
 GROUP = 32
+RUN = 4096
 TOP = 3  # no source and no document is taken more often
 EPSILON = 1e-9
 
@@ -97,7 +98,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     counted = C.materialise(counted, "sizes")
     sources = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n"))
     sources = C.materialise(targets(sources).join(sources.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
-    rows = counted.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("rows")
+    # Counted up in runs of RUN, so that no array grows with the number of equal rows but one of its RUN-th part.
+    rows = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {RUN}"))))
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.col("run") * RUN + 1, F.least("rows", (F.col("run") + 1) * RUN)))).drop("rows", "run")
     rows = rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("key", F.xxhash64("id", "source", "size", "nth")).withColumn("rate", rate)
