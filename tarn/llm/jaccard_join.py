@@ -5,7 +5,8 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric, and two sets link when d is at most
 * Equal shingle sets are one *class*; everything below works on classes.
 * A shingle that only one class holds can't be in an intersection. Shingles are dealt by hash range as byte blocks, counted
   there, and only the shared ones return to their class, ranked rarest first. A class with fewer than 80 % shared shingles
-  links with nothing. Partners share at least one of a class's leading (rarest) shingles, |x| - ceil(0.8 |x|) + 1 of them.
+  links with nothing. Shingles that very many documents hold are told beforehand (`_hot`); they go to their classes without
+  meeting in one task. Partners share at least one of a class's leading (rarest) shingles, |x| - ceil(0.8 |x|) + 1 of them.
 * *Rounds of pivots.* In the list of each leading shingle the most central class (the one whose shingles most classes hold)
   is a pivot. Each class goes to the region of its most central pivot not tried yet, and its exact distance from it is
   taken: within r the two link. Lists whose members are all in one component by now are done and drop out. A region is
@@ -96,11 +97,41 @@ def set_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
+HOT_PART, HOT_ROWS, HOT_LEAST = 0.02, 4_000_000, 20
+HOT_MOST = 4_000_000  # shingles that are sent to all executors: 32 MB
+SALTS = 16
+
+
+def _hot(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles that are held by a great part of docs (text): by HOT_PART of them, or by HOT_ROWS where that is less.
+
+    Told by a sample, a forty-thousandth of large tables: only how entries travel depends on it, never what links. Of more than
+    HOT_MOST the most frequent ones.
+    """
+    rows = max(1, docs.count())
+    part = min(HOT_PART, HOT_ROWS / rows)
+    taken = min(1.0, 100 / part / rows)
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = C.buffers(batch.column(0))
+            for i, j in C.slices(offsets):
+                sets = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                values, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["s", "n"])
+
+    counted = docs.sample(taken, seed=7).select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= max(HOT_LEAST, part * taken * rows)).orderBy(F.desc("n"), "s").limit(HOT_MOST).select("s").toArrow()
+    return np.sort(found["s"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+_HOT = -(1 << 60)  # groups from here up, to 0, hold hot shingles by range of classes and salt; groups further below hold ids
 _DEALT = "grp long, ids array<long>, keys binary, sizes binary, counts binary, values binary"
 
 
-def _deal(bits: int, words: int):
-    """Text batches to blocks: a block with the documents' classes, and one for each hash range with its shingles."""
+def _deal(bits: int, words: int, hot):
+    """Text batches to blocks: a block with the documents' classes, one for each hash range with its shingles, and one for each
+    range of classes with their hot ones."""
     shift = np.uint64(64 - bits)
 
     def run(batches):
@@ -111,13 +142,17 @@ def _deal(bits: int, words: int):
                 keys = set_keys(sets)
                 sizes = np.array([len(x) for x in sets], np.uint32)
                 tag = int(C.mix(np.array([keys.view(np.uint64).sum() + np.uint64(int(offsets[i]) + j)], np.uint64))[0] >> np.uint64(24))
-                rows = [(-1 - tag, batch.column(0).slice(i, j - i), keys.tobytes(), sizes.tobytes(), b"", b"")]
+                rows = [(_HOT - 1 - tag, batch.column(0).slice(i, j - i), keys.tobytes(), sizes.tobytes(), b"", b"")]
                 _, own = np.unique(keys, return_index=True)
                 own = own[sizes[own] > 0]
                 if len(own):
                     every = np.concatenate([sets[k] for k in own])
                     of = np.repeat(own, sizes[own])
                     bucket = (every >> shift).astype(np.int64)
+                    if len(hot.value):
+                        at = np.minimum(np.searchsorted(hot.value, every), len(hot.value) - 1)
+                        to = (keys[of].view(np.uint64) % np.uint64(1 << bits)).astype(np.int64)
+                        bucket = np.where(hot.value[at] == every, _HOT + to * SALTS + tag % SALTS, bucket)
                     order = np.argsort(bucket, kind="stable")
                     every, of, bucket = every[order], of[order], bucket[order]
                     cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
@@ -169,11 +204,16 @@ def _shared(classes: int, bits: int):
 
     def run(table: pa.Table) -> pa.Table:
         grp = table["grp"][0].as_py()
-        if grp < 0:
+        if grp < _HOT:
             return _passed(table, names)
         keys, sizes, counts = _joined(table["keys"], np.int64), _joined(table["sizes"], np.uint32), _joined(table["counts"], np.uint32)
         x = _joined(table["values"], np.uint64)
         own = np.sort(np.unique(keys, return_index=True)[1])
+        if grp < 0:  # hot shingles: each class's once
+            starts = np.cumsum(counts, dtype=np.int64) - counts
+            x = x[C.ranges(starts[own], counts[own].astype(np.int64))]
+            row = [(grp - _HOT) // SALTS, None, keys[own].tobytes(), sizes[own].tobytes(), counts[own].tobytes(), x.tobytes(), np.full(len(x), 65535, np.uint16).tobytes()]
+            return pa.table([pa.array([v], k) for v, k in zip(row, [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5], strict=True)], names=names)
         if len(own) < len(keys):  # copies in other slices
             starts = np.cumsum(counts, dtype=np.int64) - counts
             x = x[C.ranges(starts[own], counts[own].astype(np.int64))]
@@ -207,7 +247,7 @@ def _assembled(share: int):
     def run(table: pa.Table) -> pa.Table:
         names = ["ids", "keys", "sizes", "key", "size", "weight", "marks"]
         kinds = [pa.list_(pa.int64())] * 3 + [pa.int64()] * 3 + [pa.binary()]
-        if table["grp"][0].as_py() < 0:
+        if table["grp"][0].as_py() < _HOT:
             keys = [np.frombuffer(x, np.int64).tolist() for x in table["keys"].to_pylist()]
             sizes = [np.frombuffer(x, np.uint32).tolist() for x in table["sizes"].to_pylist()]
             none = [None] * len(table)
@@ -223,7 +263,11 @@ def _assembled(share: int):
             own = order[cuts[k] : cuts[k + 1]]
             at = C.ranges(starts[own], counts[own].astype(np.int64))
             x, df = values[at], dfs[at]
-            out.append((int(keys[own[0]]), int(size[k]), int(1000 * df.sum(dtype=np.int64) // size[k]), x[np.lexsort((x, df))].tobytes()))
+            order_of = np.lexsort((x, df))
+            x, df = x[order_of], df[order_of]
+            first = np.concatenate(([True], x[1:] != x[:-1]))  # hot ones come from several salts
+            if 100 * int(first.sum()) >= share * size[k]:
+                out.append((int(keys[own[0]]), int(size[k]), int(1000 * df[first].sum(dtype=np.int64) // size[k]), x[first].tobytes()))
         c = list(zip(*out, strict=True)) or [[], [], [], []]
         none = [None] * len(out)
         return pa.table([*(pa.array(none, k) for k in kinds[:3]), *(pa.array(v, k) for v, k in zip(c, kinds[3:], strict=True))], names=names)
@@ -545,7 +589,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, share: int, words: in
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n = C.parts_for(C.input_bytes(docs), 4 << 20)
     n = 1 << (n - 1).bit_length()
-    dealt = docs.mapInArrow(_deal(n.bit_length() - 1, words), _DEALT).repartition(n, "grp")
+    hot = spark.sparkContext.broadcast(_hot(docs, words))
+    dealt = docs.mapInArrow(_deal(n.bit_length() - 1, words, hot), _DEALT).repartition(n, "grp")
     shared = dealt.groupBy("grp").applyInArrow(_shared(n, n.bit_length() - 1), _SHARED).repartition(n, "grp")
     both = C.materialise(shared.groupBy("grp").applyInArrow(_assembled(share), _CLASSES), "classes")
     rows = both.where("ids is not null").select(F.explode(F.arrays_zip("ids", "keys", "sizes")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.keys").alias("key"), F.col("x.sizes").alias("size"))

@@ -64,8 +64,11 @@ def texts(seed=1, n=140):
     return out
 
 
-@pytest.mark.parametrize("region_bytes", [jaccard_join.REGION_BYTES, 20_000, 4_000])
-def test_jaccard_join(spark, region_bytes):
+@pytest.mark.parametrize(("region_bytes", "hot"), [(jaccard_join.REGION_BYTES, 20), (20_000, 2), (4_000, 5)])
+def test_jaccard_join(spark, monkeypatch, region_bytes, hot):
+    """hot: how many documents make a shingle travel apart."""
+    monkeypatch.setattr(jaccard_join, "HOT_LEAST", hot)
+    monkeypatch.setattr(jaccard_join, "HOT_PART", 0.001)
     rows = [(3 * k + 1, t) for k, t in enumerate(texts())] + [(None, "one"), (None, "lonely words that nobody else has at all"), (1000, "a b c d e"), (1000, "a b c d e")]
     df = spark.createDataFrame([(k, t, 5, "x") for k, t in rows], "doc_id long, text string, key int, comp string")
     got = jaccard_join.join_ngrams(df, region_bytes=region_bytes).select("doc_id", "n_shingles", "component_id").collect()
