@@ -171,28 +171,49 @@ def emissions(field: Field, x: np.ndarray) -> np.ndarray:
 
 def viterbi(field: Field, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The best tags of each padded sequence; of equal paths the one with the smaller tags, from the end."""
-    free = np.zeros((len(x), TAGS))
-    begin = free.copy()
-    begin[:, 2::2] = -np.inf  # a sequence can't begin inside
-    return _best_tags(field.pair, emissions(field, x), lengths, begin, free)
-
-
-def _best_tags(pair: np.ndarray, e: np.ndarray, lengths: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """viterbi() of emissions; begin and end are added at the first and the last step."""
-    n, t, _ = e.shape
-    best = e[:, 0] + begin
-    back = np.zeros((n, t, TAGS), np.int8)
-    for s in range(1, t):
-        way = best[:, :, None] + pair
-        back[:, s] = way.argmax(1)
-        new = way.max(1) + e[:, s]
-        best = np.where((lengths > s)[:, None], new, best)
+    n, t = x.shape
+    flat = np.full((n, t + 4), _PAD)
+    flat[:, 2:-2] = np.where(np.arange(t)[None, :] < lengths[:, None], x, _PAD)
+    begin = np.where(_BEGINS, 0.0, -np.inf)[None, :].repeat(n, 0)
+    found = best_tags(field, flat.ravel(), np.arange(n) * (t + 4) + 2, lengths, begin, np.zeros((n, TAGS)))
     tags = np.zeros((n, t), np.int8)
-    now = (best + end).argmax(1)
-    for s in range(t - 1, -1, -1):
-        tags[:, s] = np.where(lengths > s, now, 0)
+    tags[np.repeat(np.arange(n), lengths), C.ranges(np.zeros(n, np.int64), lengths)] = found
+    return tags
+
+
+_BEGINS = np.arange(TAGS) % 2 + (np.arange(TAGS) == 0) > 0  # tags that a sequence can begin with
+
+
+def best_tags(field: Field, x: np.ndarray, first: np.ndarray, lengths: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Viterbi over pieces of x (from first, so many steps each, two more shapes on both sides): the tags of all, piece after
+    piece. begin and end are added at a piece's first and last step.
+
+    The longest stand first, so that those which still go on are the first ones: a step costs by what goes on, and all pieces
+    together take as many steps as the longest has.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    at, size = first[order], lengths[order]
+    to = (np.cumsum(lengths) - lengths)[order]  # where a piece's tags go
+    going = len(size) - np.searchsorted(size[::-1], np.arange(int(size[0]) if len(size) else 0), "right")
+    own = field.own.reshape(-1, TAGS)
+    near, which = np.arange(-2, 3), np.arange(5) * (2 * SHAPES + 1)
+    pair = field.pair.T  # to x from, so that the maximum is over the last axis
+    back, tags = np.zeros((int(size.sum()), TAGS), np.int8), np.zeros(int(size.sum()), np.int8)
+    best = begin[order]
+    for s, m in enumerate(going.tolist()):
+        e = own[x[at[:m, None] + (near + s)] + which].sum(1)
         if s:
-            now = np.where(lengths > s, back[np.arange(n), s, now], now)
+            way = best[:m, None, :] + pair
+            back[to[:m] + s] = way.argmax(2)
+            best[:m] = way.max(2) + e
+        else:
+            best += e
+    now = (best + end[order]).argmax(1)
+    for s in range(len(going) - 1, -1, -1):
+        m = going[s]
+        place = to[:m] + s
+        tags[place] = now[:m]
+        now[:m] = back[place, now[:m]]
     return tags
 
 
@@ -356,6 +377,7 @@ def _plausible(kind: int, text: str) -> bool:
 
 
 _BLOCK = 1 << 16  # tokens whose emissions are held at once
+_TOKENS = 1 << 20  # undecided ones that are decoded together, unless a piece has more
 
 
 def _undecided(field: Field, x: np.ndarray) -> np.ndarray:
@@ -378,33 +400,23 @@ def find_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
     open_ = np.concatenate(([False], _undecided(field, x), [False]))
     first, after = np.flatnonzero(open_[1:] & ~open_[:-1]), np.flatnonzero(open_[:-1] & ~open_[1:])
     size = after - first
-    order = np.argsort(size, kind="stable")
-    free = np.zeros(TAGS)
-    begins = np.where(np.arange(TAGS) % 2 + (np.arange(TAGS) == 0) > 0, 0.0, -np.inf)
-    at = 0
-    while at < len(order):
-        limit = int(size[order[at]]) * 5 // 4
-        upto = min(int(np.searchsorted(size[order], limit, "right")), at + max(1, 40_000 // limit))
-        part, at = order[at:upto], upto
-        a, lengths = first[part], size[part]
-        steps = a[:, None] + np.arange(int(lengths.max()))
-        e = sum(field.own[k][x[np.minimum(steps + k - 2, len(x) - 1)]] for k in range(5))
+    begins, free = np.where(_BEGINS, 0.0, -np.inf), np.zeros(TAGS)
+    cuts = [0, *np.flatnonzero(np.diff(np.cumsum(size) // _TOKENS)).tolist(), len(size)] if len(size) else [0]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        a, lengths = first[i:j], size[i:j]
         begin = np.where((x[a - 1] == _PAD)[:, None], begins, field.pair[0])
         end = np.where((x[a + lengths] == _PAD)[:, None], free, field.pair[:, 0])
-        tags = _best_tags(field.pair, e, lengths, begin, end)
-        for r in np.flatnonzero((tags > 0).any(1)):
-            row, s = tags[r], 0
-            token = int(np.searchsorted(place, a[r]))
-            of = int(np.searchsorted(bounds, token, "right")) - 1
-            while s < lengths[r]:
-                if row[s] % 2 == 1:
-                    kind, stop = int(row[s] // 2), s + 1
-                    while stop < lengths[r] and row[stop] == row[s] + 1:
-                        stop += 1
-                    added[of].append((int(starts[token + s]), kind, int(ends[token + stop - 1])))
-                    s = stop
-                else:
-                    s += 1
+        tags = best_tags(field, x, a, lengths, begin, end)
+        at = np.repeat(a - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(tags))  # the tags' places in x
+        starting = np.flatnonzero(tags % 2 == 1)
+        token = np.searchsorted(place, at[starting])
+        of = np.searchsorted(bounds, token, "right") - 1
+        last = np.repeat(np.cumsum(lengths), lengths)  # where each tag's piece ends
+        for k, t, doc in zip(starting.tolist(), token.tolist(), of.tolist(), strict=True):
+            stop, inner = k + 1, tags[k] + 1
+            while stop < last[k] and tags[stop] == inner:
+                stop += 1
+            added[doc].append((int(starts[t]), int(tags[k] // 2), int(ends[t + stop - k - 1])))
     out = []
     for text, extra in zip(texts, added, strict=True):
         base = base_spans(text) if _BASE.search(text) else []
