@@ -138,15 +138,31 @@ def repeat(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
     Repeated rows that share id, source and size are dealt their copies one after the other. Columns and values stay.
     """
-    of, to, copies, rows, n, i, k = (C.unused(docs, x) for x in ("_of", "_to", "_copies", "_rows", "_n", "_i", "_k"))
+    of, to, copies, rows, n, k = (C.unused(docs, x) for x in ("_of", "_to", "_copies", "_rows", "_n", "_k"))
     mixed = mix(docs, id_col, source_col, text_col, seed)
     key = F.struct(F.col(id_col), F.col(source_col), F.col("size"))
-    took = mixed.groupBy(key.alias(to)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    took = C.materialise(mixed.groupBy(key.alias(to)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)), "taken")
     source, size = F.col(f"`{source_col}`").cast("string").alias(source_col), words(F.col(f"`{text_col}`")).alias("size")
     keyed = docs.withColumn(of, F.struct(F.col(f"`{id_col}`").alias(id_col), source, size))
     joined = keyed.join(took, F.col(of).eqNullSafe(F.col(to)))
-    single = joined.where(F.col(rows) == 1).withColumn(n, F.col(copies))
-    several = joined.where(F.col(rows) > 1).withColumn(i, F.row_number().over(W.partitionBy(of).orderBy(F.lit(1))))
-    several = several.withColumn(n, F.floor(F.col(copies) / F.col(rows)) + F.when(F.col(i) <= F.pmod(copies, rows), 1).otherwise(0)).drop(i)
-    every = single.unionByName(several).where(F.col(n) > 0).withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))))
+    every = joined.where(F.col(rows) == 1).withColumn(n, F.col(copies))
+    if not took.where(F.col(rows) > 1).isEmpty():
+        every = every.unionByName(_dealt(joined.where(F.col(rows) > 1), of, copies, rows, n))
+    every = every.where(F.col(n) > 0).withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))))
     return every.select(*(f"`{c}`" for c in docs.columns))
+
+
+def _dealt(several: DataFrame, of: str, copies: str, rows: str, n: str) -> DataFrame:
+    """Rows of which several share the key `of`, with the copies n of each: its `copies` by its `rows`, one more for the first.
+
+    Rows are numbered in runs of a written table, so that a key of very many rows is not numbered by one task.
+    """
+    run, at, first, i, of_it, run_of_it = (C.unused(several, x) for x in ("_run", "_at", "_first", "_i", "_of_it", "_run_of_it"))
+    placed = C.materialise(several, "repeated")
+    placed = placed.withColumn(at, F.col("_metadata.row_index")).withColumn(run, F.xxhash64(F.col("_metadata.file_path"), F.expr(f"_metadata.row_index div {RUN}")))
+    counted = placed.groupBy(of, run).agg(F.count("*").alias(i))
+    before = F.coalesce(F.sum(i).over(W.partitionBy(of).orderBy(run).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counted = counted.withColumn(first, before).select(F.col(of).alias(of_it), F.col(run).alias(run_of_it), first)
+    met = placed.join(counted, F.col(of).eqNullSafe(F.col(of_it)) & (F.col(run) == F.col(run_of_it))).drop(of_it, run_of_it)
+    met = met.withColumn(i, F.col(first) + F.row_number().over(W.partitionBy(of, run).orderBy(at)))
+    return met.withColumn(n, F.floor(F.col(copies) / F.col(rows)) + F.when(F.col(i) <= F.pmod(copies, rows), 1).otherwise(0)).drop(run, at, first, i)
