@@ -272,7 +272,8 @@ class Write:
     def _add_files(self, store, table_id: int, files: list[dict], at: int, row_ids: bool = False, snapshots: bool = False, begin: int | None = None, partial_max: int | None = None, mapping: str | None = None) -> list[int]:
         ids = []
         for f in files:
-            file_id = f.get("file_id") or self.store.new_id()
+            # Given once: a transaction's later operations name the file, and all are run again when it commits.
+            file_id = f["file_id"] = f.get("file_id") or self.store.new_id()
             start = None if row_ids else self._take_rows(store, table_id, f["rows"])
             store.run(
                 "INSERT INTO data_file VALUES (?,?,?,?,?,?,?,?,?,?,?,?,?,?,?,?,?)",

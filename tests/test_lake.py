@@ -353,3 +353,29 @@ def test_variant_bounds_only_of_one_type(spark, lake):
     assert lake.table("t", where="try_variant_get(v, '$.k', 'bigint') > 20").count() == 1
     assert lake.last_plan.files_read == 5  # one file is ruled out: its only key is 1
     assert lake.table("t", where="try_variant_get(v, '$.k', 'string') = 'a'").count() == 1
+
+
+def test_transactions_leave_statistics_in_the_store(spark, lake):
+    """Files are pruned inside a transaction by statistics of before it and of its own, and merged away ones are forgotten."""
+    lake.create_table("t", "a bigint")
+    for k in range(4):
+        lake.insert("t", spark.range(10 * k, 10 * k + 10).select(F.col("id").alias("a")).coalesce(1))
+    with lake.transaction():
+        assert lake.store.one("SELECT count(*) FROM own_file_stats")[0] == 0 and lake.store.one("SELECT count(*) FROM file_stats")[0] == 4
+        lake.insert("t", spark.range(100, 110).select(F.col("id").alias("a")).coalesce(1))
+        for where, n in (("a = 105", 1), ("a < 10", 10), ("a > 500", 0)):
+            assert lake.table("t", where=where).count() == n and lake.last_plan.files_read == (n > 0)
+        assert lake.merge_adjacent_files("t") == 5
+        assert lake.store.one("SELECT count(*) FROM file_stats")[0] == 1
+        assert lake.table("t", where="a = 105").count() == 1
+    assert lake.table("t").count() == 50 and lake.store.one("SELECT count(*) FROM file_stats")[0] == 1
+
+
+def test_a_transaction_changes_what_it_inserted(spark, lake):
+    lake.create_table("t", "a bigint")
+    with lake.transaction():
+        lake.insert("t", spark.range(100).select(F.col("id").alias("a")))
+        lake.delete("t", "a % 2 = 0")
+        lake.update("t", {"a": "a + 1000"}, "a < 10")
+        inside = rows(lake.table("t"))
+    assert rows(lake.table("t")) == inside == sorted([(k,) for k in range(11, 100, 2)] + [(k + 1000,) for k in range(1, 10, 2)])
