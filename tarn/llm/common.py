@@ -287,17 +287,18 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
 
 
-HUBS, ONE_TASK = 500, 500_000
+HUBS = 500
+ONE_TASK = 500_000  # edges: 16 MB
 
 
-def join_skewed(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+def join_skewed(rows: DataFrame, keyed: DataFrame, key: str, total: int, one_task: int = 0) -> DataFrame:
     """rows joined with keyed, which has one row a key, n telling how many of the `total` rows have that key; without n.
 
     A key with more than 1 / HUBS of the rows would bring them into one task. There are HUBS such keys at most: they are sent to
-    where the rows are. The rows of the other keys are shuffled. Up to ONE_TASK rows (16 MB of these narrow ones) may well meet in
-    one task, and are spared the extra stages.
+    where the rows are. The rows of the other keys are shuffled. Up to one_task rows may as well meet in one task, and are spared
+    the extra stages.
     """
-    if total <= ONE_TASK:
+    if total <= one_task:
         return rows.join(keyed.drop("n"), key)
     hot, cold = (keyed.where(x).drop("n") for x in (F.col("n") * HUBS > total, F.col("n") * HUBS <= total))
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
@@ -324,7 +325,7 @@ def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataF
             break
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_skewed(both.where("v > u"), least, "u", 2 * seen[0])
+        large = join_skewed(both.where("v > u"), least, "u", 2 * seen[0], ONE_TASK)
         large = large.select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi")

@@ -125,11 +125,20 @@ def _hot(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(found["s"].to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _labels_of_partitions(spark, n: int) -> np.ndarray:
+    """A number for each of n partitions which Spark's hash deals to that one, so that n groups go to n tasks, one each."""
+    tried = int(n * (np.log(n) + 12))
+    found = spark.range(tried).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).toArrow()
+    out = np.arange(tried, tried + n)
+    out[found["p"].to_numpy()] = found["id"].to_numpy()
+    return out
+
+
 _HOT = -(1 << 60)  # groups from here up, to 0, hold hot shingles by range of classes and salt; groups further below hold ids
 _DEALT = "grp long, ids array<long>, keys binary, sizes binary, counts binary, values binary"
 
 
-def _deal(bits: int, words: int, hot):
+def _deal(bits: int, words: int, hot, labels):
     """Text batches to blocks: a block with the documents' classes, one for each hash range with its shingles, and one for each
     range of classes with their hot ones."""
     shift = np.uint64(64 - bits)
@@ -148,7 +157,7 @@ def _deal(bits: int, words: int, hot):
                 if len(own):
                     every = np.concatenate([sets[k] for k in own])
                     of = np.repeat(own, sizes[own])
-                    bucket = (every >> shift).astype(np.int64)
+                    bucket = labels.value[(every >> shift).astype(np.int64)]
                     if len(hot.value):
                         at = np.minimum(np.searchsorted(hot.value, every), len(hot.value) - 1)
                         to = (keys[of].view(np.uint64) % np.uint64(1 << bits)).astype(np.int64)
@@ -198,7 +207,7 @@ def _counted(x: np.ndarray, of: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _shared(classes: int, bits: int):
+def _shared(bits: int, labels):
     """One hash range: keep the shingles that at least two classes hold, with their frequency, by range of classes."""
     names = ["grp", "ids", "keys", "sizes", "counts", "values", "dfs"]
 
@@ -212,7 +221,7 @@ def _shared(classes: int, bits: int):
         if grp < 0:  # hot shingles: each class's once
             starts = np.cumsum(counts, dtype=np.int64) - counts
             x = x[C.ranges(starts[own], counts[own].astype(np.int64))]
-            row = [(grp - _HOT) // SALTS, None, keys[own].tobytes(), sizes[own].tobytes(), counts[own].tobytes(), x.tobytes(), np.full(len(x), 65535, np.uint16).tobytes()]
+            row = [int(labels.value[(grp - _HOT) // SALTS]), None, keys[own].tobytes(), sizes[own].tobytes(), counts[own].tobytes(), x.tobytes(), np.full(len(x), 65535, np.uint16).tobytes()]
             return pa.table([pa.array([v], k) for v, k in zip(row, [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5], strict=True)], names=names)
         if len(own) < len(keys):  # copies in other slices
             starts = np.cumsum(counts, dtype=np.int64) - counts
@@ -224,7 +233,7 @@ def _shared(classes: int, bits: int):
         x, of, df = x[order], of[order], df[order]
         starts = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1))
         who, count = own[of[starts]], np.diff(np.append(starts, len(of))).astype(np.uint32)
-        to = keys[who].view(np.uint64) % np.uint64(classes)
+        to = labels.value[(keys[who].view(np.uint64) % np.uint64(len(labels.value))).astype(np.int64)]
         rows = []
         order = np.argsort(to, kind="stable")
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(to[order])) + 1, [len(order)]))
@@ -589,9 +598,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, share: int, words: in
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n = C.parts_for(C.input_bytes(docs), 4 << 20)
     n = 1 << (n - 1).bit_length()
-    hot = spark.sparkContext.broadcast(_hot(docs, words))
-    dealt = docs.mapInArrow(_deal(n.bit_length() - 1, words, hot), _DEALT).repartition(n, "grp")
-    shared = dealt.groupBy("grp").applyInArrow(_shared(n, n.bit_length() - 1), _SHARED).repartition(n, "grp")
+    hot, labels = spark.sparkContext.broadcast(_hot(docs, words)), spark.sparkContext.broadcast(_labels_of_partitions(spark, n))
+    dealt = docs.mapInArrow(_deal(n.bit_length() - 1, words, hot, labels), _DEALT).repartition(n, "grp")
+    shared = dealt.groupBy("grp").applyInArrow(_shared(n.bit_length() - 1, labels), _SHARED).repartition(n, "grp")
     both = C.materialise(shared.groupBy("grp").applyInArrow(_assembled(share), _CLASSES), "classes")
     rows = both.where("ids is not null").select(F.explode(F.arrays_zip("ids", "keys", "sizes")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.keys").alias("key"), F.col("x.sizes").alias("size"))
     sets = both.where("key is not null").select("key", "size", "weight", "marks")
