@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20  # text that one numpy pass holds
@@ -291,15 +292,12 @@ HUBS = 500
 ONE_TASK = 500_000  # edges: 16 MB
 
 
-def join_skewed(rows: DataFrame, keyed: DataFrame, key: str, total: int, one_task: int = 0) -> DataFrame:
+def join_skewed(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
     """rows joined with keyed, which has one row a key, n telling how many of the `total` rows have that key; without n.
 
     A key with more than 1 / HUBS of the rows would bring them into one task. There are HUBS such keys at most: they are sent to
-    where the rows are. The rows of the other keys are shuffled. Up to one_task rows may as well meet in one task, and are spared
-    the extra stages.
+    where the rows are. The rows of the other keys are shuffled.
     """
-    if total <= one_task:
-        return rows.join(keyed.drop("n"), key)
     hot, cold = (keyed.where(x).drop("n") for x in (F.col("n") * HUBS > total, F.col("n") * HUBS <= total))
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)
@@ -324,11 +322,16 @@ def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataF
         if not seen[0]:
             break
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_skewed(both.where("v > u"), least, "u", 2 * seen[0], ONE_TASK)
-        large = large.select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi")
+        if 2 * seen[0] <= ONE_TASK:  # what one task can hold needs no care for hot nodes: a shuffle for each star
+            large = both.withColumn("m", F.least("u", F.min("v").over(W.partitionBy("u")))).where("v > u")
+            large = large.select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
+            small = large.withColumn("m", F.min("lo").over(W.partitionBy("hi")))
+        else:
+            least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+            large = join_skewed(both.where("v > u"), least, "u", 2 * seen[0])
+            large = large.select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
+            low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+            small = join_skewed(large, low, "hi", 2 * seen[0])
         new = small.select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
         now = materialise(new.select("e.hi", "e.lo").where("hi <> lo").distinct(), name)
         last, seen = seen, state(now)
