@@ -51,29 +51,36 @@ class Counter:
         self.table, self.counts = C.WordTable(self.limit), np.zeros(0, np.int64)
 
     def word(self, text: str) -> int:
-        """The number of tokens of one word, its blank written as SPACE."""
-        n = len(text)
-        ends: list[list] = [[] for _ in range(n)]
-        single = [False] * n
+        """The number of tokens of one word, its blank written as SPACE.
+
+        The automaton lists the pieces by where they end, of those with one end the longest first: by where they start.
+        """
+        best, pieces, open_ = [0.0], [0], [False]  # of each place: the best score, its pieces, whether its last is unknown
+        at, top, kept, single = 0, None, 0, False  # the place whose piece is sought; its best so far, where that starts
+
+        def settle(upto: int) -> None:
+            nonlocal at, top, kept, single
+            while at < upto:
+                unknown = not single and (top is None or best[at] + self.unknown > top)
+                if unknown:
+                    top, kept = best[at] + self.unknown, at
+                best.append(top)
+                pieces.append(pieces[kept] + (not (unknown and kept > 0 and open_[kept])))
+                open_.append(unknown)
+                at, top, single = at + 1, None, False
+
         if len(self.automaton):
             for end, (size, score) in self.automaton.iter(text):
-                ends[end].append((end + 1 - size, score, False))
-                if size == 1:
-                    single[end] = True
-        best, pieces, open_ = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(n):
-            found = ends[end]
-            if not single[end]:
-                found.append((end, self.unknown, True))
-            top = None
-            for start, score, unknown in sorted(found, key=lambda f: f[0]):
+                if at < end:
+                    settle(end)
+                start = end + 1 - size
                 total = best[start] + score
                 if top is None or total > top:
-                    top, kept = total, (start, unknown)
-            start, unknown = kept
-            best[end + 1], open_[end + 1] = top, unknown
-            pieces[end + 1] = pieces[start] + (not (unknown and open_[start] and start > 0))
-        return pieces[n]
+                    top, kept = total, start
+                if size == 1:
+                    single = True
+        settle(len(text))
+        return pieces[-1]
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number of tokens of each text: words start at blanks (or SPACE) and at the start of a text."""
