@@ -139,6 +139,11 @@ class Write:
             writer = writer.option("maxRecordsPerFile", max(1, int(target // self._row_bytes(table, nodes))))
         (writer.partitionBy(*names) if names else writer).parquet(folder)
         files = self._harvest(folder, nodes, names, extra, table)
+        # Spark writes a file without rows for an empty first partition; the store would not know it.
+        told = {self.fs.canonical(f["path"]) for f in files}
+        for path, _, _ in self.fs.walk(folder):
+            if path.endswith(".parquet") and path not in told:
+                self.fs.delete(path)
         for f in files:
             f["partition_id"] = partition_id
         if keys and str(self.option("hive_file_pattern", "true", table)).lower() == "false":

@@ -379,3 +379,13 @@ def test_a_transaction_changes_what_it_inserted(spark, lake):
         lake.update("t", {"a": "a + 1000"}, "a < 10")
         inside = rows(lake.table("t"))
     assert rows(lake.table("t")) == inside == sorted([(k,) for k in range(11, 100, 2)] + [(k + 1000,) for k in range(1, 10, 2)])
+
+
+def test_writes_leave_no_unknown_files(spark, lake):
+    """An empty first partition makes Spark write a file without rows: no orphan may come of it."""
+    rows = spark.range(0, 40, 1, 4).where("id >= 20").selectExpr("id", "id % 2 AS g", "'x y%20/=' || id % 2 AS s")
+    lake.create_table_as("t", rows)
+    lake.create_table_as("p", rows, partitioned_by=["g", "s"])
+    lake.create_table_as("none", rows.where("id < 0"))
+    assert lake.delete_orphaned_files(cleanup_all=True) == []
+    assert [lake.table(t).count() for t in ("t", "p", "none")] == [20, 20, 0]
