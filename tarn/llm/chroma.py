@@ -2,7 +2,8 @@
 
 A recording becomes frames of 12 pitch classes; rectangular filters over the frames, summed through an integral image, give
 two bits each, packed into one 32-bit integer per frame. Two recordings are aligned by a histogram of the offsets at which
-they hold equal integers; the offset with most equal ones is kept if enough agree and few bits differ over the overlap.
+they hold equal integers; of the offsets at which enough agree and few bits differ over the overlap the one with most equal
+ones is kept.
 """
 
 from __future__ import annotations
@@ -89,6 +90,20 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> float:
     return float(np.bitwise_count(a[lo:hi] ^ b[lo - offset : hi - offset]).sum()) / (32 * (hi - lo))
 
 
+def offset_votes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many prints are equal at each offset (a's place minus b's) from 1 - len(b) to len(a) - 1; by runs, as in align."""
+    at = [np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) for x in (a, b)]
+    run = [np.diff(np.append(k, len(x))) for k, x in zip(at, (a, b), strict=True)]
+    order = np.argsort(b[at[1]], kind="stable")
+    held = b[at[1]][order]
+    lo, hi = (np.searchsorted(held, a[at[0]], side) for side in ("left", "right"))
+    i, j = np.repeat(np.arange(len(at[0])), hi - lo), order[C.ranges(lo, hi - lo)]
+    bends, begin = np.zeros(len(a) + len(b) + 1, np.int64), at[0][i] - at[1][j] - run[1][j] + len(b)
+    for by, d in ((0, 1), (run[1][j], -1), (run[0][i], -1), (run[0][i] + run[1][j], 1)):
+        np.add.at(bends, begin + by, d)
+    return bends.cumsum().cumsum()[: len(a) + len(b) - 1]
+
+
 def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
     """id and prints (packed integers as little-endian bytes) of recordings: mono 16-bit PCM at RATE in a binary column.
 
@@ -135,7 +150,8 @@ def align(prints: DataFrame, asked, votes: int = VOTES, most: float = BIT_ERROR)
 
     Equal fingerprints are one class: match_id is its smallest id and n_rows its number of rows, so copies are not expanded;
     a row's own class is listed as well. A pair needs `votes` equal prints at one offset, or all of the shorter recording's if
-    that has fewer. Of offsets with equally many votes the one nearest to 0 counts, of two the positive.
+    that has fewer. Of the offsets with so many votes and few enough different bits the one with most votes
+    counts, of those with equally many the one nearest to 0, of two the positive.
     A null id is never asked for; recordings without prints align with nothing.
     """
     rows = C.materialise(prints.where(F.length("prints") > 0).withColumn("cid", F.xxhash64("prints")), "prints")
@@ -164,8 +180,21 @@ def align(prints: DataFrame, asked, votes: int = VOTES, most: float = BIT_ERROR)
     def errors(batches):
         for batch in batches:
             c = {n: batch.column(n) for n in ("a", "z", "offset")}
-            out = [bit_error(np.frombuffer(a.as_py(), "<u4"), np.frombuffer(z.as_py(), "<u4"), o.as_py()) for a, z, o in zip(c["a"], c["z"], c["offset"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("q", "match_id", "n_rows", "offset", "votes")] + [pa.array(out, pa.float64())], names=["q", "match_id", "n_rows", "offset", "votes", "bit_error"])
+            out = []
+            for a, z, o, v in zip(*(x.to_pylist() for x in (*c.values(), batch.column("votes"))), strict=True):
+                a, z = np.frombuffer(a, "<u4"), np.frombuffer(z, "<u4")
+                error = bit_error(a, z, o)
+                if error > most:  # another offset with votes enough may do
+                    every = offset_votes(a, z)
+                    places = np.flatnonzero(every >= min(votes, len(a), len(z)))
+                    by = places - (len(z) - 1)
+                    for k in np.lexsort((-by, np.abs(by), -every[places])).tolist():
+                        if (e := bit_error(a, z, int(by[k]))) <= most:
+                            o, v, error = int(by[k]), int(every[places[k]]), e
+                            break
+                out.append((o, v, error))
+            told = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.float64()), strict=True)] if out else [pa.array([], k) for k in (pa.int32(), pa.int64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("q", "match_id", "n_rows")] + told, names=["q", "match_id", "n_rows", "offset", "votes", "bit_error"])
 
     found = sides.select("q", "match_id", "n_rows", "offset", "votes", "a", "z").mapInArrow(errors, "q long, match_id long, n_rows long, offset int, votes long, bit_error double")
     found = found.where(F.col("bit_error") <= most)

@@ -223,6 +223,24 @@ def test_chroma_alignment_of_few_prints(spark):
     assert got == {(0, 0, 2, 0, 3, 0.0), (0, 100, 1, -5, 3, 0.0), (50, 50, 1, 0, 1, 0.0), (100, 100, 1, 0, 20, 0.0), (100, 0, 2, 5, 3, 0.0)}
 
 
+def test_chroma_alignment_at_another_offset(spark):
+    """The offset with most votes has too many different bits, another one with votes enough has few."""
+    rng = np.random.default_rng(7)
+    b = rng.integers(0, 1 << 32, 60, dtype=np.uint32)
+    a = np.concatenate([b, rng.integers(0, 1 << 32, 120, dtype=np.uint32)])
+    b[12:] ^= 1  # 12 equal prints at offset 0, the others with one different bit
+    a[70:130:2] = b[::2]  # 30 equal ones at 70, amid random ones
+    votes = chroma.offset_votes(a, b)
+    want = [int((a[max(0, o) : min(len(a), len(b) + o)] == b[max(0, o) - o : min(len(a), len(b) + o) - o]).sum()) for o in range(1 - len(b), len(a))]
+    assert votes.tolist() == want
+    rows = [(0, bytearray(a.astype("<u4").tobytes())), (1, bytearray(b.astype("<u4").tobytes()))]
+    df = spark.createDataFrame(rows, "id long, prints binary")
+    got = {(r.id, r.match_id): r for r in chroma.align(df, F.col("id") == 0).collect()}
+    r = got[0, 1]
+    assert max(want) == 30 and chroma.bit_error(a, b, 70) > chroma.BIT_ERROR
+    assert (r.offset, r.votes, r.bit_error) == (0, 12, chroma.bit_error(a, b, 0))
+
+
 def test_chroma_alignment_of_runs(spark):
     """Recordings of long runs of few prints (silence, held notes): votes of every offset, against counting pairs of places."""
     rng = random.Random(6)
