@@ -3,8 +3,11 @@
 d(x, y) = 1 - |x & y| / |x | y| is a metric, and two sets link when d is at most the radius r = 0.2. Pivots cut the space:
 
 * Equal shingle sets are one *class*; everything below works on classes.
-* A shingle that only one class holds can't be in an intersection. Shingles are dealt by hash range as byte blocks, counted
-  there, and only the shared ones return to their class, ranked rarest first. A class with fewer than 80 % shared shingles
+* Whatever the order of all shingles, partners share some of the first two fifths of each set (`_deal_leading` tells how
+  many). In the order of their hashes, these meet by hash range as byte blocks; only classes that share enough there are gone
+  on with. A mask of bits tells those classes to all tasks; some others pass it too.
+* A shingle that only one class holds can't be in an intersection. Shingles of the classes left are dealt in the same way,
+  counted, and only the shared ones return to their class, ranked rarest first. A class with fewer than 80 % shared shingles
   links with nothing. Shingles that very many documents hold are told beforehand (`_hot`); they go to their classes without
   meeting in one task. Partners share at least one of a class's leading (rarest) shingles, |x| - ceil(0.8 |x|) + 1 of them.
 * *Rounds of pivots.* In the list of each leading shingle the most central class (the one whose shingles most classes hold)
@@ -37,6 +40,7 @@ from tarn.llm import common as C
 
 WORDS = 5
 REGION_BYTES = 16 << 20  # of sets that a task joins
+RANGE_BYTES = 9 << 20  # of shingles of one hash range
 ROUNDS = 2  # of pivots before regions are cut
 PIVOTS = 32  # of a region that is cut
 CORE = 0.5  # a cell's own members are at most so far from its pivot
@@ -139,46 +143,196 @@ def _labels_of_partitions(spark, n: int) -> np.ndarray:
     return out
 
 
-_HOT = -(1 << 60)  # groups from here up, to 0, hold hot shingles by range of classes and salt; groups further below hold ids
-_DEALT = "grp long, ids array<long>, keys binary, sizes binary, counts binary, values binary"
+_HOT = -(1 << 60)  # groups from here up, to 0, hold hot shingles by range of classes and salt; groups further below hold rows' ids
+_DEALT = "grp long, keys binary, sizes binary, counts binary, values binary"
+GATHERED = 1 << 20  # shingles of a task's texts that are cut into blocks together
 
 
-def _deal(bits: int, words: int, hot, labels):
-    """Text batches to blocks: a block with the documents' classes, one for each hash range with its shingles, and one for each
-    range of classes with their hot ones."""
-    shift = np.uint64(64 - bits)
+def _classes_of(batches, words: int, take):
+    """Text batches (the text last, ids before it) to parts: (ids, keys, sizes) of all their rows, and by key the shingles that
+    take(keys, sets) tells of a slice's classes, about GATHERED of a part."""
+    told, held, n = [], {}, 0
+    for batch in batches:
+        data, offsets = C.buffers(batch.column(batch.num_columns - 1))
+        ids = batch.column(0).to_pylist() if batch.num_columns > 1 else None
+        for i, j in C.slices(offsets):
+            sets = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+            keys, sizes = set_keys(sets), np.array([len(x) for x in sets], np.uint32)
+            told.append((ids and ids[i:j], keys, sizes))
+            _, own = np.unique(keys, return_index=True)
+            own = [k for k in own[sizes[own] > 0].tolist() if int(keys[k]) not in held]
+            if own:
+                for key, x in take(keys[own], [sets[k] for k in own]):
+                    held[key] = x
+                    n += len(x)
+            if n >= GATHERED:
+                yield told, held
+                told, held, n = [], {}, 0
+    if told:
+        yield told, held
+
+
+def _tag(told) -> int:
+    """A number for a part, told by what is in it."""
+    at = sum(int(keys.view(np.uint64).sum()) + len(keys) for _, keys, _ in told) % (1 << 64)
+    return int(C.mix(np.array([at], np.uint64))[0] >> np.uint64(24))
+
+
+def _cut(bucket: np.ndarray, of: np.ndarray, x: np.ndarray, keys: np.ndarray, sizes: np.ndarray | None) -> list[tuple]:
+    """Blocks (grp, keys, sizes, counts, values), one for each bucket of the shingles x, which belong to keys[of], in of's order."""
+    order = np.argsort(bucket, kind="stable")
+    x, of, bucket = x[order], of[order], bucket[order]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(x) else np.zeros(1, np.int64)
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        run_of = np.concatenate(([0], np.flatnonzero(np.diff(of[a:b])) + 1))
+        who, count = of[a:b][run_of], np.diff(np.append(run_of, b - a)).astype(np.uint32)
+        rows.append((int(bucket[a]), keys[who].tobytes(), b"" if sizes is None else sizes[who].tobytes(), count.tobytes(), x[a:b].tobytes()))
+    return rows
+
+
+def _is_hot(every: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(every), bool)
+    return hot[np.minimum(np.searchsorted(hot, every), len(hot) - 1)] == every
+
+
+
+
+def _more(sizes: np.ndarray, share: int) -> np.ndarray:
+    """By how much the shingles that lead a set are more than would do for one common one, and one."""
+    return np.maximum(1, (100 - share) * sizes // 100)
+
+
+_LED = "grp long, ids array<long>, keys binary, sizes binary, counts binary, values binary"
+
+
+def _deal_leading(bits: int, words: int, share: int, hot, labels):
+    """(id, text) batches to a block with the rows' ids, keys and sizes, and one for each range of hashes with the shingles that
+    lead the classes' sets when hot ones come last and the others go by their hashes, and a block with each class's number of
+    leading hot ones, which others surely hold, less what it needs.
+
+    Of partners x, y with m >= max(least(x), least(y)) common shingles, least(x) = ceil(0.8 |x|), the i-th common one stands at
+    most at |x| - m + i in x and |y| - m + i in y. So the first min(more(x), more(y)) are among the |x| - least(x) + more(x)
+    leading ones of x and those of y. As |y| >= least(x), a class that has a partner shares more(least(x)) of its leading ones at
+    least. Ranges go by the low bits, as the leading ones are those with low high bits.
+    """
+    names = ["grp", "ids", "keys", "sizes", "counts", "values"]
+    kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+
+    def run(batches):
+        bases: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def take(keys, sets):
+            sizes = np.array([len(x) for x in sets], np.int64)
+            every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            last = _is_hot(every, hot.value)
+            if last.any():
+                order = np.argsort(2 * of + last, kind="stable")
+                every, last = every[order], last[order]
+            least = -(-share * sizes // 100)
+            at = C.ranges(np.cumsum(sizes) - sizes, np.minimum(sizes, sizes - least + _more(sizes, share)))
+            x, of, last = every[at], of[at], last[at]
+            bases.append((keys, np.bincount(of[last], minlength=len(sets)) - _more(least, share)))
+            x, n = x[~last], np.bincount(of[~last], minlength=len(sets))
+            return zip(keys.tolist(), np.split(x, np.cumsum(n)[:-1]), strict=True)
+
+        for told, held in _classes_of(batches, words, take):
+            tag = _HOT - 1 - _tag(told)
+            rows = [(tag, ids, keys.tobytes(), sizes.tobytes(), b"", b"") for ids, keys, sizes in told]
+            if bases:
+                k, n = (np.concatenate(c) for c in zip(*bases, strict=True))
+                rows.append((tag, None, k.tobytes(), b"", n.astype(np.int64).tobytes(), b""))
+            bases.clear()
+            if held:
+                x, of = np.concatenate(list(held.values())), np.repeat(np.arange(len(held)), [len(x) for x in held.values()])
+                bucket = labels.value[(x & np.uint64((1 << bits) - 1)).astype(np.int64)]
+                rows += [(r[0], None, *r[1:]) for r in _cut(bucket, of, x, np.array(list(held), np.int64), None)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return run
+
+
+_MET = "ids array<long>, keys array<long>, sizes array<long>, key long, n long, told boolean"
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """One range of leading shingles: by class how many of them other classes lead with too. Ids, and the classes' numbers less
+    what they need, pass."""
+    kinds = [pa.list_(pa.int64())] * 3 + [pa.int64()] * 2
+    names = ["ids", "keys", "sizes", "key", "n", "told"]
+    arrays: list[list] = [[], [], []]
+    if table["grp"][0].as_py() < _HOT:
+        told, base = table.filter(table["ids"].is_valid()), table.filter(table["ids"].is_null())
+        found, times = _joined(base["keys"], np.int64), _joined(base["counts"], np.int64)
+        arrays = [told["ids"].to_pylist(), *([np.frombuffer(x, k).tolist() for x in told[n].to_pylist()] for n, k in (("keys", np.int64), ("sizes", np.uint32)))]
+    else:
+        keys, counts, x = _joined(table["keys"], np.int64), _joined(table["counts"], np.uint32), _joined(table["values"], np.uint64)
+        of = np.repeat(keys, counts)
+        order = np.lexsort((of, x))
+        of, x = of[order], x[order]
+        first = np.concatenate(([True], (x[1:] != x[:-1]) | (of[1:] != of[:-1])))  # of copies in several parts
+        of, x = of[first], x[first]
+        beside = x[1:] == x[:-1]
+        found, times = np.unique(of[np.concatenate(([False], beside)) | np.concatenate((beside, [False]))], return_counts=True)
+    n, m = len(arrays[0]), len(found)
+    none = [None] * n
+    return pa.table([*(pa.array([*v, *[None] * m], k) for v, k in zip(arrays, kinds, strict=False)), *(pa.array([*none, *v.tolist()], pa.int64()) for v in (found, times)), pa.array([table["grp"][0].as_py() < _HOT] * (n + m), pa.bool_())], names=names)
+
+
+MASK_BITS = 1 << 28  # at most, of keys that are sent to all executors: 32 MB
+
+
+def _mask(met: DataFrame, rows: int) -> np.ndarray:
+    """A bit for the low bits of each key told: 16 bits a row, as far as MASK_BITS go. Keys that share a bit only mean more work."""
+    bits = min(MASK_BITS, 1 << max(16, (16 * rows).bit_length()))
+    n = met.where("key is not null").groupBy("key").agg(F.expr("coalesce(sum(n) filter (where not told), 0)").alias("n"), F.expr("max(n) filter (where told)").alias("base"))
+    at = n.where("n + base >= 0").select(F.expr(f"key & {bits - 1}L").alias("at"))
+    found = at.groupBy(F.expr("shiftright(at, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found["w"].to_numpy()] = found["b"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def _in_mask(keys: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64) & np.uint64(64 * len(mask) - 1)
+    return (mask[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _held(mask):
+    """(keys, sizes) to the number of shingles of rows in the mask."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = C.buffers(batch.column(1))
-            for i, j in C.slices(offsets):
-                sets = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                keys = set_keys(sets)
-                sizes = np.array([len(x) for x in sets], np.uint32)
-                tag = int(C.mix(np.array([keys.view(np.uint64).sum() + np.uint64(int(offsets[i]) + j)], np.uint64))[0] >> np.uint64(24))
-                rows = [(_HOT - 1 - tag, batch.column(0).slice(i, j - i), keys.tobytes(), sizes.tobytes(), b"", b"")]
-                _, own = np.unique(keys, return_index=True)
-                own = own[sizes[own] > 0]
-                if len(own):
-                    every = np.concatenate([sets[k] for k in own])
-                    of = np.repeat(own, sizes[own])
-                    bucket = labels.value[(every >> shift).astype(np.int64)]
-                    if len(hot.value):
-                        at = np.minimum(np.searchsorted(hot.value, every), len(hot.value) - 1)
-                        to = (keys[of].view(np.uint64) % np.uint64(1 << bits)).astype(np.int64)
-                        bucket = np.where(hot.value[at] == every, _HOT + to * SALTS + tag % SALTS, bucket)
-                    order = np.argsort(bucket, kind="stable")
-                    every, of, bucket = every[order], of[order], bucket[order]
-                    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                        run_of = np.concatenate(([0], np.flatnonzero(np.diff(of[a:b])) + 1))
-                        who, count = of[a:b][run_of], np.diff(np.append(run_of, b - a)).astype(np.uint32)
-                        rows.append((int(bucket[a]), None, keys[who].tobytes(), sizes[who].tobytes(), count.tobytes(), every[a:b].tobytes()))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array([None if x is None else x.to_pylist() for x in columns[1]], pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in columns[2:])],
-                    names=["grp", "ids", "keys", "sizes", "counts", "values"],
-                )
+            keys, sizes = (np.asarray(batch.column(k).flatten().to_numpy(), np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([int(sizes[_in_mask(keys, mask.value)].sum())], pa.int64())], names=["n"])
+
+    return run
+
+
+def _deal(bits: int, words: int, hot, labels, mask):
+    """Text batches to blocks of the classes in the mask: one for each hash range with their shingles, and one for each range of
+    classes with their hot ones."""
+    shift = np.uint64(64 - bits)
+
+    def run(batches):
+        def take(keys, sets):
+            at = np.flatnonzero(_in_mask(keys, mask.value))
+            return [(int(keys[k]), sets[k]) for k in at]
+
+        for told, held in _classes_of(batches, words, take):
+            if not held:
+                continue
+            keys, sets = np.array(list(held), np.int64), list(held.values())
+            sizes = np.array([len(x) for x in sets], np.uint32)
+            every, of = np.concatenate(sets), np.repeat(np.arange(len(keys)), sizes)
+            bucket = labels.value[(every >> shift).astype(np.int64)]
+            last = _is_hot(every, hot.value)
+            if last.any():
+                to = (keys.view(np.uint64) % np.uint64(1 << bits)).astype(np.int64)
+                bucket = np.where(last, _HOT + to[of] * SALTS + _tag(told) % SALTS, bucket)
+            c = list(zip(*_cut(bucket, of, every, keys, sizes), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.binary()) for x in c[1:])], names=["grp", "keys", "sizes", "counts", "values"])
 
     return run
 
@@ -187,15 +341,10 @@ def _joined(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-_SHARED = "grp long, ids array<long>, keys binary, sizes binary, counts binary, values binary, dfs binary"
+_SHARED = "grp long, keys binary, sizes binary, counts binary, values binary, dfs binary"
 _STEPS = 16  # parts of a hash range that are counted one after the other, so that little stands in memory at once
 
 
-def _passed(table: pa.Table, names: list[str]) -> pa.Table:
-    empty = pa.nulls(len(table), pa.binary())
-    return pa.table([table[n] if n in table.column_names else empty for n in names], names=names)
-
-
 def _counted(x: np.ndarray, of: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The values that stand for two classes at least, whose they are, and how many hold each (65,535 stands for more)."""
     found = []
@@ -214,26 +363,25 @@ def _counted(x: np.ndarray, of: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
 
 def _shared(bits: int, labels):
     """One hash range: keep the shingles that at least two classes hold, with their frequency, by range of classes."""
-    names = ["grp", "ids", "keys", "sizes", "counts", "values", "dfs"]
+    names = ["grp", "keys", "sizes", "counts", "values", "dfs"]
+    kinds = [pa.int64(), *[pa.binary()] * 5]
 
     def run(table: pa.Table) -> pa.Table:
         grp = table["grp"][0].as_py()
-        if grp < _HOT:
-            return _passed(table, names)
         keys, sizes, counts = _joined(table["keys"], np.int64), _joined(table["sizes"], np.uint32), _joined(table["counts"], np.uint32)
         x = _joined(table["values"], np.uint64)
         own = np.sort(np.unique(keys, return_index=True)[1])
         if grp < 0:  # hot shingles: each class's once
             starts = np.cumsum(counts, dtype=np.int64) - counts
             x = x[C.ranges(starts[own], counts[own].astype(np.int64))]
-            row = [int(labels.value[(grp - _HOT) // SALTS]), None, keys[own].tobytes(), sizes[own].tobytes(), counts[own].tobytes(), x.tobytes(), np.full(len(x), 65535, np.uint16).tobytes()]
-            return pa.table([pa.array([v], k) for v, k in zip(row, [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5], strict=True)], names=names)
+            row = [int(labels.value[(grp - _HOT) // SALTS]), keys[own].tobytes(), sizes[own].tobytes(), counts[own].tobytes(), x.tobytes(), np.full(len(x), 65535, np.uint16).tobytes()]
+            return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
         if len(own) < len(keys):  # copies in other slices
             starts = np.cumsum(counts, dtype=np.int64) - counts
             x = x[C.ranges(starts[own], counts[own].astype(np.int64))]
         x, of, df = _counted(x, np.repeat(np.arange(len(own), dtype=np.int32), counts[own]), bits)
         if not len(x):
-            return pa.table([pa.array([], f) for f in (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5)], names=names)
+            return pa.table([pa.array([], k) for k in kinds], names=names)
         order = np.argsort(of, kind="stable")
         x, of, df = x[order], of[order], df[order]
         starts = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1))
@@ -245,27 +393,20 @@ def _shared(bits: int, labels):
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             k = order[a:b]
             at = C.ranges(starts[k], count[k].astype(np.int64))
-            rows.append((int(to[k[0]]), None, keys[who[k]].tobytes(), sizes[who[k]].tobytes(), count[k].tobytes(), x[at].tobytes(), df[at].tobytes()))
+            rows.append((int(to[k[0]]), keys[who[k]].tobytes(), sizes[who[k]].tobytes(), count[k].tobytes(), x[at].tobytes(), df[at].tobytes()))
         c = list(zip(*rows, strict=True))
-        return pa.table([pa.array(c[0], pa.int64()), pa.array(c[1], pa.list_(pa.int64())), *(pa.array(v, pa.binary()) for v in c[2:])], names=names)
+        return pa.table([pa.array(v, k) for v, k in zip(c, kinds, strict=True)], names=names)
 
     return run
 
 
-_CLASSES = "ids array<long>, keys array<long>, sizes array<long>, key long, size long, weight long, marks binary"
+_CLASSES = "key long, size long, weight long, marks binary"
 
 
 def _assembled(share: int):
     """One range of classes: the classes that may link, each with its shared shingles, rarest first, and their mean frequency."""
 
     def run(table: pa.Table) -> pa.Table:
-        names = ["ids", "keys", "sizes", "key", "size", "weight", "marks"]
-        kinds = [pa.list_(pa.int64())] * 3 + [pa.int64()] * 3 + [pa.binary()]
-        if table["grp"][0].as_py() < _HOT:
-            keys = [np.frombuffer(x, np.int64).tolist() for x in table["keys"].to_pylist()]
-            sizes = [np.frombuffer(x, np.uint32).tolist() for x in table["sizes"].to_pylist()]
-            none = [None] * len(table)
-            return pa.table([table["ids"], pa.array(keys, kinds[1]), pa.array(sizes, kinds[2]), *(pa.array(none, k) for k in kinds[3:])], names=names)
         keys, sizes, counts, values, dfs = (_joined(table[n], k) for n, k in (("keys", np.int64), ("sizes", np.uint32), ("counts", np.uint32), ("values", np.uint64), ("dfs", np.uint16)))
         starts = np.cumsum(counts, dtype=np.int64) - counts
         order = np.argsort(keys, kind="stable")
@@ -283,8 +424,7 @@ def _assembled(share: int):
             if 100 * int(first.sum()) >= share * size[k]:
                 out.append((int(keys[own[0]]), int(size[k]), int(1000 * df[first].sum(dtype=np.int64) // size[k]), x[first].tobytes()))
         c = list(zip(*out, strict=True)) or [[], [], [], []]
-        none = [None] * len(out)
-        return pa.table([*(pa.array(none, k) for k in kinds[:3]), *(pa.array(v, k) for v, k in zip(c, kinds[3:], strict=True))], names=names)
+        return pa.table([pa.array(v, k) for v, k in zip(c, [*[pa.int64()] * 3, pa.binary()], strict=True)], names=["key", "size", "weight", "marks"])
 
     return run
 
@@ -601,14 +741,21 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, share: int, words: in
     spark = docs.sparkSession
     C.bound_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    n = C.parts_for(C.input_bytes(docs), 4 << 20)
-    n = 1 << (n - 1).bit_length()
-    hot, labels = spark.sparkContext.broadcast(_hot(docs, words)), spark.sparkContext.broadcast(_labels_of_partitions(spark, n))
-    dealt = docs.mapInArrow(_deal(n.bit_length() - 1, words, hot, labels), _DEALT).repartition(n, "grp")
+    send, parts = spark.sparkContext.broadcast, lambda n_bytes, each: 1 << (C.parts_for(n_bytes, each) - 1).bit_length()
+    hot = send(_hot(docs, words))
+    # A set's leading shingles are two fifths of it: what they rule out is dealt no further.
+    n = parts(C.input_bytes(docs), 12 << 20)
+    led = docs.mapInArrow(_deal_leading(n.bit_length() - 1, words, share, hot, send(_labels_of_partitions(spark, n))), _LED).repartition(n, "grp")
+    met = C.materialise(led.groupBy("grp").applyInArrow(_met, _MET), "met")
+    told = met.where("ids is not null")
+    rows = told.select(F.explode(F.arrays_zip("ids", "keys", "sizes")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.keys").alias("key"), F.col("x.sizes").alias("size"))
+    mask = send(_mask(met, told.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]))
+    total = told.select("keys", "sizes").mapInArrow(_held(mask), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = parts(8 * total, RANGE_BYTES)
+    labels = send(_labels_of_partitions(spark, n))
+    dealt = (docs if total else docs.where("false")).select("text").mapInArrow(_deal(n.bit_length() - 1, words, hot, labels, mask), _DEALT).repartition(n, "grp")
     shared = dealt.groupBy("grp").applyInArrow(_shared(n.bit_length() - 1, labels), _SHARED).repartition(n, "grp")
-    both = C.materialise(shared.groupBy("grp").applyInArrow(_assembled(share), _CLASSES), "classes")
-    rows = both.where("ids is not null").select(F.explode(F.arrays_zip("ids", "keys", "sizes")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.keys").alias("key"), F.col("x.sizes").alias("size"))
-    sets = both.where("key is not null").select("key", "size", "weight", "marks")
+    sets = C.materialise(shared.groupBy("grp").applyInArrow(_assembled(share), _CLASSES), "classes")
     entries = sets.select("key", "size", "marks", "weight").mapInArrow(_leading(share), "s long, key long, weight long")
     entries = C.materialise(entries, "leading")
     entries = C.materialise(_open(entries.withColumn("comp", F.col("key"))), "entries")

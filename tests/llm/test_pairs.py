@@ -174,6 +174,24 @@ def test_empty_tables(spark):
     assert chroma.align(prints, F.col("id") % 50 == 0).count() == 0
 
 
+def test_few_classes_are_dealt(spark, monkeypatch):
+    """Only classes that share a leading shingle are dealt whole: here near copies, and texts that a common passage leads."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(400)]
+    near = [t + " end" for t in texts[:20]]
+    passage = " ".join(word() for _ in range(40))
+    common = [f"{passage} {word()}" if k % 2 else f"{passage} {' '.join(word() for _ in range(30))}" for k in range(60)]
+    rows = list(enumerate(texts + near + near[:5] + common + ["", None, "a b", "A  b", "a b c"]))
+    monkeypatch.setattr(jaccard_join, "HOT_LEAST", 10)
+    made, masks = jaccard_join._mask, []
+    monkeypatch.setattr(jaccard_join, "_mask", lambda *a: masks.append(made(*a)) or masks[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join_ngrams(df).collect())
+    assert got == sorted(brute_jaccard(rows))
+    assert 40 <= int(np.bitwise_count(masks[0]).sum()) <= 110
+
+
 def brute_cosine(rows, least=0.9):
     unit = []
     for _, v in rows:
