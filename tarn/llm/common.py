@@ -303,12 +303,37 @@ def join_skewed(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> Data
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def components_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges between a and b, sorted, and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    comp = np.arange(len(nodes))
+    while True:
+        # Every root beside a smaller one goes to the smallest; two such rounds halve the roots at least.
+        u, v, new = comp[x], comp[y], comp.copy()
+        np.minimum.at(new, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(up := new[new], new):
+            new = up
+        if np.array_equal(new, comp):
+            return nodes, nodes[comp]
+        comp = new
+
+
+def _joined_up(batches):
+    """Batches of all edges to (node, comp)."""
+    every = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+    if every:
+        nodes, comp = components_of(*(np.concatenate(c) for c in zip(*every, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(comp)], names=["node", "comp"])
+
+
 def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(node, comp) for every node of edges (a, b): comp is the smallest node reachable.
 
-    Alternates large-star and small-star; each round is a written table, so no lineage grows and nothing is gathered.
+    Edges that one task can hold are joined by one, in numpy. More alternate large-star and small-star; each round is a written
+    table, so no lineage grows and nothing is gathered. A round takes several shuffles, and each leaves the driver a thread for
+    a minute, so small graphs are spared them.
     """
-    spark = edges.sparkSession
     now = materialise(
         edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), name
     )
@@ -317,21 +342,15 @@ def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataF
         return df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
 
     seen = state(now)
-    nodes = now
+    if 2 * seen[0] <= ONE_TASK:
+        return materialise(now.coalesce(1).mapInArrow(_joined_up, "node long, comp long"), name)
     for _ in range(rounds):
-        if not seen[0]:
-            break
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select("lo", "hi"))
-        if 2 * seen[0] <= ONE_TASK:  # what one task can hold needs no care for hot nodes: a shuffle for each star
-            large = both.withColumn("m", F.least("u", F.min("v").over(W.partitionBy("u")))).where("v > u")
-            large = large.select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
-            small = large.withColumn("m", F.min("lo").over(W.partitionBy("hi")))
-        else:
-            least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-            large = join_skewed(both.where("v > u"), least, "u", 2 * seen[0])
-            large = large.select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
-            low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
-            small = join_skewed(large, low, "hi", 2 * seen[0])
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_skewed(both.where("v > u"), least, "u", 2 * seen[0])
+        large = large.select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
+        low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        small = join_skewed(large, low, "hi", 2 * seen[0])
         new = small.select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
         now = materialise(new.select("e.hi", "e.lo").where("hi <> lo").distinct(), name)
         last, seen = seen, state(now)
@@ -340,6 +359,4 @@ def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataF
     else:
         raise RuntimeError("components did not settle")
     # At the fixed point every edge leads from a node straight to the smallest node of its component.
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).unionAll(
-        now.select("lo", "lo").distinct()
-    ) if seen[0] else nodes.select(F.col("hi").alias("node"), F.col("lo").alias("comp"))
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).unionAll(now.select("lo", "lo").distinct())

@@ -232,6 +232,30 @@ def test_components(spark, monkeypatch, one_task):
         assert got.get(k, k) == nodes[label[i]]
 
 
+def test_components_of_a_small_graph_take_few_jobs(spark):
+    """Each shuffle leaves the driver a thread for a minute: this path took 67 jobs before."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+    spark.sparkContext.setJobGroup("small-components", "test")
+    try:
+        got = C.connected_components(edges, "test").agg(F.count("*"), F.max("comp")).first()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("small-components")
+    finally:
+        for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            spark.sparkContext.setLocalProperty(key, None)
+    assert tuple(got) == (301, 0) and len(jobs) <= 12
+    assert C.connected_components(edges.where("a < 0"), "test").collect() == []
+
+
+def test_components_of_arrays():
+    rng = np.random.default_rng(5)
+    for n, m in ((0, 0), (1, 2), (40, 30), (500, 2000), (4000, 3000)):
+        a, b = rng.integers(-n, n + 1, (2, m))
+        nodes, comp = C.components_of(a, b)
+        at = {x: i for i, x in enumerate(nodes.tolist())}
+        label = groups(len(nodes), [(at[x], at[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+        assert sorted(at) == sorted({*a.tolist(), *b.tolist()}) and comp.tolist() == [int(nodes[k]) for k in label]
+
+
 def test_chroma_alignment_of_few_prints(spark):
     """Recordings with fewer prints than VOTES align with their copies and with a longer recording that holds them."""
     some = np.arange(100, 120, dtype="<u4") * np.uint32(2654435761)
