@@ -333,7 +333,7 @@ def _count_words(vocabulary, keep: int):
     """Batches to (word, count): a Misra-Gries summary of a partition, which loses at most its smallest kept count."""
 
     def run(batches):
-        words = _of_worker("words", vocabulary.value, lambda: Words(vocabulary.value))
+        words = C.of_worker("words", vocabulary.value, lambda: Words(vocabulary.value))
         counts = np.zeros(0, np.int64)
 
         def summary():
@@ -357,6 +357,7 @@ def _count_words(vocabulary, keep: int):
                 add[: len(counts)] += counts
                 counts = add
         yield from summary()
+        C.tidy("words")
 
     return run
 
@@ -418,16 +419,6 @@ class Encoder(Words):
         self.size += len(words)
 
 
-#: One encoder and one set of counted words for all tasks of a worker, as long as the broadcast value is the same.
-_WORKER: dict[str, tuple] = {}
-
-
-def _of_worker(name: str, value, make):
-    if _WORKER.get(name, (None,))[0] is not value:
-        _WORKER[name] = (value, make())
-    return _WORKER[name][1]
-
-
 def _take(things: list, at: list) -> tuple:
     return operator.itemgetter(*at)(things) if len(at) > 1 else tuple(things[i] for i in at)
 
@@ -452,7 +443,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def run(batches):
         needs = {"n_tokens": "texts", "ids_sha256": "texts", "ids": "ids", "decoded": "bytes", "decoded_sha256": "bytes"}
-        encoder = _of_worker("encoder", sent.value, lambda: Encoder(*sent.value, {needs[c] for c in columns}))
+        encoder = C.of_worker("encoder", sent.value, lambda: Encoder(*sent.value, {needs[c] for c in columns}))
         for batch in batches:
             data, offsets = C.buffers(batch.column(1))
             for i, j in C.slices(offsets):
@@ -475,6 +466,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                         if "decoded_sha256" in rows:
                             rows["decoded_sha256"].append(hashlib.sha256(whole.encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(rows[c], _KINDS[c][1]) for c in columns)], names=["id", *columns])
+        C.tidy("encoder")
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ", ".join([f"id {kind}", *(f"{c} {_KINDS[c][0]}" for c in columns)]))
     return out.withColumnRenamed("id", id_col)

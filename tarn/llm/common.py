@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import hashlib
 import shutil
@@ -55,17 +56,55 @@ _DELETED: set[tuple[str, str]] = set()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    At most a file for FILE_BYTES of what df reads: where Hadoop has no native library, each file and folder made in a local
+    store starts a process from the JVM (chmod), as which the JVM's memory shows once more for a moment.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    few = df.coalesce(parts_for(_bytes_read(df), FILE_BYTES, least=12))
+    few.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FILE_BYTES = 1 << 20
+
+
+def _bytes_read(df: DataFrame) -> int:
+    """The bytes of the tables that df is made of, as often as it reads them; very many where one's are unknown."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get by bytes, not only by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+#: What a task leaves to the next ones of its worker, by name: the broadcast value it was made of, and itself.
+_REMEMBERED: dict[str, tuple] = {}
+
+
+def of_worker(name: str, value, make):
+    """make(), once for all tasks of a worker that come with the same broadcast value. What other names had is dropped."""
+    if _REMEMBERED.get(name, (None,))[0] is not value:
+        tidy()
+        _REMEMBERED[name] = (value, make())
+    return _REMEMBERED[name][1]
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)
+
+
+def tidy(keep: str | None = None) -> None:
+    """Drop what this worker remembers under other names, and give freed memory back to the system: a worker lives on from one
+    operator to the next, and shares its executor's room with the JVM and other workers."""
+    for name in [x for x in _REMEMBERED if x != keep]:
+        del _REMEMBERED[name]
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A name for a helper column that df has no column of."""
     taken = {c.lower() for c in df.columns}

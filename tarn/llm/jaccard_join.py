@@ -126,6 +126,7 @@ def _hot(docs: DataFrame, words: int) -> np.ndarray:
                 values, back = np.unique(np.concatenate([values, more]), return_inverse=True)
                 n, seen = np.bincount(back, np.concatenate([n, times]), len(values)).astype(np.int64), seen + j - i
         told = n >= part * seen / 4
+        C.tidy()
         yield pa.RecordBatch.from_arrays([pa.array(values[told].view(np.int64)), pa.array(n[told])], names=["s", "n"])
 
     sample = docs.sample(taken, seed=7).select("text").repartition(C.parts_for(int(taken * rows), SAMPLED, least=1))
@@ -170,6 +171,7 @@ def _classes_of(batches, words: int, take):
                 told, held, n = [], {}, 0
     if told:
         yield told, held
+    C.tidy()
 
 
 def _tag(told) -> int:
@@ -245,7 +247,7 @@ def _deal_leading(bits: int, words: int, share: int, hot, labels):
                 rows.append((tag, None, k.tobytes(), b"", n.astype(np.int64).tobytes(), b""))
             bases.clear()
             if held:
-                x, of = np.concatenate(list(held.values())), np.repeat(np.arange(len(held)), [len(x) for x in held.values()])
+                x, of = np.concatenate(list(held.values())), np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held.values()])
                 bucket = labels.value[(x & np.uint64((1 << bits) - 1)).astype(np.int64)]
                 rows += [(r[0], None, *r[1:]) for r in _cut(bucket, of, x, np.array(list(held), np.int64), None)]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -325,7 +327,7 @@ def _deal(bits: int, words: int, hot, labels, mask):
                 continue
             keys, sets = np.array(list(held), np.int64), list(held.values())
             sizes = np.array([len(x) for x in sets], np.uint32)
-            every, of = np.concatenate(sets), np.repeat(np.arange(len(keys)), sizes)
+            every, of = np.concatenate(sets), np.repeat(np.arange(len(keys), dtype=np.int32), sizes)
             bucket = labels.value[(every >> shift).astype(np.int64)]
             last = _is_hot(every, hot.value)
             if last.any():

@@ -282,7 +282,9 @@ def fit_field(sequences: list[tuple[list[int], list[int]]], rounds: int = 150, r
 
 def labelled_table(spark: SparkSession, rows: int = 400) -> DataFrame:
     """The small labelled table: made-up lines (text, spans) with addresses in many spellings, and prose without any."""
-    return spark.createDataFrame(labelled_lines(rows), "text string, spans array<struct<start:int, end:int, kind:string>>")
+    texts, spans = zip(*labelled_lines(rows), strict=True)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+    return spark.createDataFrame(pa.table({"text": pa.array(texts, pa.string()), "spans": pa.array(spans, kind)}))  # rows would start workers of another kind
 
 
 def labelled_lines(rows: int = 400) -> list[tuple[str, list[tuple[int, int, str]]]]:
@@ -490,6 +492,7 @@ def _found(docs: DataFrame, field: Field | None, text_col: str, redact: bool):
                     counts[s[1]] += 1
                 out[k] = [*counts, hashlib.sha256(written(base).encode()).hexdigest(), written(every), redacted(x, every) if redact and x is not None else None]
             yield pd.DataFrame(out, columns=names)
+        C.tidy()
 
     run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(run, _FOUND)(F.col(text_col).cast("string"))

@@ -109,9 +109,6 @@ class Counter:
         return np.bincount(of, self.counts[at], n).astype(np.int64)
 
 
-_WORKER: list = [None, None]
-
-
 def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column and n_tokens of each row of docs, over whole texts.
 
@@ -123,11 +120,10 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]] | None = N
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        if _WORKER[0] is not sent.value:
-            _WORKER[:] = sent.value, Counter(sent.value)
+        counter = C.of_worker("counter", sent.value, lambda: Counter(sent.value))
         for batch in batches:
             data, offsets = C.buffers(batch.column(1))
-            parts = [_WORKER[1].texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in C.slices(offsets)]
+            parts = [counter.texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in C.slices(offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts or [np.zeros(0, np.int64)]))], names=["id", "n_tokens"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, n_tokens long")

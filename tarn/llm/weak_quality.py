@@ -161,6 +161,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
     base = 3 ** np.arange(len(LABELLERS))
 
     def run(batches):
+        C.tidy()
         done: set[int] = set()
         for batch in batches:
             hashes = batch.column(1).to_numpy()
@@ -182,6 +183,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
                     ],
                     names=["code", "n", "h", "features"],
                 )
+        C.tidy()
 
     seen = C.materialise(docs.select(text, own_hash).mapInArrow(run, "code long, n long, h long, features binary"), "votes")
     counted = seen.where("features is null").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
@@ -211,6 +213,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for column in texts:
             data, offsets = C.buffers(pa.array(column, pa.string(), from_pandas=True))
             yield _scores(data, offsets, *sent.value)
+        C.tidy()
 
     import pandas as pd
     from collections.abc import Iterator

@@ -246,6 +246,15 @@ def test_components_of_a_small_graph_take_few_jobs(spark):
     assert C.connected_components(edges.where("a < 0"), "test").collect() == []
 
 
+def test_small_tables_are_few_files(spark, tmp_path):
+    """A table of many small partitions had a file for each."""
+    many, path = spark.range(0, 20_000, 1, 64), str(tmp_path / "many")
+    many.write.parquet(path)
+    kept = C.materialise(spark.read.parquet(path).repartition(40, "id"), "few")
+    assert len(kept.inputFiles()) <= 12 and kept.agg(F.count("*"), F.sum("id")).first() == (20_000, 199_990_000)
+    assert C.materialise(kept.where("id < 0"), "none").count() == 0
+
+
 def test_components_of_arrays():
     rng = np.random.default_rng(5)
     for n, m in ((0, 0), (1, 2), (40, 30), (500, 2000), (4000, 3000)):
