@@ -55,15 +55,16 @@ def _delete_at_end(application: str, folder: str, spark: SparkSession) -> None:
 _DELETED: set[tuple[str, str]] = set()
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, few: bool = True) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors.
 
     At most a file for FILE_BYTES of what df reads: where Hadoop has no native library, each file and folder made in a local
-    store starts a process from the JVM (chmod), as which the JVM's memory shows once more for a moment.
+    store starts a process from the JVM (chmod), as which the JVM's memory shows once more for a moment. few: False where rows
+    depend on the number of their partition, which those written by one task would share.
     """
     path = fresh_path(df.sparkSession, name)
-    few = df.coalesce(parts_for(_bytes_read(df), FILE_BYTES, least=12))
-    few.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    written = df.coalesce(parts_for(_bytes_read(df), FILE_BYTES, least=12)) if few else df
+    written.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

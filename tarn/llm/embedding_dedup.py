@@ -266,7 +266,7 @@ def _join_dims(classes: DataFrame, kind, dims: int, least: float, lead: int, int
     keyed = classes.mapInArrow(_cells(kind, dims, axes, epsilon), "blob binary, cid long, n long, " + "".join(f"{c} long, " for c in cells) + "y double")
     parts = C.parts_for(classes.count(), NEIGHBOURS * interval, least=1)
     ordered = keyed.repartitionByRange(parts, *cells, "y", "cid").sortWithinPartitions(*cells, "y", "cid")
-    blocks = C.materialise(ordered.mapInArrow(_intervals(kind, dims, axes, interval), "block long, part long, lo array<double>, hi array<double>, cids binary, counts binary, vectors binary"), "intervals")
+    blocks = C.materialise(ordered.mapInArrow(_intervals(kind, dims, axes, interval), "block long, part long, lo array<double>, hi array<double>, cids binary, counts binary, vectors binary"), "intervals", few=False)
     pairs = near_pairs(blocks.select("block", "part", "lo", "hi"), epsilon, parts)
     # Neighbourhoods (parts) that hold a pair within epsilon meet; join_blocks() skips the other pairs of theirs by their boxes.
     tiles = C.materialise(pairs.select(F.shiftright("a", 24).alias("a"), F.shiftright("b", 24).alias("b")).distinct(), "tiles")
