@@ -274,4 +274,4 @@ def _join_dims(classes: DataFrame, kind, dims: int, least: float, lead: int, int
     met = sides.join(blocks.select("part", "block", "cids", "counts", "vectors"), "part")
     # They are dealt one by one: hashing few of them would leave tasks with several and others with none.
     met = met.repartition(C.parts_for(tiles.count(), 1, least=1, most=4_000), "a", "b")
-    return C.materialise(met.groupBy("a", "b").applyInArrow(_joined(kind, dims, axes, least), "cid long, to long, n long"), "links")
+    return C.materialise(met.groupBy("a", "b").applyInArrow(_joined(kind, dims, axes, least), "cid long, to long, n long"), "links", few=False)
